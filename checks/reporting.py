@@ -8,7 +8,7 @@ from cleanframe.plans import compare as C
 from cleanframe.plans import quality as Q
 from cleanframe.plans import reports as R
 from cleanframe.plans.conform import ICU_UNITS, WARD_CODE_UNITS, Feed, conform_feeds, look_up, orphans, tagged_union
-from cleanframe.sources import json_rows, upsert
+from cleanframe.sources import json_rows, spread, upsert
 
 from .cleaning import _DAY, _DOSE, BLANK, FEEDS_SQL, MEDICATIONS_SQL, NULL_LIKE, ORDERS_SQL, _orders, feeds
 from .dirt import (
@@ -77,7 +77,7 @@ PRESCRIPTIONS_SQL = (
 
 
 def medications(t):
-    return t.lineitem.selectExpr(*for_spark(MEDICATIONS))
+    return spread(t.lineitem).selectExpr(*for_spark(MEDICATIONS))
 
 
 def patients(t):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The characters Python's str.strip() removes.
 WHITESPACE = "".join(
@@ -40,6 +40,24 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
+def once(c: Column, body) -> Column:
+    """body(c), with c evaluated once however often the body uses it.
+
+    Without this, a derived input would be copied into the plan for every use,
+    and again for every filter that Spark pushes below a projection.
+    """
+    return F.get(F.transform(F.array(c), lambda x: body(x)), F.lit(0))
+
+
+def computed(df: DataFrame, *columns) -> DataFrame:
+    """select(), for costly columns that filters will look at.
+
+    Spark pushes filters below a plain projection and computes the columns they
+    use a second time; it does not push them below a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind, not only spaces."""
     return F.btrim(c.cast("string"), F.lit(WHITESPACE))
@@ -63,7 +81,10 @@ def try_num(c: Column, dtype: T.DataType | None = None) -> Column:
         return c.cast("double")
     if dtype is not None and not isinstance(dtype, T.StringType):
         return F.lit(None).cast("double")
-    text = strip(c)
+    return once(strip(c), _text_num)
+
+
+def _text_num(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
@@ -71,13 +92,20 @@ def to_whole(c: Column, dtype: T.DataType | None = None, mode: str = "round") ->
     """The cell as a bigint: half-even rounding, or truncation; null if unreadable."""
     if dtype is not None and isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return c.cast("bigint")
-    number = try_num(c, dtype)
-    fits = F.abs(number) < F.lit(9.2e18)
-    whole = F.when(fits, (F.rint(number) if mode == "round" else number).cast("bigint"))
+
+    def whole(number):
+        rounded = F.rint(number) if mode == "round" else number
+        return F.when(F.abs(number) < F.lit(9.2e18), rounded.cast("bigint"))
+
     if dtype is not None and not isinstance(dtype, T.StringType):
-        return whole
-    text = strip(c)  # long digit strings must not pass through a double
-    return F.coalesce(F.when(text.rlike(_INTEGER), text.try_cast("bigint")), whole)
+        return once(try_num(c, dtype), whole)
+    # long digit strings must not pass through a double
+    return once(
+        strip(c),
+        lambda text: F.coalesce(
+            F.when(text.rlike(_INTEGER), text.try_cast("bigint")), once(_text_num(text), whole)
+        ),
+    )
 
 
 def title(c: Column) -> Column:
@@ -118,11 +146,18 @@ def parse_timestamp(c: Column, formats=None, dtype: T.DataType | None = None) ->
         return c.cast("timestamp")
     if dtype is not None and not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp")  # bare numbers are epochs, see epoch()
-    text = strip(c)
-    tries = [
-        F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in (formats or DEFAULT_FORMATS)
-    ]
-    return F.coalesce(*tries)
+    return once(strip(c), lambda text: _text_timestamp(text, formats))
+
+
+# Notations that Spark's own cast to timestamp reads, faster.
+_CAST_FORMATS = {"yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX"}
+
+
+def _text_timestamp(text: Column, formats) -> Column:
+    def read(fmt):
+        return text.try_cast("timestamp") if fmt in _CAST_FORMATS else F.try_to_timestamp(text, F.lit(fmt))
+
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), read(f)) for f in (formats or DEFAULT_FORMATS)])
 
 
 def parse_date(c: Column, formats=None, dtype: T.DataType | None = None) -> Column:
@@ -147,10 +182,15 @@ FEED_EPOCH = EpochRule(1e10, -62_135_596_800, 253_402_300_799, False)
 
 def epoch(number: Column, rule: EpochRule = OPERATION_EPOCH) -> Column:
     """Epoch seconds or milliseconds as a timestamp; null if out of range."""
-    in_ms = (F.abs(number) if rule.both_signs else number) > rule.threshold
-    micros = number * F.when(in_ms, 1e3).otherwise(1e6)
-    valid = micros.between(rule.lowest * 1e6, (rule.highest + 1) * 1e6 - 1)
-    return F.timestamp_micros(F.when(valid, F.rint(micros).cast("bigint")))
+    return once(number, lambda n: _epoch(n, rule))
+
+
+def _epoch(n: Column, rule: EpochRule) -> Column:
+    in_ms = (F.abs(n) if rule.both_signs else n) > rule.threshold
+    in_seconds = (n >= rule.lowest) & (n < rule.highest + 1)
+    valid_ms = (n >= rule.lowest * 1e3) & (n < (rule.highest + 1) * 1e3)
+    micros = F.when(in_ms, F.when(valid_ms, n * 1e3)).when(in_seconds, n * 1e6)
+    return F.timestamp_micros(F.rint(micros).cast("bigint"))
 
 
 def mixed_timestamp(
@@ -168,10 +208,12 @@ def mixed_timestamp(
         if is_numeric(dtype):
             return epoch(try_num(c, dtype), rule)
         return parse_timestamp(c, formats, dtype)
-    number = try_num(c)
-    if digits:
-        number = F.when(strip(c).rlike(digits), number)
-    return F.coalesce(epoch(number, rule), parse_timestamp(c, formats))
+    return once(
+        strip(c),
+        lambda text: F.when(
+            text.rlike(digits or _NUMBER), once(text.try_cast("double"), lambda n: _epoch(n, rule))
+        ).otherwise(_text_timestamp(text, formats)),
+    )
 
 
 def time_bucket(ts: Column, minutes: int) -> Column:
@@ -197,7 +239,7 @@ def dosage(c: Column, dtype: T.DataType | None = None) -> Column:
     """The number itself, or the first unsigned number inside the text."""
     if dtype is not None and is_numeric(dtype):
         return try_num(c, dtype)
-    return try_num(F.regexp_extract(c.cast("string"), r"(\d+(?:\.\d+)?)", 1))
+    return F.regexp_extract(c.cast("string"), r"(\d{1,100}(?:\.\d+)?)", 1).try_cast("double")
 
 
 def bed_label(c: Column) -> Column:
@@ -213,20 +255,27 @@ def recent(ts: Column, reference, days: int) -> Column:
 
 
 def _float_text(x: Column) -> Column:
-    """A double the way Python prints it: 7.0, 0.001, 12345678.9, 1e+16."""
+    """A double the way Python prints it: 7.0, 0.001, 12345678.9, 1e+16; NaN is null."""
     size = F.abs(x)
-    plain = F.regexp_replace(x.cast("decimal(38,20)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    parts = F.split(x.cast("string"), "E")
+    plain = F.regexp_replace(x.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0*$", "$1")
+    infinity = F.lit(float("inf"))
+    return (
+        F.when(F.isnan(x) | x.isNull(), None)
+        .when(size == infinity, F.when(x > 0, "inf").otherwise("-inf"))
+        .when(x == 0, "0.0")
+        .when((size < 1e16) & (size >= 1e-4), plain)
+        .otherwise(once(F.split(x.cast("string"), "E"), _scientific))
+    )
+
+
+def _scientific(parts: Column) -> Column:
     power = F.get(parts, F.lit(1)).cast("int")
     digits = F.abs(power).cast("string")
-    far = F.concat(
+    return F.concat(
         F.regexp_replace(F.get(parts, F.lit(0)), r"\.0$", ""),
         F.when(power < 0, "e-").otherwise("e+"),
         F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits),
     )
-    in_plain = (size < 1e16) & (size >= 1e-4)
-    return F.when(x == 0, "0.0").when(in_plain, plain).otherwise(far)
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
@@ -234,9 +283,7 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.when(c, "True").when(~c, "False")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        c = c.cast("double")
-        infinite = F.when(c > 0, "inf").otherwise("-inf")
-        return F.when(F.isnan(c) | c.isNull(), None).when(F.abs(c) == F.lit(float("inf")), infinite).otherwise(_float_text(c))
+        return once(c.cast("double"), _float_text)
     return c.cast("string")
 
 
@@ -261,25 +308,32 @@ def canonical(c: Column, dtype: T.DataType, mode: str = "value") -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.when(c, "1").when(~c, "0")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.coalesce(_number_form(c), F.lower(F.when(~F.isnan(c), c.cast("string"))))
+        return once(c, _canonical_double)
     if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
-        return _number_form(c)
+        return once(c, _number_form)
     if isinstance(dtype, T.StringType):
-        text = strip(c)
-        return F.coalesce(_number_form(text), F.nullif(F.lower(text), F.lit("nan")))
+        return once(strip(c), lambda t: F.coalesce(_number_form(t), F.nullif(F.lower(t), F.lit("nan"))))
     return c.cast("string")
 
 
+def _canonical_double(x: Column) -> Column:
+    return F.coalesce(_number_form(x), F.lower(F.when(~F.isnan(x), x.cast("string"))))
+
+
 def sort_text(c: Column, dtype: T.DataType) -> Column:
     """The text by which canonical rows are ordered; a missing cell is `None`."""
     if isinstance(dtype, T.StringType):
-        text = strip(c)
-        written_as_float = text.rlike(r"^[^.eE]*[.eE]")
-        number = _number_form(text)
-        shown = F.coalesce(F.concat(number, F.when(written_as_float & ~number.contains("."), ".0").otherwise("")), F.lower(text))
+        shown = once(
+            strip(c),
+            lambda t: F.coalesce(once(_number_form(t), lambda n: _as_float(n, t.rlike("[.eE]"))), F.lower(t)),
+        )
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        number = canonical(c, dtype)
-        shown = F.concat(number, F.when(number.rlike(r"^-?\d+$"), ".0").otherwise(""))
+        shown = once(once(c, _canonical_double), lambda n: _as_float(n, n.rlike(r"^-?\d+$")))
     else:
         shown = as_text(c, dtype)
     return F.coalesce(shown, F.lit("None"))
+
+
+def _as_float(number: Column, is_float: Column) -> Column:
+    """Whole floats read 7.0."""
+    return F.concat(number, F.when(is_float & ~number.contains("."), ".0").otherwise(""))

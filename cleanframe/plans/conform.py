@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import SpecError, require_columns
-from ..functions.values import bed_label, mixed_timestamp, recent, strip, time_bucket
+from ..functions.values import bed_label, computed, mixed_timestamp, recent, strip, time_bucket
 from ..operators.columns import map_values
 from ..operators.dedupe import first_per_key
 
@@ -98,7 +98,8 @@ def _shape(feed: Feed, rank: int) -> DataFrame:
     df = feed.table
     require_columns(df, [feed.record_id, feed.unit, feed.bed, feed.admitted, feed.order_by])
     admitted_type = df.schema[feed.admitted].dataType
-    shaped = df.select(
+    shaped = computed(
+        df,
         F.lit(rank).alias("__rank"),
         F.col(feed.order_by).alias(f"__order{rank}"),
         F.lit(feed.prefix).alias("__prefix"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..errors import SpecError
 from ..functions.values import (
     DAY_FIRST,
+    computed,
     dosage,
     drug_name,
     mixed_timestamp,
@@ -41,17 +42,19 @@ def clean_admissions(
     copies go. Dates are read as ISO first, then day first.
     """
     order_by = list(order_by)
-    number = try_num(F.col(age), _dtype(df, age))
-    median = exact_median(df.select(number.alias("age")), "age")
-    rows = df.select(
+    number = try_num(F.col(age), _dtype(df, age)).alias("age")
+    median = exact_median(df.select(number), "age")
+    rows = computed(
+        df,
         strip(F.col(id)).alias("patient_id"),
         parse_date(F.col(date), ["yyyy-MM-dd", *DAY_FIRST], _dtype(df, date)).alias("admission_date"),
         F.upper(strip(F.col(ward))).alias("ward"),
-        F.rint(F.coalesce(number, median)).cast("bigint").alias("age"),
+        F.col(age).alias("age"),
         *[F.col(c).alias(f"__order{i}") for i, c in enumerate(order_by)],
     ).dropna(subset=["patient_id", "admission_date", "ward"])
     kept = first_per_key(rows, ["patient_id"], [f"__order{i}" for i in range(len(order_by))])
-    return kept.select("patient_id", "admission_date", "ward", "age")
+    years = F.rint(F.coalesce(try_num(F.col("age"), _dtype(df, age)), median)).cast("bigint")
+    return kept.select("patient_id", "admission_date", "ward", years.alias("age"))
 
 
 def ward_counts(admissions: DataFrame, since: str = REPORT_START) -> DataFrame:
@@ -76,20 +79,18 @@ def prescribed_date(c: Column, dtype=None, formats=None) -> Column:
 
 def clean_prescriptions(medications: DataFrame, patients: DataFrame, formats=None) -> DataFrame:
     """Prescriptions of known patients with a readable drug, dose and date."""
-    return (
-        known_parents(medications, patients, "patient_id", "patient_id")
-        .select(
-            "medication_id",
-            strip(F.col("patient_id")).alias("patient_id"),
-            drug_name(F.col("drug_name")).alias("drug_name"),
-            F.bround(dosage(F.col("dosage_mg"), _dtype(medications, "dosage_mg")), 2).alias("dosage_mg"),
-            prescribed_date(
-                F.col("prescribed_date"), _dtype(medications, "prescribed_date"), formats
-            ).alias("prescribed_date"),
-        )
-        .filter(F.col("drug_name") != "")
-        .dropna(subset=["dosage_mg", "prescribed_date"])
+    known = known_parents(medications, patients, "patient_id", "patient_id")
+    rows = computed(
+        known,
+        "medication_id",
+        strip(F.col("patient_id")).alias("patient_id"),
+        drug_name(F.col("drug_name")).alias("drug_name"),
+        F.bround(dosage(F.col("dosage_mg"), _dtype(medications, "dosage_mg")), 2).alias("dosage_mg"),
+        prescribed_date(F.col("prescribed_date"), _dtype(medications, "prescribed_date"), formats).alias(
+            "prescribed_date"
+        ),
     )
+    return rows.filter(F.col("drug_name") != "").dropna(subset=["dosage_mg", "prescribed_date"])
 
 
 def prescription_counts(
@@ -145,8 +146,11 @@ def join_fanout(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     parents = patients.groupBy(strip(F.col("patient_id")).alias("patient_id")).agg(F.count(F.lit(1)).alias("m"))
-    inner = children.join(parents, "patient_id").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("t"))
-    cross = children.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
+    sizes = children.join(parents, "patient_id", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"),
+        F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("inner_total"),
+    )
+    sizes = sizes.select(F.struct("eligible", "inner_total").alias("sizes")).scalar()
     patient_rows = patients.agg(F.count(F.lit(1)).alias("t"))
     if reported is None:
         reported = prescription_counts(medications, patients, since, formats=formats)
@@ -156,8 +160,8 @@ def join_fanout(
     )
     sized = total.select(
         "reported_total",
-        inner.scalar().alias("inner_total"),
-        (cross.scalar() * patient_rows.scalar()).alias("cross_total"),
+        sizes["inner_total"].alias("inner_total"),
+        (sizes["eligible"] * patient_rows.scalar()).alias("cross_total"),
         "__rows",
     )
     nearer = F.abs(F.col("reported_total") - F.col("inner_total")) <= F.abs(

@@ -8,6 +8,7 @@ from .tables import (
     read_jdbc,
     read_table,
     snapshot_once,
+    spread,
     upsert,
     utc,
     write_jdbc,
@@ -23,6 +24,7 @@ __all__ = [
     "read_jdbc",
     "read_table",
     "snapshot_once",
+    "spread",
     "upsert",
     "utc",
     "write_jdbc",

@@ -30,6 +30,16 @@ def read_table(spark: SparkSession, where: str, columns=None, format: str = "par
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows among all cores if the source came in fewer pieces.
+
+    For input that cannot be split, such as one gzip file or one row group,
+    ahead of costly work per row. A source in many pieces is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, partition_column=None, lower=None, upper=None, partitions=None, **options
 ) -> DataFrame:
