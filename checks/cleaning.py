@@ -21,7 +21,7 @@ from cleanframe.operators import (
 )
 from cleanframe.plans.conform import WARD_CODE_UNITS, tagged_union
 
-from .dirt import BEDS, FEED_A, FEED_B, MEDICATIONS, ORDERS, REFERENCE_DAY, cased, for_duck, for_spark
+from .dirt import BEDS, FEED_A, FEED_B, MEDICATIONS, ORDERS, REFERENCE_DAY, cased, for_duck
 from .registry import query
 
 NULL_LIKE = ["", "N/A", "n/a"]
@@ -37,7 +37,7 @@ def _num(c):
 
 def _orders(t, *columns):
     picked = {c: ORDERS[c] for c in ("order_id", *columns)}
-    return t.orders.selectExpr(*for_spark(picked))
+    return t.dirty(t.orders, picked)
 
 
 @query(
@@ -160,7 +160,7 @@ for case in ("lower", "upper"):
         f"WITH c AS (SELECT {for_duck(CUSTOMERS)} FROM customer) SELECT id, {case}(trim(segment, {BLANK})) AS segment FROM c",
     )
     def _(t, case=case):
-        return normalize_strings(t.customer.selectExpr(*for_spark(CUSTOMERS)), ["segment"], case)
+        return normalize_strings(t.dirty(t.customer, CUSTOMERS), ["segment"], case)
 
 
 @query(
@@ -169,7 +169,7 @@ for case in ("lower", "upper"):
     f"lower(trim(name, {BLANK})), '(\\p{{L}}+|\\P{{L}}+)'), lambda r: upper(r[1]) || r[2:]), '') AS name FROM p",
 )
 def _(t):
-    return normalize_strings(t.part.selectExpr(*for_spark(PARTS)), ["name"], "title")
+    return normalize_strings(t.dirty(t.part, PARTS), ["name"], "title")
 
 
 @query(
@@ -204,7 +204,7 @@ MERGED_SQL = f"WITH m AS (SELECT {for_duck(MERGED)} FROM orders)"
 
 @query("rename_merge", f"{MERGED_SQL} SELECT id, coalesce(code, old_code) AS code, amount AS price FROM m")
 def _(t):
-    merged = t.orders.selectExpr(*for_spark(MERGED))
+    merged = t.dirty(t.orders, MERGED)
     return rename_columns(merged, {"old_code": "code", "amount": "price", "absent": "x"})
 
 
@@ -213,13 +213,13 @@ def _(t):
     f"{MERGED_SQL} SELECT id, coalesce(code, old_code, 'none') AS any_code, amount FROM m",
 )
 def _(t):
-    merged = t.orders.selectExpr(*for_spark(MERGED))
+    merged = t.dirty(t.orders, MERGED)
     return coalesce_columns(merged, "any_code", ["code", "old_code"], fill_value="none", drop_sources=True)
 
 
 @query("copy_fill", f"{MERGED_SQL} SELECT id, coalesce(code, old_code) AS code, old_code, amount FROM m")
 def _(t):
-    return copy_column(t.orders.selectExpr(*for_spark(MERGED)), "old_code", "code", overwrite=False)
+    return copy_column(t.dirty(t.orders, MERGED), "old_code", "code", overwrite=False)
 
 
 @query(
@@ -257,7 +257,7 @@ def _(t):
     f"{MERGED_SQL} SELECT id, code, CASE WHEN code = 'F' THEN 'done' ELSE 'open' END AS state FROM m",
 )
 def _(t):
-    merged = t.orders.selectExpr(*for_spark(MERGED)).select("id", "code")
+    merged = t.dirty(t.orders, MERGED).select("id", "code")
     return derive_column(merged, "state", "if_equals", column="code", equals="F", then="done", **{"else": "open"})
 
 
@@ -267,7 +267,7 @@ def _(t):
     "CAST(amount AS VARCHAR) || ' {x}' || '' AS label FROM m",
 )
 def _(t):
-    merged = t.orders.selectExpr(*for_spark(MERGED))
+    merged = t.dirty(t.orders, MERGED)
     template = "[{code}] {id}: {amount} {{x}}{unknown}"
     return derive_column(merged, "label", "template", template=template).select("id", "label")
 
@@ -281,7 +281,7 @@ LABELS_SQL = f"WITH s AS (SELECT {for_duck(LABELS)} FROM supplier)"
     f"{LABELS_SQL} SELECT id, label, coalesce(nullif(regexp_extract(label, '(\\d+)', 1), ''), 'UNKNOWN') AS digits FROM s",
 )
 def _(t):
-    return derive_column(t.supplier.selectExpr(*for_spark(LABELS)), "digits", "extract_digits", column="label")
+    return derive_column(t.dirty(t.supplier, LABELS), "digits", "extract_digits", column="label")
 
 
 @query(
@@ -289,7 +289,7 @@ def _(t):
     f"{LABELS_SQL} SELECT id, label, coalesce(nullif(regexp_replace(label, '\\D', '', 'g'), ''), '-') AS digits FROM s",
 )
 def _(t):
-    labels = t.supplier.selectExpr(*for_spark(LABELS))
+    labels = t.dirty(t.supplier, LABELS)
     return derive_column(labels, "digits", "extract_digits", column="label", digits="all", fallback="-")
 
 
@@ -327,7 +327,7 @@ _AT = (
     f"SELECT event_id, strftime({_AT}, '%Y-%m-%d %H:%M:%S') AS at, strftime({_AT}, '%Y-%m-%d') AS on_day FROM events",
 )
 def _(t):
-    events = t.events.selectExpr(*for_spark(EPOCHS))
+    events = t.dirty(t.events, EPOCHS)
     return fix_unix_ms(fix_unix_ms(events, "at", "datetime"), ["on_day"], "date")
 
 
@@ -346,7 +346,7 @@ _DAY = (
     f"strftime({_DAY}, '%Y-%m-%d') AS day FROM m",
 )
 def _(t):
-    medications = t.lineitem.selectExpr(*for_spark(MEDICATIONS))
+    medications = t.dirty(t.lineitem, MEDICATIONS)
     return medications.select(
         "medication_id",
         V.drug_name(F.col("drug_name")).alias("drug"),
@@ -453,8 +453,8 @@ FEED_SPEC = [
 
 
 def feeds(t):
-    a = t.events.filter("event_id % 2 = 0").selectExpr(*for_spark(FEED_A))
-    b = t.events.filter("event_id % 2 = 1").selectExpr(*for_spark(FEED_B))
+    a = t.dirty(t.events.filter("event_id % 2 = 0"), FEED_A)
+    b = t.dirty(t.events.filter("event_id % 2 = 1"), FEED_B)
     return a, b
 
 

@@ -22,7 +22,6 @@ from .dirt import (
     REFERENCE_DAY,
     REPEATED,
     for_duck,
-    for_spark,
 )
 from .registry import query
 
@@ -43,7 +42,7 @@ ADMISSIONS_SQL = (
 
 
 def admissions(t):
-    raw = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(*for_spark(ADMISSIONS))
+    raw = t.dirty(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")), ADMISSIONS)
     return R.clean_admissions(raw, order_by=["row_no"])
 
 
@@ -77,11 +76,11 @@ PRESCRIPTIONS_SQL = (
 
 
 def medications(t):
-    return spread(t.lineitem).selectExpr(*for_spark(MEDICATIONS))
+    return t.dirty(spread(t.lineitem), MEDICATIONS)
 
 
 def patients(t):
-    return t.orders.selectExpr(*for_spark(PATIENTS))
+    return t.dirty(t.orders, PATIENTS)
 
 
 @query(
@@ -177,7 +176,7 @@ def conformed(t):
 
 
 def beds(t):
-    return t.supplier.selectExpr(*for_spark(BEDS))
+    return t.dirty(t.supplier, BEDS)
 
 
 @query(
@@ -356,11 +355,11 @@ def _(t):
 
 def candidate(t):
     worse = t.orders.filter(KEPT)
-    return worse.union(t.orders.filter(REPEATED)).selectExpr(*for_spark(CANDIDATE))
+    return t.dirty(worse.union(t.orders.filter(REPEATED)), CANDIDATE)
 
 
 def expected(t):
-    return t.orders.selectExpr(*for_spark(EXPECTED))
+    return t.dirty(t.orders, EXPECTED)
 
 
 def _canon(c, kind):
@@ -471,8 +470,8 @@ def _lowered(columns):
     "round(0.7 * exact_ratio + 0.3 * partial_ratio, 6) AS score FROM r",
 )
 def _(t):
-    worse = t.customer.filter("c_custkey % 30 <> 1").selectExpr(*for_spark(_WORSE))
-    scores = C.row_similarity(worse, t.customer.selectExpr(*for_spark(_GOOD)))
+    worse = t.dirty(t.customer.filter("c_custkey % 30 <> 1"), _WORSE)
+    scores = C.row_similarity(worse, t.dirty(t.customer, _GOOD))
     return scores.select("equal_rows", *[F.round(c, 6).alias(c) for c in ("exact_ratio", "partial_ratio", "score")])
 
 
@@ -487,8 +486,8 @@ def _(t):
     "round(0.7 * exact_ratio + 0.3 * partial_ratio, 6) AS score FROM r",
 )
 def _(t):
-    worse = t.customer.filter("c_custkey % 30 <> 1").selectExpr(*for_spark(_WORSE))
-    scores = C.row_similarity(worse, t.customer.selectExpr(*for_spark(_GOOD)), block_by=["nation"])
+    worse = t.dirty(t.customer.filter("c_custkey % 30 <> 1"), _WORSE)
+    scores = C.row_similarity(worse, t.dirty(t.customer, _GOOD), block_by=["nation"])
     return scores.select("equal_rows", *[F.round(c, 6).alias(c) for c in ("exact_ratio", "partial_ratio", "score")])
 
 

@@ -81,7 +81,7 @@ def try_num(c: Column, dtype: T.DataType | None = None) -> Column:
         return c.cast("double")
     if dtype is not None and not isinstance(dtype, T.StringType):
         return F.lit(None).cast("double")
-    return once(strip(c), _text_num)
+    return _text_num(strip(c))
 
 
 def _text_num(text: Column) -> Column:
@@ -287,12 +287,12 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-def _number_form(c: Column) -> Column:
-    """One text per numeric value, whole doubles like integers; null for other text.
+# Integers that already are their canonical text.
+_PLAIN_INTEGER = r"^(0|-?[1-9]\d{0,17})$"
 
-    Values are told apart up to 18 decimals. Spark's decimal parser takes no
-    suffixes and no `nan`.
-    """
+
+def _number_form(c: Column) -> Column:
+    """One text per numeric value, told apart up to 18 decimals; whole ones like integers."""
     fine = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
     return F.coalesce(fine, c.try_cast("decimal(38,0)").cast("string"))
 
@@ -312,12 +312,21 @@ def canonical(c: Column, dtype: T.DataType, mode: str = "value") -> Column:
     if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
         return once(c, _number_form)
     if isinstance(dtype, T.StringType):
-        return once(strip(c), lambda t: F.coalesce(_number_form(t), F.nullif(F.lower(t), F.lit("nan"))))
+        return once(
+            strip(c), lambda t: _canonical_text(t).otherwise(F.when(F.lower(t) != "nan", F.lower(t)))
+        )
     return c.cast("string")
 
 
+def _canonical_text(t: Column) -> Column:
+    number = F.coalesce(_number_form(t), F.lower(t))
+    return F.when(t.rlike(_PLAIN_INTEGER), t).when(t.rlike(_NUMBER), number)
+
+
 def _canonical_double(x: Column) -> Column:
-    return F.coalesce(_number_form(x), F.lower(F.when(~F.isnan(x), x.cast("string"))))
+    text = F.lower(F.when(~F.isnan(x), x.cast("string")))
+    whole = (x == F.rint(x)) & (F.abs(x) < 1e15)
+    return F.when(whole, x.cast("bigint").cast("string")).otherwise(F.coalesce(_number_form(x), text))
 
 
 def sort_text(c: Column, dtype: T.DataType) -> Column:
@@ -325,7 +334,10 @@ def sort_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         shown = once(
             strip(c),
-            lambda t: F.coalesce(once(_number_form(t), lambda n: _as_float(n, t.rlike("[.eE]"))), F.lower(t)),
+            lambda t: once(
+                _canonical_text(t).otherwise(F.lower(t)),
+                lambda n: F.when(t.rlike(_NUMBER), _as_float(n, t.rlike("[.eE]"))).otherwise(n),
+            ),
         )
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
         shown = once(once(c, _canonical_double), lambda n: _as_float(n, n.rlike(r"^-?\d+$")))

@@ -33,7 +33,7 @@ def exact_median(df: DataFrame, column: str) -> Column:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     total = counts.agg(F.sum("n").alias("n")).scalar()
-    upto = running_sum(counts, "n", ["value"], name="upto")
+    upto = running_sum(counts, "n", ["value"], name="upto", ties=())
     middle = upto.agg(
         F.min(F.when(F.col("upto") > F.floor((total - 1) / 2), F.col("value"))).alias("low"),
         F.min(F.when(F.col("upto") > F.floor(total / 2), F.col("value"))).alias("high"),

@@ -50,13 +50,17 @@ def range_count(df: DataFrame) -> int:
     return max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _keyed(df: DataFrame, order_by) -> tuple[DataFrame, list[str]]:
+def _keyed(df: DataFrame, order_by, ties) -> tuple[DataFrame, list[str]]:
+    """Add the order key: the order columns, and a hash of the tie columns if any."""
     require_columns(df, order_by)
     if not order_by:
         raise SpecError("an explicit order_by is required: Spark tables have no row order")
+    ties = df.columns if ties is None else list(ties)
     keys = [F.col(c).alias(f"__key{i}") for i, c in enumerate(order_by)]
-    keyed = df.select("*", *keys, row_hash(df).alias(TIE))
-    return keyed, [f"__key{i}" for i in range(len(order_by))] + [TIE]
+    if ties:
+        keys.append(row_hash(df, ties).alias(TIE))
+    names = [f"__key{i}" for i in range(len(order_by))] + ([TIE] if ties else [])
+    return df.select("*", *keys), names
 
 
 def _cuts(keyed: DataFrame, keys: list[str], ranges: int) -> Column:
@@ -86,13 +90,13 @@ def _with_range(table: DataFrame, cuts: Column, keys: list[str], ranges: int) ->
     return table.withColumn("__cuts", cuts).withColumn(RANGE, found + 1).drop("__cuts")
 
 
-def _ranged(df: DataFrame, order_by, partition_by, ranges, group_rows) -> tuple[DataFrame, list[str]]:
+def _ranged(df: DataFrame, order_by, partition_by, ranges, group_rows, ties) -> tuple[DataFrame, list[str]]:
     """Add the order keys and the range; rows of ordinary groups get range 0.
 
     `ranges` is how many to cut, or a column that already rises with the order.
     """
     require_columns(df, partition_by)
-    keyed, keys = _keyed(df, order_by)
+    keyed, keys = _keyed(df, order_by, ties)
     if isinstance(ranges, Column):
         return keyed.withColumn(RANGE, ranges), keys
     if ranges == 1:
@@ -137,18 +141,26 @@ def _with_carry(ranged: DataFrame, carry: DataFrame, partition_by, keys):
 
 
 def forward_fill(
-    df: DataFrame, columns, order_by, partition_by=(), ranges: int | Column | None = None, group_rows: int = GROUP_ROWS
+    df: DataFrame,
+    columns,
+    order_by,
+    partition_by=(),
+    ranges: int | Column | None = None,
+    group_rows: int = GROUP_ROWS,
+    ties=None,
 ) -> DataFrame:
     """Replace each null by the last value before it in the given order.
 
     Leading nulls stay null. With `partition_by` values do not cross groups.
     ranges=1 is for tables or groups the caller knows to fit into one task.
+    Rows the order leaves tied are ordered by a hash of the columns `ties`, all
+    by default; () is for orders without ties.
     """
     columns, order_by, partition_by = list(columns), list(order_by), list(partition_by)
     require_columns(df, columns)
     if set(columns) & set(partition_by):
         raise SpecError("a column cannot be filled within groups of itself")
-    ranged, keys = _ranged(df, order_by, partition_by, ranges, group_rows)
+    ranged, keys = _ranged(df, order_by, partition_by, ranges, group_rows, ties)
     if _one(ranges):
         upto = _upto([*partition_by, RANGE], keys)
         return ranged.select(
@@ -178,11 +190,12 @@ def running_sum(
     name: str = "running_sum",
     ranges: int | Column | None = None,
     group_rows: int = GROUP_ROWS,
+    ties=None,
 ) -> DataFrame:
     """Add the sum of `weight` over all rows up to and including each row."""
     order_by, partition_by = list(order_by), list(partition_by)
     require_columns(df, [weight])
-    ranged, keys = _ranged(df, order_by, partition_by, ranges, group_rows)
+    ranged, keys = _ranged(df, order_by, partition_by, ranges, group_rows, ties)
     if _one(ranges):
         return ranged.select(*df.columns, F.sum(weight).over(_upto([*partition_by, RANGE], keys)).alias(name))
     sums = ranged.filter(F.col(RANGE) > 0).groupBy(*partition_by, RANGE).agg(F.sum(weight).alias("__add"))

@@ -85,7 +85,7 @@ def _runs(df: DataFrame, columns, side: str, task_rows: int) -> tuple[DataFrame,
     texts = df.select(*[sort_text(F.col(c), df.schema[c].dataType).alias(f"s{i}") for i, c in enumerate(own)])
     order = [f"s{i}" for i in range(len(own))]
     distinct = materialize(texts.groupBy(*order).agg(F.count(F.lit(1)).alias("n")))
-    placed = running_sum(distinct, "n", order, name="stop", ranges=_fit(distinct, task_rows))
+    placed = running_sum(distinct, "n", order, name="stop", ranges=_fit(distinct, task_rows), ties=())
     rows = distinct.agg(_total(F.col("n")).alias("n"))
 
     def cell(column):
@@ -122,7 +122,7 @@ def cell_accuracy_by_position(candidate: DataFrame, expected: DataFrame, task_ro
     longest = F.greatest(rows_e, rows_c)
     rising = F.floor(F.col("start") * range_count(points) / F.greatest(longest, F.lit(1))).cast("int") + 1
     ranges = _fit(points, task_rows) or rising
-    overlay = forward_fill(points, ["e", "c"], ["start"], ranges=ranges)
+    overlay = forward_fill(points, ["e", "c"], ["start"], ranges=ranges, ties=())
     length = F.least(F.col("e.stop"), F.col("c.stop")) - F.col("start")
     overlaid = F.col("e").isNotNull() & F.col("c").isNotNull() & (F.least("e.stop", "c.stop") < _END)
     equal = sum((F.col(f"e.c{i}").eqNullSafe(F.col(f"c.c{i}")).cast("bigint") for i in range(len(columns))), F.lit(0))
@@ -258,7 +258,7 @@ def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=()) -> Da
 # -- rows paired one to one -------------------------------------------------
 
 
-def _paired(candidate: DataFrame, expected: DataFrame, shared, block_by, order_by) -> DataFrame:
+def _paired(candidate, expected, shared, block_by, order_by, task_rows, rows=False) -> DataFrame:
     """Each expected row beside the candidate row of the same block and place.
 
     The place is the row's number within its block; with a block key that is
@@ -269,14 +269,20 @@ def _paired(candidate: DataFrame, expected: DataFrame, shared, block_by, order_b
 
     def side(df, name):
         require_columns(df, [*block_by, *order_by])
-        rows = df.select(
-            *[F.coalesce(canonical(F.col(b), df.schema[b].dataType), F.lit("\0")).alias(n) for b, n in zip(block_by, blocks)],
+        keys = [F.coalesce(canonical(F.col(b), df.schema[b].dataType), F.lit("\0")) for b in block_by]
+        table = df.select(
+            *[k.alias(n) for k, n in zip(keys, blocks)],
             F.struct(F.lit(1).alias("is_row"), *_cells(df, shared)).alias(name),
-            F.to_json(F.struct(*shared)).alias(f"{name}_json"),
             *[F.col(o).alias(n) for o, n in zip(order_by, order)],
+            *([F.struct(*shared).alias(f"{name}_row")] if rows else []),
             F.lit(1).alias("one"),
         )
-        return running_sum(rows, "one", order, blocks, name="place").drop("one")
+        one_task = df.count() <= task_rows
+        if not one_task:  # a hot block is read several times to number its rows
+            table = materialize(table)
+        return running_sum(
+            table, "one", order, blocks, name="place", ranges=1 if one_task else None, group_rows=task_rows, ties=[name]
+        ).drop("one")
 
     return side(expected, "e").join(side(candidate, "c").drop(*order), [*blocks, "place"], "left")
 
@@ -288,7 +294,9 @@ def _similarity(shared) -> Column:
     return F.when(F.col("c").isNotNull(), equal / len(shared)).otherwise(0.0)
 
 
-def blended_match(candidate: DataFrame, expected: DataFrame, block_by, order_by) -> DataFrame:
+def blended_match(
+    candidate: DataFrame, expected: DataFrame, block_by, order_by, task_rows: int = GROUP_ROWS
+) -> DataFrame:
     """0.55 x equal rows + 0.25 x similarity of pairs + 0.10 x columns + 0.10 x row count.
 
     Similarity is over the shared columns; rows pair one to one within
@@ -303,7 +311,7 @@ def blended_match(candidate: DataFrame, expected: DataFrame, block_by, order_by)
         "candidate_rows",
         expected.agg(F.count(F.lit(1)).alias("n")).scalar().alias("expected_rows"),
     )
-    pair_total = _paired(candidate, expected, shared, list(block_by), list(order_by)).agg(
+    pair_total = _paired(candidate, expected, shared, list(block_by), list(order_by), task_rows).agg(
         _total(_similarity(shared)).alias("s")
     )
     e, c = F.col("expected_rows"), F.col("candidate_rows")
@@ -345,18 +353,20 @@ def blended_match(candidate: DataFrame, expected: DataFrame, block_by, order_by)
     )
 
 
-def row_comparisons(candidate: DataFrame, expected: DataFrame, block_by, order_by, n: int = 20) -> DataFrame:
+def row_comparisons(
+    candidate: DataFrame, expected: DataFrame, block_by, order_by, n: int = 20, task_rows: int = GROUP_ROWS
+) -> DataFrame:
     """The first n expected rows beside their partners, for display."""
     shared = column_sets(candidate, expected)["shared"]
-    pairs = _paired(candidate, expected, shared, list(block_by), list(order_by))
+    pairs = _paired(candidate, expected, shared, list(block_by), list(order_by), task_rows, rows=True)
     order = [f"__o{i}" for i in range(len(order_by))]
     shown = pairs.orderBy(*order, "place").limit(n)
     index = F.row_number().over(Window.orderBy(*order, "place")) - 1
     return shown.select(
         index.alias("expected_index"),
         F.round(_similarity(shared), 4).alias("similarity"),
-        F.col("e_json").alias("expected_row"),
-        F.col("c_json").alias("candidate_row"),
+        F.to_json("e_row").alias("expected_row"),
+        F.to_json("c_row").alias("candidate_row"),
     )
 
 
