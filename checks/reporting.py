@@ -42,7 +42,7 @@ ADMISSIONS_SQL = (
 
 
 def admissions(t):
-    raw = t.dirty(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")), ADMISSIONS)
+    raw = t.dirty(spread(t.orders).join(t.customer, F.col("o_custkey") == F.col("c_custkey")), ADMISSIONS)
     return R.clean_admissions(raw, order_by=["row_no"])
 
 
@@ -354,12 +354,12 @@ def _(t):
 
 
 def candidate(t):
-    worse = t.orders.filter(KEPT)
-    return t.dirty(worse.union(t.orders.filter(REPEATED)), CANDIDATE)
+    orders = spread(t.orders)
+    return t.dirty(orders.filter(KEPT).union(orders.filter(REPEATED)), CANDIDATE)
 
 
 def expected(t):
-    return t.dirty(t.orders, EXPECTED)
+    return t.dirty(spread(t.orders), EXPECTED)
 
 
 def _canon(c, kind):

@@ -4,12 +4,13 @@ from .dedupe import first_per_key, remove_duplicates
 from .nulls import exact_median, fill_nulls, fix_nulls
 from .ordered import forward_fill, running_sum
 from .outliers import remove_outliers
-from .recipe import OPERATIONS, clean, clean_with_report, parse_operations
+from .recipe import OPERATIONS, clean, clean_or_keep, clean_with_report, parse_operations
 from .types import fix_dtypes, fix_unix_ms, normalize_strings
 
 __all__ = [
     "OPERATIONS",
     "clean",
+    "clean_or_keep",
     "clean_with_report",
     "coalesce_columns",
     "copy_column",

@@ -119,6 +119,11 @@ def _ranged(df: DataFrame, order_by, partition_by, ranges, group_rows, ties) ->
     return ranged.withColumn(RANGE, F.when(F.col("__hot"), F.col(RANGE)).otherwise(0)).drop("__hot"), keys
 
 
+def _cut_rows(ranged: DataFrame, partition_by) -> DataFrame:
+    """The rows of groups cut into ranges: all of them if there are no groups."""
+    return ranged.filter(F.col(RANGE) > 0) if partition_by else ranged
+
+
 def _one(ranges) -> bool:
     return not isinstance(ranges, Column) and ranges == 1
 
@@ -168,7 +173,7 @@ def forward_fill(
         )
     position = F.struct(*keys)
     last_in_range = (
-        ranged.filter(F.col(RANGE) > 0)
+        _cut_rows(ranged, partition_by)
         .groupBy(*partition_by, RANGE)
         .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in columns])
     )
@@ -198,7 +203,7 @@ def running_sum(
     ranged, keys = _ranged(df, order_by, partition_by, ranges, group_rows, ties)
     if _one(ranges):
         return ranged.select(*df.columns, F.sum(weight).over(_upto([*partition_by, RANGE], keys)).alias(name))
-    sums = ranged.filter(F.col(RANGE) > 0).groupBy(*partition_by, RANGE).agg(F.sum(weight).alias("__add"))
+    sums = _cut_rows(ranged, partition_by).groupBy(*partition_by, RANGE).agg(F.sum(weight).alias("__add"))
     carry = sums.select(*partition_by, RANGE, F.sum("__add").over(_before(partition_by)).alias("__add"))
     rows, upto = _with_carry(ranged.withColumn("__add", F.col(weight)), carry, partition_by, keys)
     return (

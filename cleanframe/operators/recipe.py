@@ -105,6 +105,14 @@ def clean(df: DataFrame, operations, order_by=(), null_like=()) -> DataFrame:
     return reduce(lambda table, step: _apply(table, step, order_by, null_like), steps, df)
 
 
+def clean_or_keep(df: DataFrame, operations, order_by=(), null_like=()) -> tuple[DataFrame, str | None]:
+    """clean(), or the table as it was and the reason if the spec is wrong."""
+    try:
+        return clean(df, operations, order_by, null_like), None
+    except SpecError as wrong:
+        return df, str(wrong)
+
+
 def clean_with_report(df: DataFrame, operations, order_by=(), null_like=()):
     """Like clean(), plus a function giving rows before and after each operation.
 

@@ -84,9 +84,6 @@ def _runs(df: DataFrame, columns, side: str, task_rows: int) -> tuple[DataFrame,
     own = sorted(df.columns)
     texts = df.select(*[sort_text(F.col(c), df.schema[c].dataType).alias(f"s{i}") for i, c in enumerate(own)])
     order = [f"s{i}" for i in range(len(own))]
-    distinct = materialize(texts.groupBy(*order).agg(F.count(F.lit(1)).alias("n")))
-    placed = running_sum(distinct, "n", order, name="stop", ranges=_fit(distinct, task_rows), ties=())
-    rows = distinct.agg(_total(F.col("n")).alias("n"))
 
     def cell(column):
         if column not in own:
@@ -96,8 +93,12 @@ def _runs(df: DataFrame, columns, side: str, task_rows: int) -> tuple[DataFrame,
             return F.when(text == "True", "1").when(text == "False", "0")
         return F.when(text != "None", canonical(text, T.StringType()))
 
-    cells = [cell(c).alias(f"c{i}") for i, c in enumerate(columns)]
-    runs = placed.select((F.col("stop") - F.col("n")).alias("start"), F.struct(F.col("stop"), *cells).alias(side))
+    counted = texts.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
+    cells = F.struct(*[cell(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("cells")
+    distinct = materialize(counted.select("*", cells))
+    placed = running_sum(distinct, "n", order, name="stop", ranges=_fit(distinct, task_rows), ties=())
+    rows = distinct.agg(_total(F.col("n")).alias("n"))
+    runs = placed.select((F.col("stop") - F.col("n")).alias("start"), F.struct(F.col("stop"), "cells.*").alias(side))
     nothing = [F.lit(None).cast("string").alias(f"c{i}") for i in range(len(columns))]
     tail = rows.select(F.col("n").alias("start"), F.struct(F.lit(_END).alias("stop"), *nothing).alias(side))
     return runs.unionByName(tail), rows.scalar()
@@ -121,8 +122,7 @@ def cell_accuracy_by_position(candidate: DataFrame, expected: DataFrame, task_ro
     points = materialize(runs_e.unionByName(runs_c, allowMissingColumns=True))
     longest = F.greatest(rows_e, rows_c)
     rising = F.floor(F.col("start") * range_count(points) / F.greatest(longest, F.lit(1))).cast("int") + 1
-    ranges = _fit(points, task_rows) or rising
-    overlay = forward_fill(points, ["e", "c"], ["start"], ranges=ranges, ties=())
+    overlay = forward_fill(points, ["e", "c"], ["start"], ranges=rising, ties=())
     length = F.least(F.col("e.stop"), F.col("c.stop")) - F.col("start")
     overlaid = F.col("e").isNotNull() & F.col("c").isNotNull() & (F.least("e.stop", "c.stop") < _END)
     equal = sum((F.col(f"e.c{i}").eqNullSafe(F.col(f"c.c{i}")).cast("bigint") for i in range(len(columns))), F.lit(0))
@@ -143,28 +143,31 @@ def cell_accuracy_by_key(candidate: DataFrame, expected: DataFrame, key: str, co
     """
     columns, order_by = list(columns), list(order_by)
 
-    def side(df, mine):
+    def side(df, name):
         require_columns(df, [key, *columns, *order_by])
-        rows = df.select(
+        cells = df.select("*", F.struct(*_cells(df, columns)).alias("cells"))
+        rank = [F.col(o).alias(f"o{i}") for i, o in enumerate(order_by)]
+        return cells.select(
             canonical(F.col(key), df.schema[key].dataType).alias("key"),
-            F.struct(*_cells(df, columns)).alias("cells"),
-            *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order_by)],
+            *[
+                (F.struct(*rank, F.xxhash64("cells").alias("tie"), "cells") if s == name else F.lit(None)).alias(s)
+                for s in "ce"
+            ],
         ).filter(F.col("key").isNotNull())
-        kept = first_per_key(rows, ["key"], [f"__o{i}" for i in range(len(order_by))])
-        return kept.select("key", *[(F.col("cells") if s == mine else F.lit(None).cast(kept.schema["cells"].dataType)).alias(s) for s in "ce"])
 
-    met = side(candidate, "c").unionByName(side(expected, "e")).groupBy("key").agg(
-        F.first("c", ignorenulls=True).alias("c"), F.first("e", ignorenulls=True).alias("e")
+    both_sides = side(candidate, "c").unionByName(side(expected, "e"))
+    met = both_sides.groupBy("key").agg(
+        F.min("c")["cells"].alias("c"), F.min("e")["cells"].alias("e"), F.count("c").alias("candidate_rows")
     )
     both = F.col("c").isNotNull() & F.col("e").isNotNull()
     equal = sum((F.col(f"c.c{i}").eqNullSafe(F.col(f"e.c{i}")).cast("int") for i in range(len(columns))), F.lit(0))
-    candidate_rows = candidate.agg(F.count(key).alias("n")).scalar()
     totals = met.agg(
         F.count_if(both).alias("shared_keys"),
         F.count_if(F.col("e").isNotNull()).alias("expected_keys"),
         F.count_if(F.col("c").isNotNull()).alias("candidate_keys"),
         _total(F.when(both, equal)).alias("matched_cells"),
-    ).withColumn("candidate_rows", candidate_rows)
+        _total(F.col("candidate_rows")).alias("candidate_rows"),
+    )
     one = F.lit(1)
     parts = totals.select(
         "shared_keys",

@@ -153,14 +153,22 @@ def write_upsert(target_path: str, changes: DataFrame, key, new_path: str, **how
     return overwrite(merged, new_path)
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors reach."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for intermediate tables: spark.checkpoint.dir, which all executors reach.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise SpecError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        folder = _local_folders[context.applicationId]
     return folder.rstrip("/")
 
 

@@ -2,7 +2,7 @@ import pytest
 
 from checks.cleaning import FEED_SPEC
 from cleanframe.errors import SpecError
-from cleanframe.operators import OPERATIONS, clean, clean_with_report, parse_operations
+from cleanframe.operators import OPERATIONS, clean, clean_or_keep, clean_with_report, parse_operations
 from cleanframe.plans.conform import tagged_union
 
 from .conftest import column, rows
@@ -68,6 +68,14 @@ def test_report_counts_rows_around_each_operation(table):
     ]
 
 
+def test_a_wrong_spec_can_leave_the_table_as_it_was(table):
+    df = table("a string", (" x",))
+    kept, reason = clean_or_keep(df, [{"operation": "normalize_strings", "columns": ["a"]}, {"operation": "fly"}])
+    assert kept is df and "fly" in reason
+    cleaned, reason = clean_or_keep(df, {"operation": "normalize_strings", "columns": ["a"]})
+    assert column(cleaned, "a") == ["x"] and reason is None
+
+
 def test_defaults_reach_the_operations_that_take_them(table):
     df = table("k int, v string, at int", (1, "N/A", 2), (2, "x", 1), (3, "", 3))
     got = clean(df, {"operation": "fix_nulls", "strategy": "forward_fill", "columns": ["v"]}, ["at"], ["", "N/A"])

@@ -100,3 +100,26 @@ def test_spread_leaves_split_sources_alone(spark):
     assert S.spread(spark.range(10, numPartitions=1).toDF("a")).rdd.getNumPartitions() == 4
     df = spark.range(10, numPartitions=9).toDF("a")
     assert S.spread(df) is df
+
+
+def test_a_shared_folder_set_on_the_context_is_used_where_the_setting_is_absent(spark, tmp_path):
+    class Context:
+        master, applicationId = "spark://host:1", "app"
+
+        def __init__(self, folder):
+            self.getCheckpointDir = lambda: folder
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+        def __init__(self, folder):
+            self.sparkContext = Context(folder)
+
+    from cleanframe.sources.tables import shared_folder
+
+    assert shared_folder(Session("hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(SpecError, match="spark.checkpoint.dir"):
+        shared_folder(Session(None))
