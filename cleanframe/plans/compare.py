@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..errors import SpecError, require_columns
 from ..functions.values import as_text, canonical, sort_text, strip, to_whole
 from ..operators.dedupe import first_per_key
-from ..operators.ordered import GROUP_ROWS, forward_fill, range_count, running_sum
+from ..operators.ordered import GROUP_ROWS, range_count, running_sum
 from ..sources.tables import materialize
 from .quality import clamp, closeness
 
@@ -71,13 +71,10 @@ def same_rows(candidate: DataFrame, expected: DataFrame, columns=None, mode: str
 
 # -- cells by position ------------------------------------------------------
 
-_END = (1 << 62) - 1
 
-
-def _runs(df: DataFrame, columns, side: str, task_rows: int) -> tuple[DataFrame, Column]:
-    """The sorted table as runs of equal rows: start position, and a struct of
-    the run's end and cells; one more run of missing rows follows the last.
-    Also the number of rows, as a scalar subquery.
+def _runs(df: DataFrame, columns, task_rows: int) -> tuple[DataFrame, Column]:
+    """The sorted table as runs of equal rows: from start to before stop, with
+    their cells. Also the number of rows, as a scalar subquery.
 
     The distinct rows are read several times to place them, so they are stored.
     """
@@ -97,11 +94,8 @@ def _runs(df: DataFrame, columns, side: str, task_rows: int) -> tuple[DataFrame,
     cells = F.struct(*[cell(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("cells")
     distinct = materialize(counted.select("*", cells))
     placed = running_sum(distinct, "n", order, name="stop", ranges=_fit(distinct, task_rows), ties=())
-    rows = distinct.agg(_total(F.col("n")).alias("n"))
-    runs = placed.select((F.col("stop") - F.col("n")).alias("start"), F.struct(F.col("stop"), "cells.*").alias(side))
-    nothing = [F.lit(None).cast("string").alias(f"c{i}") for i in range(len(columns))]
-    tail = rows.select(F.col("n").alias("start"), F.struct(F.lit(_END).alias("stop"), *nothing).alias(side))
-    return runs.unionByName(tail), rows.scalar()
+    rows = distinct.agg(_total(F.col("n")).alias("n")).scalar()
+    return placed.select((F.col("stop") - F.col("n")).alias("start"), "stop", "cells"), rows
 
 
 def _fit(stored: DataFrame, task_rows: int) -> int | None:
@@ -109,22 +103,40 @@ def _fit(stored: DataFrame, task_rows: int) -> int | None:
     return 1 if stored.count() <= task_rows else None
 
 
+def _pieces(runs: DataFrame, side: str, width: Column) -> DataFrame:
+    """The runs cut at every multiple of width, so that each range of positions
+    can be overlaid on its own."""
+    first, last = F.floor(F.col("start") / F.col("width")), F.floor((F.col("stop") - 1) / F.col("width"))
+    cut = runs.filter("start < stop").withColumn("width", width).withColumn("range", F.explode(F.sequence(first, last)))
+    return cut.select(
+        "range",
+        F.greatest(F.col("start"), F.col("range") * F.col("width")).alias("start"),
+        F.struct(F.least(F.col("stop"), (F.col("range") + 1) * F.col("width")).alias("stop"), "cells.*").alias(side),
+    )
+
+
 def cell_accuracy_by_position(candidate: DataFrame, expected: DataFrame, task_rows: int = GROUP_ROWS) -> DataFrame:
     """Share of equal cells when both tables are sorted and laid side by side.
 
     Rows sort by the text of their cells in column-name order. Both sides are
-    kept as runs of equal rows, so any number of copies is one run, and the
-    overlay of the runs is a forward fill along the position.
+    kept as runs of equal rows, so any number of copies is one run. Missing
+    rows at the end of the shorter side are a run of empty cells.
     """
     columns = sorted(set(candidate.columns) | set(expected.columns))
-    (runs_e, rows_e) = _runs(expected, columns, "e", task_rows)
-    (runs_c, rows_c) = _runs(candidate, columns, "c", task_rows)
-    points = materialize(runs_e.unionByName(runs_c, allowMissingColumns=True))
+    (runs_e, rows_e), (runs_c, rows_c) = _runs(expected, columns, task_rows), _runs(candidate, columns, task_rows)
     longest = F.greatest(rows_e, rows_c)
-    rising = F.floor(F.col("start") * range_count(points) / F.greatest(longest, F.lit(1))).cast("int") + 1
-    overlay = forward_fill(points, ["e", "c"], ["start"], ranges=rising, ties=())
+    width = F.greatest(F.ceil(longest / range_count(expected)), F.lit(1)).cast("bigint")
+
+    def side(runs, rows, name):
+        empty = F.struct(*[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(columns))])
+        tail = candidate.sparkSession.range(1).select(rows.alias("start"), longest.alias("stop"), empty.alias("cells"))
+        return _pieces(runs.unionByName(tail), name, width)
+
+    points = side(runs_e, rows_e, "e").unionByName(side(runs_c, rows_c, "c"), allowMissingColumns=True)
+    so_far = Window.partitionBy("range").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    overlay = points.select("start", *[F.last(s, ignorenulls=True).over(so_far).alias(s) for s in "ec"])
     length = F.least(F.col("e.stop"), F.col("c.stop")) - F.col("start")
-    overlaid = F.col("e").isNotNull() & F.col("c").isNotNull() & (F.least("e.stop", "c.stop") < _END)
+    overlaid = F.col("e").isNotNull() & F.col("c").isNotNull()
     equal = sum((F.col(f"e.c{i}").eqNullSafe(F.col(f"c.c{i}")).cast("bigint") for i in range(len(columns))), F.lit(0))
     matched = overlay.agg(_total(F.when(overlaid, length * equal)).alias("matched_cells"))
     cells = longest * len(columns)
