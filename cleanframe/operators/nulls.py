@@ -89,7 +89,7 @@ def fix_nulls(
 ) -> DataFrame:
     """Drop rows with missing cells, or fill the cells.
 
-    `null_like` lists texts to be treated as missing, such as "" and "N/A".
+    Missing are nulls, NaN and the texts in `null_like`, such as "" and "N/A".
     mean and median read the column as numbers, and other text counts as
     missing. forward_fill needs `order_by`.
     """
@@ -102,6 +102,9 @@ def fix_nulls(
         df = df.withColumns({c: nullify(F.col(c), null_like, _type(df, c)) for c in columns})
     if not columns:
         return df
+    floats = [c for c in columns if isinstance(_type(df, c), (T.DoubleType, T.FloatType))]
+    if floats:
+        df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
     if strategy == "drop":
         return df.dropna(subset=columns)
     if strategy == "forward_fill":

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..errors import SpecError, require_columns
+from ..functions.values import once
 
 RANGE = "__range"
 TIE = "__tie"
@@ -80,13 +81,15 @@ def _cuts(keyed: DataFrame, keys: list[str], ranges: int) -> Column:
 
 def _with_range(table: DataFrame, cuts: Column, keys: list[str], ranges: int) -> DataFrame:
     """Add 1 + how many cut points lie at or before the row's key, by binary search."""
-    key = F.struct(*keys)
-    steps = [1 << b for b in reversed(range(max(1, (ranges - 1).bit_length())))]
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(key >= F.get("__cuts", at + step - 1), at + step).otherwise(at),
-    )
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, (ranges - 1).bit_length())))])
+
+    def search(key):
+        def step_on(at, step):
+            return F.when(key >= F.get("__cuts", at + step - 1), at + step).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), step_on)
+
+    found = once(F.struct(*keys), search)
     return table.withColumn("__cuts", cuts).withColumn(RANGE, found + 1).drop("__cuts")
 
 
@@ -172,6 +175,7 @@ def forward_fill(
             *[(F.last(c, ignorenulls=True).over(upto) if c in columns else F.col(c)).alias(c) for c in df.columns]
         )
     position = F.struct(*keys)
+    # every range needs its row here, also one without any value
     last_in_range = (
         _cut_rows(ranged, partition_by)
         .groupBy(*partition_by, RANGE)

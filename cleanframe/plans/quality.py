@@ -82,7 +82,7 @@ def rule_ratios(df: DataFrame, rules, required_columns=(), column_weight: float
     """One row with the ratio of each rule and their weighted sum as `score`.
 
     Missing required columns leave 0.20 times the share of those present; no
-    rows at all give 0. Foreign keys are checked on counts per key, so a hot
+    rows at all give 0. A foreign key is checked on counts per key, so a hot
     key costs one row in the join.
     """
     present = [c for c in required_columns if c in df.columns]
@@ -94,36 +94,47 @@ def rule_ratios(df: DataFrame, rules, required_columns=(), column_weight: float
 
     simple = [r for r in rules if isinstance(r, Rule)]
     keys = [r for r in rules if isinstance(r, ForeignKey)]
+    distinct = [r for r in rules if isinstance(r, DistinctKeys)]
+    for r in keys:
+        require_columns(df, [r.column])
+    for r in distinct:
+        require_columns(df, r.columns)
     if len(keys) > 1:
         raise SpecError("at most one foreign key per call")
     hits = {r.name: F.count_if(r.holds) for r in simple}
+
+    # With a key rule everything is counted per key first, in one pass.
+    by_key = None
     if keys:
-        key = keys[0]
-        require_columns(df, [key.column])
-        per_key = df.groupBy(strip(F.col(key.column)).alias("__key")).agg(
+        by_key = [strip(F.col(keys[0].column)).alias("__key")]
+    elif distinct:
+        by_key = [F.col(c).alias(f"__key{i}") for i, c in enumerate(distinct[0].columns)]
+    if by_key is None:
+        totals = df.agg(F.count(F.lit(1)).alias("row_count"), *[h.alias(n) for n, h in hits.items()])
+    else:
+        per_key = df.groupBy(*by_key).agg(
             F.count(F.lit(1)).alias("__rows"), *[h.alias(f"__hit{i}") for i, h in enumerate(hits.values())]
         )
-        parents = (
-            key.parents.select(strip(F.col(key.parent_key)).alias("__parent"))
-            .distinct()
-            .withColumn("__known", F.lit(True))
-        )
-        joined = per_key.join(parents, on=F.col("__key") == F.col("__parent"), how="left")
-        totals = joined.agg(
+        if keys:
+            parents = keys[0].parents.select(strip(F.col(keys[0].parent_key)).alias("__parent")).distinct()
+            per_key = per_key.join(
+                parents.withColumn("__known", F.lit(True)), on=F.col("__key") == F.col("__parent"), how="left"
+            )
+            counted = F.sum(F.when(F.col("__known"), F.col("__rows"))).alias(keys[0].name)
+        else:
+            counted = F.count(F.lit(1)).alias(distinct[0].name)
+        totals = per_key.agg(
             F.coalesce(F.sum("__rows"), F.lit(0)).alias("row_count"),
             *[F.sum(f"__hit{i}").alias(n) for i, n in enumerate(hits)],
-            F.sum(F.when(F.col("__known"), F.col("__rows"))).alias(key.name),
+            counted,
         )
-    else:
-        totals = df.agg(F.count(F.lit(1)).alias("row_count"), *[h.alias(n) for n, h in hits.items()])
 
     ratios = {}
     for r in rules:
         if isinstance(r, RowCount):
             expected = r.expected if isinstance(r.expected, Column) else F.lit(r.expected)
             ratios[r.name] = closeness(F.col("row_count"), expected)
-        elif isinstance(r, DistinctKeys):
-            require_columns(df, r.columns)
+        elif isinstance(r, DistinctKeys) and (keys or r is not distinct[0]):
             ratios[r.name] = distinct_share(df, r.columns)
         else:
             ratios[r.name] = F.coalesce(F.try_divide(F.col(r.name), F.col("row_count")), F.lit(0.0))

@@ -71,6 +71,14 @@ def test_drop(table):
     assert rows(fix_nulls(df, "drop", null_like=NULL_LIKE)) == [("x", 1)]
 
 
+def test_nan_is_missing(table):
+    df = table("at int, v double", (1, 1.0), (2, float("nan")), (3, None), (4, 4.0))
+    assert rows(fix_nulls(df, "drop", ["v"])) == [(1, 1.0), (4, 4.0)]
+    assert rows(fix_nulls(df, "mean", ["v"])) == [(1, 1.0), (2, 2.5), (3, 2.5), (4, 4.0)]
+    assert rows(fix_nulls(df, "forward_fill", ["v"], order_by=["at"])) == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 4.0)]
+    assert rows(fix_nulls(df, "mode", ["v"])) == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 4.0)]
+
+
 def test_mean_reads_text_and_replaces_other_text(table):
     df = table("a string", ("1",), ("2",), (None,), ("x",))
     assert sorted(column(fix_nulls(df, "mean", ["a"]), "a")) == [1.0, 1.5, 1.5, 2.0]
@@ -154,6 +162,14 @@ def test_forward_fill_cuts_hot_groups(spark):
         assert rows(got, "id") == rows(want, "id")
 
 
+def test_forward_fill_carries_over_ranges_without_any_value(spark):
+    df = spark.range(1, 301).select("id", F.when(F.col("id").isin(5, 120), F.col("id")).alias("v"))
+    got = rows(forward_fill(df.repartition(4), ["v"], ["id"]), "id")
+    assert got == [(i, 120 if i >= 120 else 5 if i >= 5 else None) for i in range(1, 301)]
+    hot = forward_fill(df.withColumn("g", F.lit("g")), ["v"], ["id"], ["g"], group_rows=10).drop("g")
+    assert rows(hot, "id") == got
+
+
 def test_forward_fill_keeps_leading_nulls_and_null_groups(table):
     df = table("g string, at int, v string", (None, 1, None), (None, 2, "a"), (None, 3, None), ("x", 1, None), ("x", 2, "b"))
     got = forward_fill(df, ["v"], ["at"], ["g"])
