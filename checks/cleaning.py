@@ -21,7 +21,7 @@ from cleanframe.operators import (
 )
 from cleanframe.plans.conform import WARD_CODE_UNITS, tagged_union
 
-from .dirt import BEDS, FEED_A, FEED_B, MEDICATIONS, ORDERS, REFERENCE_DAY, cased, for_duck
+from .dirt import BEDS, FEED_A, FEED_B, IN_FEED_A, MEDICATIONS, ORDERS, REFERENCE_DAY, cased, for_duck
 from .registry import query
 
 NULL_LIKE = ["", "N/A", "n/a"]
@@ -453,14 +453,14 @@ FEED_SPEC = [
 
 
 def feeds(t):
-    a = t.dirty(t.events.filter("event_id % 2 = 0"), FEED_A)
-    b = t.dirty(t.events.filter("event_id % 2 = 1"), FEED_B)
+    a = t.dirty(t.events.filter(IN_FEED_A), FEED_A)
+    b = t.dirty(t.events.filter(f"NOT {IN_FEED_A}"), FEED_B)
     return a, b
 
 
 FEEDS_SQL = (
-    f"WITH a AS (SELECT {for_duck(FEED_A)} FROM events WHERE event_id % 2 = 0), "
-    f"b AS (SELECT {for_duck(FEED_B)} FROM events WHERE event_id % 2 = 1), "
+    f"WITH a AS (SELECT {for_duck(FEED_A)} FROM events WHERE {IN_FEED_A}), "
+    f"b AS (SELECT {for_duck(FEED_B)} FROM events WHERE NOT {IN_FEED_A}), "
     f"beds AS (SELECT {for_duck(BEDS)} FROM supplier), "
     "codes(ward_code, icu_unit) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in WARD_CODE_UNITS.items()) + ")"
 )

@@ -117,18 +117,19 @@ MEDICATIONS = {
 }
 PATIENTS = {"patient_id": "'P' || CAST(o_orderkey AS STRING)", "ward": "substr(o_orderpriority, 3)"}
 
-# Two feeds of the event table: even events with written times, odd ones with
-# epoch milliseconds and ward codes.
+# Two feeds that together are the event table: one kind of events with written
+# times, the other with epoch milliseconds and ward codes.
+IN_FEED_A = "event_type IN ('click', 'view')"
 FEED_A = {
     "patient_id": "event_id",
-    "bed_number": "CASE WHEN event_id % 46 = 0 THEN 'Bed' ELSE 'Bed ' || CAST(user_id % 60 AS STRING) END",
+    "bed_number": "CASE WHEN event_id % 23 = 0 THEN 'Bed' ELSE 'Bed ' || CAST(user_id % 60 AS STRING) END",
     "icu_unit": "CASE user_id % 4 WHEN 0 THEN 'ICU_MEDICAL' WHEN 1 THEN 'ICU_SURGICAL' WHEN 2 THEN 'ICU_CARDIAC' ELSE 'ICU_NEURO' END",
-    "admitted_at": "CASE WHEN event_id % 34 = 0 THEN 'later' ELSE STAMP(ts) END",
+    "admitted_at": "CASE WHEN event_id % 17 = 0 THEN 'later' ELSE STAMP(ts) END",
 }
 FEED_B = {
     "pid": "'u-' || CAST(event_id AS STRING)",
     "ward_code": (
-        "CASE WHEN event_id % 51 = 0 THEN 'XX' ELSE CASE user_id % 4 WHEN 0 THEN 'MICU' WHEN 1 THEN ' SURG-ICU' "
+        "CASE WHEN event_id % 25 = 0 THEN 'XX' ELSE CASE user_id % 4 WHEN 0 THEN 'MICU' WHEN 1 THEN ' SURG-ICU' "
         "WHEN 2 THEN 'CCU ' ELSE 'NEURO-ICU' END END"
     ),
     "room": "'Room 0' || CAST(user_id % 60 AS STRING)",
@@ -153,5 +154,5 @@ EXPECTED = {
     "priority": "o_orderpriority",
     "price": "CAST(CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE)",
 }
-KEPT = "o_orderkey % 50 <> 0"
-REPEATED = "o_orderkey % 40 = 1"
+KEPT = "o_totalprice >= 15000"
+REPEATED = "o_totalprice > 490000"

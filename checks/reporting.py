@@ -207,10 +207,10 @@ def _(t):
 
 @query(
     "code_lookup",
-    "SELECT c_custkey, coalesce(n_name, '') AS c_nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20",
+    "SELECT c_custkey, coalesce(n_name, '') AS c_nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2",
 )
 def _(t):
-    nations = t.nation.filter("n_nationkey < 20").selectExpr("CAST(n_nationkey AS STRING) AS code", "n_name AS value")
+    nations = t.nation.filter("n_regionkey <> 2").selectExpr("CAST(n_nationkey AS STRING) AS code", "n_name AS value")
     customers = t.customer.selectExpr("c_custkey", "CAST(c_nationkey AS STRING) AS c_nation")
     return look_up(customers, "c_nation", nations)
 
@@ -461,7 +461,7 @@ def _lowered(columns):
 
 @query(
     "cmp_best_match",
-    f"WITH c AS (SELECT {_lowered(_WORSE)} FROM customer WHERE c_custkey % 30 <> 1), e AS (SELECT {_lowered(_GOOD)} FROM customer), "
+    f"WITH c AS (SELECT {_lowered(_WORSE)} FROM customer WHERE c_acctbal > -900), e AS (SELECT {_lowered(_GOOD)} FROM customer), "
     "x AS (SELECT count(*) AS equal_rows FROM (SELECT * FROM c INTERSECT ALL SELECT * FROM e)), "
     "b AS (SELECT e.id, max(CAST(c.id IS NOT DISTINCT FROM e.id AS INT) + CAST(c.name IS NOT DISTINCT FROM e.name AS INT) "
     "+ CAST(c.nation IS NOT DISTINCT FROM e.nation AS INT) + CAST(c.segment IS NOT DISTINCT FROM e.segment AS INT)) AS m FROM e, c GROUP BY 1), "
@@ -470,14 +470,14 @@ def _lowered(columns):
     "round(0.7 * exact_ratio + 0.3 * partial_ratio, 6) AS score FROM r",
 )
 def _(t):
-    worse = t.dirty(t.customer.filter("c_custkey % 30 <> 1"), _WORSE)
+    worse = t.dirty(t.customer.filter("c_acctbal > -900"), _WORSE)
     scores = C.row_similarity(worse, t.dirty(t.customer, _GOOD))
     return scores.select("equal_rows", *[F.round(c, 6).alias(c) for c in ("exact_ratio", "partial_ratio", "score")])
 
 
 @query(
     "cmp_best_match_blocked",
-    f"WITH c AS (SELECT {_lowered(_WORSE)} FROM customer WHERE c_custkey % 30 <> 1), e AS (SELECT {_lowered(_GOOD)} FROM customer), "
+    f"WITH c AS (SELECT {_lowered(_WORSE)} FROM customer WHERE c_acctbal > -900), e AS (SELECT {_lowered(_GOOD)} FROM customer), "
     "x AS (SELECT count(*) AS equal_rows FROM (SELECT * FROM c INTERSECT ALL SELECT * FROM e)), "
     "b AS (SELECT e.id, max(CAST(c.id IS NOT DISTINCT FROM e.id AS INT) + CAST(c.name IS NOT DISTINCT FROM e.name AS INT) "
     "+ 1 + CAST(c.segment IS NOT DISTINCT FROM e.segment AS INT)) AS m FROM e, c WHERE c.nation = e.nation GROUP BY 1), "
@@ -486,7 +486,7 @@ def _(t):
     "round(0.7 * exact_ratio + 0.3 * partial_ratio, 6) AS score FROM r",
 )
 def _(t):
-    worse = t.dirty(t.customer.filter("c_custkey % 30 <> 1"), _WORSE)
+    worse = t.dirty(t.customer.filter("c_acctbal > -900"), _WORSE)
     scores = C.row_similarity(worse, t.dirty(t.customer, _GOOD), block_by=["nation"])
     return scores.select("equal_rows", *[F.round(c, 6).alias(c) for c in ("exact_ratio", "partial_ratio", "score")])
 
@@ -599,14 +599,14 @@ def _(t):
 
 @query(
     "upsert",
-    "WITH n AS (SELECT c_custkey, 'moved' AS c_name, c_acctbal FROM customer WHERE c_custkey % 4 = 0 "
-    "UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_custkey % 9 = 0) "
+    "WITH n AS (SELECT c_custkey, 'moved' AS c_name, c_acctbal FROM customer WHERE c_acctbal < 1000 "
+    "UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_acctbal > 9000) "
     "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL FROM n",
 )
 def _(t):
     customers = t.customer.select("c_custkey", "c_name", "c_acctbal")
-    moved = customers.filter("c_custkey % 4 = 0").withColumn("c_name", F.lit("moved"))
-    new = customers.filter("c_custkey % 9 = 0").withColumn("c_custkey", F.col("c_custkey") + 10000000)
+    moved = customers.filter("c_acctbal < 1000").withColumn("c_name", F.lit("moved"))
+    new = customers.filter("c_acctbal > 9000").withColumn("c_custkey", F.col("c_custkey") + 10000000)
     stale = moved.withColumn("c_name", F.lit("stale"))
     changes = moved.union(new).withColumn("nr", F.lit(2)).union(stale.withColumn("nr", F.lit(1)))
     return upsert(customers, changes, "c_custkey", order_by=["nr"])
