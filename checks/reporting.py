@@ -523,7 +523,7 @@ def _(t):
 def _(t):
     wanted = expected(t).withColumn("order_id", F.col("order_id").cast("bigint"))
     shown = C.row_comparisons(candidate(t), wanted, ["order_id"], ["status", "order_id"])
-    return shown.select("expected_index", "similarity")
+    return shown.select(F.col("expected_index").cast("bigint").alias("expected_index"), "similarity")
 
 
 def _reports(t):

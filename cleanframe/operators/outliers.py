@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import SpecError, require_columns
 from ..functions.values import try_num
+from .joins import attach
+from .ordered import GROUP_ROWS
 
 
 def _bounds(number: Column, n_std: float) -> list[Column]:
@@ -14,7 +16,9 @@ def _bounds(number: Column, n_std: float) -> list[Column]:
     return [(mean - n_std * usable).alias("low"), (mean + n_std * usable).alias("high"), mean.alias("mean")]
 
 
-def remove_outliers(df: DataFrame, column: str, n_std: float = 3, partition_by=()) -> DataFrame:
+def remove_outliers(
+    df: DataFrame, column: str, n_std: float = 3, partition_by=(), group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """Keep rows within n_std population standard deviations of the mean.
 
     Bounds are inclusive. Rows without a number are kept, and so is everything
@@ -48,9 +52,9 @@ def remove_outliers(df: DataFrame, column: str, n_std: float = 3, partition_by=(
         )
         return df.filter(inside(stats.scalar()["low"], stats.scalar()["high"]))
 
-    groups = [f"__group{i}" for i in range(len(partition_by))]
-    stats = df.groupBy(*[F.col(c).alias(g) for c, g in zip(partition_by, groups)]).agg(
-        *[b.alias(f"__{n}") for b, n in zip(_bounds(number, n_std), ("low", "high", "mean"))]
+    stats = df.groupBy(*partition_by).agg(
+        *[b.alias(f"__{n}") for b, n in zip(_bounds(number, n_std), ("low", "high"))],
+        F.count(F.lit(1)).alias("__rows"),
     )
-    same = [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(partition_by, groups)]
-    return df.join(stats, on=same, how="left").filter(inside(F.col("__low"), F.col("__high"))).select(*df.columns)
+    bounded = attach(df, stats, partition_by, "__rows", group_rows)
+    return bounded.filter(inside(F.col("__low"), F.col("__high"))).select(*df.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..errors import SpecError, require_columns
 from ..functions.values import as_text, canonical, sort_text, strip, to_whole
 from ..operators.dedupe import first_per_key
+from ..operators.joins import attach
 from ..operators.ordered import GROUP_ROWS, range_count, running_sum
 from ..sources.tables import materialize
 from .quality import clamp, closeness
@@ -200,7 +201,9 @@ def cell_accuracy_by_key(candidate: DataFrame, expected: DataFrame, key: str, co
 MAX_FREE_COLUMNS = 12
 
 
-def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=()) -> DataFrame:
+def row_similarity(
+    candidate: DataFrame, expected: DataFrame, block_by=(), task_rows: int = GROUP_ROWS
+) -> DataFrame:
     """0.7 x share of equal rows + 0.3 x mean best similarity of an expected row.
 
     The best similarity of a row is the largest share of columns in which some
@@ -230,7 +233,7 @@ def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=()) -> Da
 
     counts = _row_counts(candidate, expected, columns)
     cells = F.array(*[F.coalesce(F.concat(F.lit("="), F.col(f"c{i}")), F.lit("")) for i in range(width)])
-    counts = counts.select(cells.alias("cells"), "c", "e")
+    counts = materialize(counts.select(cells.alias("cells"), "c", "e"))
     same_columns = set(candidate.columns) == set(expected.columns)
     totals = counts.agg(
         _total(F.least("c", "e") if same_columns else F.lit(0)).alias("equal_rows"),
@@ -245,13 +248,16 @@ def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=()) -> Da
         return spread.withColumn("values", values)
 
     if masks:
-        wanted = listed(counts.filter((F.col("e") > 0) & (F.col("c") == 0)))
+        missing = counts.filter((F.col("e") > 0) & (F.col("c") == 0))
+        wanted = listed(missing)
         offered = listed(counts.filter(F.col("c") > 0)).select("mask", "values").distinct()
-        best = (
-            wanted.join(offered, ["mask", "values"], "left_semi")
-            .groupBy("cells")
-            .agg(F.max(F.bit_count("mask")).alias("agree"), F.first("e").alias("e"))
-        )
+        if missing.count() <= task_rows:
+            found = wanted.join(offered, ["mask", "values"], "left_semi")
+        else:  # a value many rows share, such as a ward, would be one task's work
+            sizes = wanted.groupBy("mask", "values").agg(F.count(F.lit(1)).alias("rows"))
+            known = sizes.join(offered.withColumn("known", F.lit(True)), ["mask", "values"], "left")
+            found = attach(wanted, known, ["mask", "values"], "rows", task_rows).filter("known")
+        best = found.groupBy("cells").agg(F.max(F.bit_count("mask")).alias("agree"), F.first("e").alias("e"))
         near = best.agg(_total(F.col("e") * F.col("agree")).alias("s")).scalar()
     else:
         near = F.lit(0)

@@ -47,8 +47,8 @@ def tagged_union(feeds: dict[str, DataFrame], tag: str = "source_table") -> Data
 def known_parents(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows whose stripped key is not empty and occurs among the parents.
 
-    The parent side is reduced to its distinct keys; which join strategy runs,
-    and how a hot child key is split, is left to adaptive execution.
+    The join's inputs are plain shuffles, so that adaptive execution can
+    broadcast a small parent table or split a hot child key.
     """
     keys, key = _parent_keys(parents, parent_key), strip(F.col(child_key))
     return children.filter(key != "").join(keys, on=key == F.col("__parent"), how="left_semi")
@@ -57,12 +57,12 @@ def known_parents(children: DataFrame, parents: DataFrame, child_key: str, paren
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """The rows known_parents() would drop."""
     keys, key = _parent_keys(parents, parent_key), F.coalesce(strip(F.col(child_key)), F.lit(""))
-    return children.join(keys, on=(key == F.col("__parent")) & (key != ""), how="left_anti")
+    return children.join(keys, on=key == F.col("__parent"), how="left_anti")
 
 
 def _parent_keys(parents: DataFrame, parent_key: str) -> DataFrame:
     require_columns(parents, [parent_key])
-    return parents.select(strip(F.col(parent_key)).alias("__parent")).filter(F.col("__parent") != "").distinct()
+    return parents.select(strip(F.col(parent_key)).alias("__parent")).filter(F.col("__parent") != "")
 
 
 def look_up(df: DataFrame, column: str, codes, code: str = "code", value: str = "value") -> DataFrame:

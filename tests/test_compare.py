@@ -58,9 +58,10 @@ def test_cells_by_position_with_many_copies_and_other_columns(spark):
 
 
 @pytest.mark.parametrize("seed,n,m", SIZES)
-def test_row_similarity_tries_all_pairs(spark, seed, n, m):
+@pytest.mark.parametrize("task_rows", [10**6, 2])
+def test_row_similarity_tries_all_pairs(spark, seed, n, m, task_rows):
     (c, e), made, wanted = pair(spark, seed, n, m)
-    got = C.row_similarity(c, e).first()
+    got = C.row_similarity(c, e, task_rows=task_rows).first()
     if not wanted or not made:
         assert got.score == (1.0 if wanted == made else 0.0)
         return

@@ -218,6 +218,16 @@ def test_outliers_per_group(table):
     assert rows(got.groupBy("g", "v").count()) == [("a", 1.0, 20), ("n", None, 1), (None, 50.0, 20)]
 
 
+def test_outliers_of_hot_groups_meet_their_bounds_everywhere(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 40).alias("g"), (F.xxhash64("id") % 1000).alias("v"), "id"
+    )
+    want = rows(remove_outliers(df, "v", 1, ["g"]), "id")
+    assert 0 < len(want) < 3000
+    for group_rows in (0, 60, 500):
+        assert rows(remove_outliers(df.repartition(5), "v", 1, ["g"], group_rows=group_rows), "id") == want
+
+
 def test_outliers_refuse_bad_parameters(table):
     df = table("v string", ("x",))
     for n in (0, -1, "many", None):

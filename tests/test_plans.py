@@ -109,6 +109,29 @@ def test_known_parents_and_orphans_split_the_rows(table):
     assert rows(orphans(children, parents, "k", "id")) == [("", 3), ("b", 2), (None, 4)]
 
 
+def test_a_hot_child_key_is_split_by_adaptive_execution(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        children = spark.range(0, 60000, numPartitions=8).selectExpr(
+            "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS k", "id"
+        )
+        parents = spark.range(60000).selectExpr("CASE WHEN id = 0 THEN 'hot' ELSE concat('k', id) END AS k")
+        known = known_parents(children, parents, "k", "k")
+        assert len(known.collect()) == 60000
+        assert "skew=true" in known._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_look_up_by_dict_and_table(table):
     df = table("c string", ("x",), ("q",), (None,))
     codes = table("code string, value string", ("x", "X"))
