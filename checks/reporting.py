@@ -215,22 +215,20 @@ def _(t):
     return look_up(customers, "c_nation", nations)
 
 
-ICU_SQL = (
-    "WITH patient_agg AS (SELECT icu_unit, count(*) AS current_occupancy, "
-    "sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS active_count FROM conformed GROUP BY icu_unit), "
-    "capacity_agg AS (SELECT unit AS icu_unit, count(*) AS total_capacity FROM beds GROUP BY unit) "
-    "SELECT c.icu_unit, coalesce(p.current_occupancy, 0) AS current_occupancy, c.total_capacity, "
-    "CAST(coalesce(p.active_count, 0) AS BIGINT) AS active_count FROM capacity_agg c LEFT JOIN patient_agg p ON p.icu_unit = c.icu_unit "
-    "WHERE c.total_capacity >= {least} ORDER BY c.icu_unit"
+UNIT_SQL = (
+    "WITH places AS (SELECT unit, count(*) AS built FROM beds GROUP BY unit HAVING count(*) >= {least}), "
+    "stays AS (SELECT icu_unit AS unit, count(*) AS taken, count(*) FILTER (WHERE status = 'active') AS live FROM conformed GROUP BY icu_unit) "
+    "SELECT unit AS icu_unit, built AS total_capacity, coalesce(taken, 0) AS current_occupancy, coalesce(live, 0) AS active_count "
+    "FROM places LEFT JOIN stays USING (unit) ORDER BY unit"
 )
 
 
 @query(
     "sql_passthrough",
-    CONFORMED_SQL + ", " + ICU_SQL.format(least="2").removeprefix("WITH "),
+    CONFORMED_SQL + ", " + UNIT_SQL.format(least="2").removeprefix("WITH "),
 )
 def _(t):
-    return R.read_sql(t.spark, ICU_SQL.format(least=":least"), {"conformed": conformed(t), "beds": beds(t)}, {"least": 2})
+    return R.read_sql(t.spark, UNIT_SQL.format(least=":least"), {"conformed": conformed(t), "beds": beds(t)}, {"least": 2})
 
 
 @query(

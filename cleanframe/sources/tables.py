@@ -34,7 +34,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Share the rows among all cores if the source came in fewer pieces.
 
     For input that cannot be split, such as one gzip file or one row group,
-    ahead of costly work per row. A source in many pieces is left alone.
+    ahead of costly work per row. A source in many pieces is left alone. Meant
+    for a table just read: a plan that shuffles would run to be asked.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
