@@ -558,8 +558,9 @@ def _(t):
 
 @query(
     "cmp_expected_measure",
-    f"{REPORTS_SQL}, m AS (SELECT avg(CASE WHEN a.orders IS NULL THEN 0 ELSE greatest(0, 1 - abs(a.orders - ge.orders) / greatest(1, ge.orders)) END) AS match "
-    "FROM ge LEFT JOIN kept a USING (status, priority)), n AS (SELECT (SELECT count(*) FROM kept) AS a, (SELECT count(*) FROM ge) AS e) "
+    f"{REPORTS_SQL}, unnamed AS (SELECT DISTINCT upper(trim(status)) AS status FROM c0 WHERE priority IS NULL), "
+    "m AS (SELECT avg(CASE WHEN a.orders IS NULL THEN 0 ELSE greatest(0, 1 - abs(a.orders - ge.orders) / greatest(1, ge.orders)) END) AS match "
+    "FROM ge LEFT JOIN kept a USING (status, priority)), n AS (SELECT (SELECT count(*) FROM kept) + (SELECT count(*) FROM unnamed) AS a, (SELECT count(*) FROM ge) AS e) "
     "SELECT round(match, 6) AS match, round(0.75 * match + 0.15 * greatest(0, 1 - abs(a - e) / e) + 0.1, 6) AS score FROM m, n",
 )
 def _(t):

@@ -420,13 +420,18 @@ def _met(candidate: DataFrame, expected: DataFrame, n_keys: int, n_measures: int
 
 
 def _measured(df: DataFrame, keys, measures, unreadable=None) -> DataFrame:
+    """Normalised keys and whole measures. Rows without either are left out,
+    unless a value for unreadable measures says to keep them all."""
     require_columns(df, [*keys, *measures])
     values = [to_whole(F.col(m), df.schema[m].dataType, "trunc") for m in measures]
+    cells = _key_cells(df, keys)
     if unreadable is not None:
         values = [F.coalesce(v, F.lit(unreadable)) for v in values]
-    rows = df.select(*_key_cells(df, keys), *[v.alias(f"m{i}") for i, v in enumerate(values)]).dropna()
-    for i in range(len(keys)):
-        rows = rows.filter(F.col(f"k{i}") != "")
+        cells = [F.coalesce(c, F.lit("<NA>")).alias(f"k{i}") for i, c in enumerate(cells)]
+    rows = df.select(*cells, *[v.alias(f"m{i}") for i, v in enumerate(values)]).dropna()
+    if unreadable is None:
+        for i in range(len(keys)):
+            rows = rows.filter(F.col(f"k{i}") != "")
     return rows
 
 
@@ -454,7 +459,10 @@ def grouped_measure_accuracy(candidate: DataFrame, expected: DataFrame, keys, me
 
 
 def expected_measure_match(candidate: DataFrame, expected: DataFrame, keys, measure: str) -> DataFrame:
-    """0.75 x closeness over the expected keys + 0.15 x number of keys + 0.10 x columns."""
+    """0.75 x closeness over the expected keys + 0.15 x number of keys + 0.10 x columns.
+
+    Unreadable measures count as 0, and a missing key is a key of its own.
+    """
     keys = list(keys)
     required = [*keys, measure]
     column_share = len([c for c in required if c in candidate.columns]) / len(required)

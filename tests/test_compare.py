@@ -185,10 +185,12 @@ def test_grouped_measure_accuracy(table):
 
 def test_expected_measure_match(table):
     e = table("ward string, n bigint", ("ICU", 10), ("ER", 4))
-    c = table("ward string, n string", ("icu", "8"), ("OBS", "1"), ("LAB", "x"))
+    c = table("ward string, n string", ("icu", "8"), ("OBS", "1"), ("er", "x"))
     got = C.expected_measure_match(c, e, ["ward"], "n").first()
-    assert got.match == pytest.approx(0.4)
+    assert got.match == pytest.approx((0.8 + 0) / 2)
     assert got.score == pytest.approx(0.75 * 0.4 + 0.15 * 0.5 + 0.1)
+    more = C.expected_measure_match(c.union(table("ward string, n string", (None, "1"))), e, ["ward"], "n").first()
+    assert more.score == pytest.approx(0.75 * 0.4 + 0.1)
     assert C.expected_measure_match(c.drop("n"), e, ["ward"], "n").first().score == pytest.approx(0.05)
     none = e.filter("false")
     scores = [C.expected_measure_match(x, y, ["ward"], "n").first().score for x, y in ((none, none), (e, none), (e, e))]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from checks.cleaning import FEED_SPEC
 from cleanframe.errors import SpecError
@@ -68,6 +69,26 @@ def test_report_counts_rows_around_each_operation(table):
     ]
 
 
+def test_report_counts_once_where_a_step_reads_its_input_several_times(spark):
+    df = spark.range(400).select(
+        "id",
+        (F.col("id") % 10).alias("k"),
+        F.when(F.col("id") % 7 != 0, F.col("id") * 1.0).alias("v"),
+        F.when(F.col("id") % 5 != 0, F.lit("a")).alias("w"),
+    )
+    steps = [
+        {"operation": "fix_nulls", "strategy": "mode", "columns": ["w"]},
+        {"operation": "fix_nulls", "strategy": "mean", "columns": ["v"]},
+        {"operation": "remove_outliers", "column": "v", "n_std": 1.5},
+        {"operation": "fix_nulls", "strategy": "forward_fill", "columns": ["w"]},
+        {"operation": "remove_duplicates", "columns": ["k"]},
+    ]
+    out, report = clean_with_report(df, steps, order_by=["id"])
+    out.collect()
+    want = [400] + [clean(df, steps[: i + 1], order_by=["id"]).count() for i in range(len(steps))]
+    assert [(r["rows_before"], r["rows_after"]) for r in report()] == list(zip(want, want[1:]))
+
+
 def test_a_wrong_spec_can_leave_the_table_as_it_was(table):
     df = table("a string", (" x",))
     kept, reason = clean_or_keep(df, [{"operation": "normalize_strings", "columns": ["a"]}, {"operation": "fly"}])
