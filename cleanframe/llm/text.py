@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer single word is hashed alone.
-PIECE = 1 << 22
+PIECE = 1 << 18
 
 _BYTES = np.arange(256)
 #: `[^\x20\x09-\x0D]`; these bytes never occur inside a longer UTF-8 character.
