@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .text import bytes_of, small_batches
@@ -170,6 +171,26 @@ def identify(docs: DataFrame, model: Model | None, columns: list[str], text_col:
     Repeated rows and null ids are rows like others; an empty table gives an empty result.
     """
     letter = F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
+    columns = [c for c in columns if c not in ("lang_pred", "score", "rejected")]
     slim = docs.select(*columns, F.col(text_col).alias("__text"), letter.alias("__letter"))
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     return slim.mapInArrow(_identified(model), T.StructType([*(slim.schema[c] for c in columns), *more]))
+
+
+def _accepted(model: Model | None, text: int):
+    identified = _identified(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slim = pa.RecordBatch.from_arrays([batch.column(text), batch.column(batch.num_columns - 1)], ["__text", "__letter"])
+            rejected = pa.concat_arrays([b.column(2) for b in identified(iter([slim]))]) if batch.num_rows else pa.array([], pa.bool_())
+            kept = batch.filter(pc.invert(rejected))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that `identify` doesn't reject."""
+    letter = F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
+    return docs.withColumn("__letter", letter).mapInArrow(_accepted(model, docs.columns.index(text_col)), docs.schema)

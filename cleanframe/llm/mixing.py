@@ -81,6 +81,11 @@ def quotas(wanted: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Dat
     )
 
 
+def _key(id_col: str, text_col: str, seed: str) -> Column:
+    whole = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    return F.md5(whole)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -108,10 +113,9 @@ def mix(
     empty result; a table without any word gives targets and quotas of 0. Columns named like the
     new ones are replaced; all others are kept.
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
     added = ("size", "source_size", "target", "quota", "block_words", "taken")
     rows = docs.drop(*[c for c in added if c not in (id_col, text_col, source_col)]).select(
-        "*", n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("__source"), key.alias("__key")
+        "*", n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("__source"), _key(id_col, text_col, seed).alias("__key")
     )
     return placed(rows, weights, share, most, shards, blocks)
 
@@ -142,3 +146,15 @@ def placed(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2
     return lying.withColumn("taken", (rounds * F.col("size") + last).cast("long")).drop(
         "__source", "__key", "__part", "__at", "__before", "__s", "__p"
     )
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
+    """The mixed documents, all columns: each row as often as `mix` takes it, parts rounded to whole documents."""
+    rows = docs.select(
+        F.struct(*docs.columns).alias("__doc"),
+        n_words(F.col(text_col)).alias("size"),
+        F.col(source_col).alias("__source"),
+        _key(id_col, text_col, seed).alias("__key"),
+    )
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    return placed(rows, **how).select("__doc", F.explode(F.array_repeat(F.lit(0), times))).select("__doc.*")

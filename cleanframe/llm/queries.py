@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cleanframe.sources import read_table
 
-from . import licenses, minhash, mixing, pii, secrets, sharding, tokens
+from . import decontaminate, langid, licenses, minhash, mixing, pii, secret_scan, sharding, tokens, vectors
 from .spans import written
 
 QUERIES: dict = {}
@@ -40,7 +40,7 @@ def op2(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 @query("op3_markov_secrets")
 def op3(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return secrets.digest(secrets.find_secrets(docs.select("doc_id", "text")))
+    return secret_scan.digest(secret_scan.find_secrets(docs.select("doc_id", "text")))
 
 
 @query("op4_spliced_tokens")
@@ -48,6 +48,13 @@ def op4(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return tokens.count_tokens(docs)
 
 
+@query("op5_latent_leaks")
+def op5(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    benchmark = read_table(spark, f"{folder}/benchmark.parquet")
+    found = decontaminate.leaks(docs, benchmark)
+    return found.select("doc_id", "item_id", *[F.round(c, 4).alias(c) for c in ("similarity", "subsequence", "answer")])
+
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
@@ -74,6 +81,25 @@ def op6(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return minhash.near_duplicates(docs)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.reach),
+n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.reach) AS component_id, min(r.reach) = r.vec_id AS kept
+FROM r LEFT JOIN n USING (vec_id) GROUP BY r.vec_id
+"""
+
+
+@query("op7_projection_forest", table="embeddings", sql=OP7_SQL)
+def op7(spark: SparkSession, vecs: DataFrame, folder: str) -> DataFrame:
+    return vectors.near_vectors(vecs)
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -125,3 +151,9 @@ def op9(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
         written(F.col("spans")).alias("spans"),
         F.round(F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)), 2).alias("top_score"),
     )
+
+
+@query("op10_nearest_centroid")
+def op10(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    told = docs.withColumn("held_out", langid.held_out("doc_id"))
+    return langid.identify(told, langid.train(docs), ["doc_id", "held_out"])
