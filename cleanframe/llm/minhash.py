@@ -16,8 +16,8 @@ from .text import NOT_SPACE, bounds, bytes_of, mix, salts, small_batches, words
 WIDTH = 5
 #: Bands and coordinates in each. A pair at similarity 0.85 shares no band with a chance of 2.6e-7.
 BANDS, ROWS = 32, 6
-#: Pivots that each bucket compares with all its members: first one, then so many times more.
-MORE_PIVOTS = 8
+#: Bands of the first round, pivots of a bucket in the first rounds, and so many times more in each later one.
+FIRST, PIVOTS, MORE = 4, 2, 4
 SEED = 6
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -136,34 +136,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (node, label) of the components that all similar pairs within a bucket make.
 
-    A bucket first compares one pivot with all its members. Where that leaves members in different
-    components, more pivots follow, each compared with the members of other components, until
-    every member was a pivot or the bucket is one component. So each pair in a bucket is compared, or
-    known to be connected, and a large group of copies costs one comparison per member.
+    In a round, each bucket compares a few pivots with its members of other components. Links join
+    components, pivots leave the bucket, and a bucket whose other members are one component is done:
+    so each pair in a bucket is compared or known to be connected. Pivots are members of the
+    bucket's smallest components, in one order for all buckets. The first round looks at FIRST bands
+    only, where large groups of copies become components at the cost of a few comparisons per member;
+    the rounds after it see all bands, with ever more pivots, and have little left to do.
     """
-    order = W.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket"), "node")
-    labels, done, more = None, 0, 1
-    open_ = buckets.withColumn("label", F.col("node"))
+    labels, linked, number = None, None, PIVOTS
+    left = stored(buckets.filter(F.col("band") < FIRST).select("bucket", "node", F.col("node").alias("label")))
+    first = True
     while True:
-        pivots = (
-            open_.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {done + more}").filter(f"rank > {done}")
-            .select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-        )
-        pairs = open_.join(stored(pivots), "bucket").filter("label != la").select("a", F.col("node").alias("b")).distinct()
-        links = _verified(stored(pairs), sets, percent)
+        sizes = stored(left.groupBy("bucket", "label").agg(F.count("*").alias("size")))
+        order = W.partitionBy("bucket").orderBy("size", F.xxhash64("node"), "node")
+        ranked = left.join(sizes, ["bucket", "label"]).withColumn("rank", F.row_number().over(order)).filter(f"rank <= {number}")
+        pivots = stored(ranked.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")))
+        pairs = left.join(pivots, "bucket").filter("label != la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        pairs = stored(pairs.distinct())
+        links = _verified(pairs, sets, percent)
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(stored(links))
-        done += more
-        more *= MORE_PIVOTS
+        old, linked = linked, stored(links)
+        labels = components(linked)
         known = labels.select("node", F.col("label").alias("l"))
-        labelled = buckets.join(known, "node", "left").select("bucket", "node", F.coalesce("l", "node").alias("label"))
-        split = (
-            labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
-            .filter(f"least != most and n > {done + 1}").select("bucket")
-        )
-        open_ = stored(labelled.join(stored(split), "bucket", "left_semi"))
-        if open_.isEmpty():
+        if first:
+            rest, first = buckets.select("bucket", "node"), False
+        else:
+            # the pivots of the round have met all others
+            rest = left.join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+            number *= MORE
+        labelled = rest.join(known, "node", "left").select("bucket", "node", F.coalesce("l", "node").alias("label"))
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        mixed = stored(mixed.filter("least != most").select("bucket"))
+        before, left = left, stored(labelled.join(mixed, "bucket", "left_semi"))
+        dropped(before, sizes, pivots, pairs, mixed, *([old] if old is not None else []))
+        if left.isEmpty():
+            dropped(left, linked)
             return labels
 
 
@@ -186,7 +194,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     nodes = stored(
         sketched.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
     )
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
+    members = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node")
     shared = members.groupBy("bucket").count().filter("count > 1").select("bucket")
     buckets = stored(members.join(shared, "bucket", "left_semi"))
     # the texts of the nodes that share a bucket, one each

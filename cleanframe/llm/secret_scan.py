@@ -22,7 +22,7 @@ TRAINING_DOCS = 50_000
 #: One ordinary word in so many is learned from.
 ORDINARY = 8
 #: Log-likelihood ratio per character from which a string counts as random.
-LEVEL = 0.5
+LEVEL = 0.1
 SYMBOLS = 128
 
 
@@ -79,7 +79,7 @@ def train(samples: DataFrame) -> DataFrame:
     """One row with `ratios`: for each pair of characters log P(second | first) among random strings less that among ordinary ones.
 
     First-order Markov chains, one per label, from (value, random), with one added to each count
-    over the symbols seen with either label. Pairs with a symbol never seen say nothing (0).
+    over the symbols seen with either label. Pairs seen with neither label say nothing (0).
     The model has SYMBOLS * SYMBOLS numbers whatever the corpus.
     """
     pairs = (
@@ -93,12 +93,8 @@ def train(samples: DataFrame) -> DataFrame:
     firsts = known.groupBy("first").agg(F.sum("r").alias("fr"), F.sum("o").alias("fo"))
     # one row, and one row per first symbol
     seen = firsts.withColumn("symbols", symbols.scalar())
-    second = F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1))).alias("second")
-    every = seen.select("*", second).withColumn("pair", F.col("first") * SYMBOLS + F.col("second") + 1)
-    ratio = F.log((F.coalesce("r", F.lit(0)) + 1) / (F.col("fr") + F.col("symbols"))) - F.log(
-        (F.coalesce("o", F.lit(0)) + 1) / (F.col("fo") + F.col("symbols"))
-    )
-    ratios = every.join(pairs, "pair", "left").select("pair", ratio.alias("ratio"))
+    ratio = F.log((F.col("r") + 1) / (F.col("fr") + F.col("symbols"))) - F.log((F.col("o") + 1) / (F.col("fo") + F.col("symbols")))
+    ratios = known.join(seen, "first").select("pair", ratio.alias("ratio"))
     entries = ratios.agg(F.map_from_entries(F.collect_list(F.struct("pair", "ratio"))).alias("m"))
     return entries.select(
         F.transform(F.sequence(F.lit(1), F.lit(SYMBOLS * SYMBOLS)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("ratios")

@@ -42,7 +42,6 @@ def components(links: DataFrame) -> DataFrame:
     star = stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     )
-    before = None
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
@@ -50,12 +49,14 @@ def components(links: DataFrame) -> DataFrame:
         lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         after = stored(large.join(lowest, "u").select(F.inline(ends)).filter("u != v").distinct())
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         dropped(star, least, large, lowest)
         star = after
-        if state == before or not state[0]:
+        ends = star.select(F.col("u").alias("n"), F.lit(1).alias("tip"), F.lit(0).alias("root")).unionByName(
+            star.select(F.col("v").alias("n"), F.lit(0).alias("tip"), F.lit(1).alias("root"))
+        )
+        seen = ends.groupBy("n").agg(F.sum("tip").alias("tip"), F.max("root").alias("root"))
+        if seen.filter("tip > 1 or tip > 0 and root > 0").isEmpty():  # all stars
             break
-        before = state
     nodes = star.select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = stored(nodes.unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
     dropped(star)
