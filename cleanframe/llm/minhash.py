@@ -212,6 +212,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     return sketched.select("id", "n", "node"), found
 
 
+def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    joined = rows.join(found, "node", "left").select("id", "n", "node", component.alias("component_id"))
+    return joined.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, `n_shingles`, `component_id` and `kept` of every row.
 
@@ -224,22 +230,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passed over for `component_id`, unless the whole group has no id. An empty table gives an empty
     result. Other columns aren't read.
     """
-    sketched, found = classes(docs, id_col, text_col, percent, bands, rows)
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    joined = sketched.join(found, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")
-    )
-    return joined.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    told = _with_components(*classes(docs, id_col, text_col, percent, bands, rows))
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _noded(text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(s) if len(s) else b"" for s in shingle_sets(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "__node"])
+
+    return run
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, all columns; of rows equal in id and text one."""
-    marked = near_duplicates(docs, id_col, text_col, percent).filter("kept")
-    marked = stored(marked.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")))
+    """The rows of `docs`, all columns, that `near_duplicates` keeps; of rows with one id and one set of shingles one.
+
+    Where ids repeat or are null, rows are told apart by their sets of shingles, computed anew for those.
+    """
+    told = stored(_with_components(*classes(docs, id_col, text_col, percent)))
+    per_id = told.groupBy("id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    per_id = stored(per_id.withColumn("once", F.col("id").isNotNull() & (F.col("rows") == 1)))
     same = F.col(id_col).eqNullSafe(F.col("__id"))
-    kept = docs.join(marked, same, "left_semi")
-    repeated = marked.filter("__n > 1")
+    once = docs.join(per_id.filter("once and kept").select(F.col("id").alias("__id")), same, "left_semi")
+    repeated = per_id.filter("not once").select(F.col("id").alias("__id"))
     if repeated.isEmpty():
-        return kept
-    single = docs.join(marked.filter("__n = 1"), same, "left_semi")
-    return single.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+        return once
+    schema = T.StructType([*docs.schema, T.StructField("__node", T.BinaryType())])
+    noded = docs.join(repeated, same, "left_semi").mapInArrow(_noded(docs.columns.index(text_col)), schema)
+    kept = told.filter("kept").select(F.col("id").alias("__id"), F.coalesce("node", F.lit(b"")).alias("__n"))
+    rest = noded.join(kept, same & (F.col("__node") == F.col("__n")), "left_semi").dropDuplicates([id_col, "__node"])
+    return once.unionByName(rest.drop("__node"))
