@@ -8,7 +8,7 @@ from cleanframe.plans import compare as C
 from cleanframe.plans import quality as Q
 from cleanframe.plans import reports as R
 from cleanframe.plans.conform import ICU_UNITS, WARD_CODE_UNITS, Feed, conform_feeds, look_up, orphans, tagged_union
-from cleanframe.sources import json_rows, spread, upsert
+from cleanframe.sources import json_rows, upsert
 
 from .cleaning import _DAY, _DOSE, BLANK, FEEDS_SQL, MEDICATIONS_SQL, NULL_LIKE, ORDERS_SQL, _orders, feeds
 from .dirt import (
@@ -42,7 +42,7 @@ ADMISSIONS_SQL = (
 
 
 def admissions(t):
-    raw = t.dirty(spread(t.orders).join(t.customer, F.col("o_custkey") == F.col("c_custkey")), ADMISSIONS)
+    raw = t.dirty(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")), ADMISSIONS)
     return R.clean_admissions(raw, order_by=["row_no"])
 
 
@@ -76,7 +76,7 @@ PRESCRIPTIONS_SQL = (
 
 
 def medications(t):
-    return t.dirty(spread(t.lineitem), MEDICATIONS)
+    return t.dirty(t.lineitem, MEDICATIONS)
 
 
 def patients(t):
@@ -215,20 +215,26 @@ def _(t):
     return look_up(customers, "c_nation", nations)
 
 
-UNIT_SQL = (
-    "WITH places AS (SELECT unit, count(*) AS built FROM beds GROUP BY unit HAVING count(*) >= {least}), "
-    "stays AS (SELECT icu_unit AS unit, count(*) AS taken, count(*) FILTER (WHERE status = 'active') AS live FROM conformed GROUP BY icu_unit) "
-    "SELECT unit AS icu_unit, built AS total_capacity, coalesce(taken, 0) AS current_occupancy, coalesce(live, 0) AS active_count "
-    "FROM places LEFT JOIN stays USING (unit) ORDER BY unit"
-)
+# The largest open order of each market segment, year and priority, from a least value on.
+OPEN_ORDERS = """
+SELECT c.c_mktsegment AS segment, year(o.o_orderdate) AS year, o.o_orderpriority AS update,
+       max(o.o_totalprice) AS largest, count(DISTINCT o.o_custkey) AS customers
+FROM orders AS o INNER JOIN customer AS c ON c.c_custkey = o.o_custkey
+WHERE o.o_orderstatus = 'O' AND o.o_totalprice >= :least
+GROUP BY ALL
+"""
 
 
 @query(
     "sql_passthrough",
-    CONFORMED_SQL + ", " + UNIT_SQL.format(least="2").removeprefix("WITH "),
+    "WITH open_orders AS (SELECT *, extract(year FROM o_orderdate) AS y FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 150000) "
+    "SELECT DISTINCT c_mktsegment AS segment, y AS year, o_orderpriority AS update, max(o_totalprice) OVER w AS largest, "
+    "(SELECT count(*) FROM (SELECT DISTINCT i.o_custkey FROM open_orders i JOIN customer d ON d.c_custkey = i.o_custkey "
+    "WHERE d.c_mktsegment = c.c_mktsegment AND i.y = o.y AND i.o_orderpriority = o.o_orderpriority)) AS customers "
+    "FROM open_orders o JOIN customer c ON c.c_custkey = o.o_custkey WINDOW w AS (PARTITION BY c_mktsegment, y, o_orderpriority)",
 )
 def _(t):
-    return R.read_sql(t.spark, UNIT_SQL.format(least=":least"), {"conformed": conformed(t), "beds": beds(t)}, {"least": 2})
+    return R.read_sql(t.spark, OPEN_ORDERS, {"orders": t.orders, "customer": t.customer}, {"least": 150000})
 
 
 @query(
@@ -352,12 +358,12 @@ def _(t):
 
 
 def candidate(t):
-    orders = spread(t.orders)
+    orders = t.orders
     return t.dirty(orders.filter(KEPT).union(orders.filter(REPEATED)), CANDIDATE)
 
 
 def expected(t):
-    return t.dirty(spread(t.orders), EXPECTED)
+    return t.dirty(t.orders, EXPECTED)
 
 
 def _canon(c, kind):
@@ -405,7 +411,7 @@ _PLACED = (
 @query(
     "cmp_cells_positional",
     f"{SIDES_SQL}, x AS (SELECT *, {_PLACED.format(price='price')} FROM c), "
-    f"y AS (SELECT *, {_PLACED.format(price=chr(112) + 'rice || ' + repr('.0'))} FROM e), "
+    f"y AS (SELECT *, {_PLACED.format(price="price || '.0'")} FROM e), "
     "n AS (SELECT greatest((SELECT count(*) FROM c), (SELECT count(*) FROM e)) * 4 AS total_cells) "
     f"SELECT CAST(sum(CAST(x.order_id IS NOT DISTINCT FROM y.order_id AS INT) + {_EQUAL}) AS BIGINT) AS matched_cells, any_value(total_cells) AS total_cells, "
     f"round(sum(CAST(x.order_id IS NOT DISTINCT FROM y.order_id AS INT) + {_EQUAL}) / any_value(total_cells), 6) AS accuracy "

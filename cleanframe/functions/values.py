@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..errors import SpecError
 
 # The characters Python's str.strip() removes.
 WHITESPACE = "".join(
@@ -31,8 +33,7 @@ DAY_FIRST = ["d/M/yyyy", "d-M-yyyy", "d/M/yyyy HH:mm"]
 MONTH_FIRST = ["M/d/yyyy", "M-d-yyyy", "M/d/yyyy HH:mm", "M-d-yyyy HH:mm"]
 DEFAULT_FORMATS = ISO_DATES + ISO_TIMES
 
-# Digits and exponent are limited so that every match is a finite double.
-_NUMBER = r"^[+-]?(\d{1,100}\.?\d*|\.\d+)([eE][+-]?(\d{1,2}|1\d{2}))?$"
+_NUMBER = r"^[+-]?(\d++(\.\d*+)?|\.\d++)([eE][+-]?\d++)?$"
 _INTEGER = r"^[+-]?\d+$"
 
 
@@ -63,8 +64,27 @@ def strip(c: Column) -> Column:
     return F.btrim(c.cast("string"), F.lit(WHITESPACE))
 
 
+# Names of the time zone in which times are read and written.
+_UTC = {"UTC", "Z", "GMT", "Etc/UTC", "Etc/GMT", "+00:00", "UTC+0", "GMT+0"}
+
+
+def need_utc() -> None:
+    """Refuse to build an expression on times in a session of another time zone, where it would shift them."""
+    session = SparkSession.getActiveSession()
+    zone = session.conf.get("spark.sql.session.timeZone") if session else "UTC"
+    if zone not in _UTC:
+        raise SpecError(f"times are read and written in UTC; set spark.sql.session.timeZone to UTC instead of {zone}")
+
+
+def present(c: Column, dtype: T.DataType) -> Column:
+    """NaN as null."""
+    return F.when(~F.isnan(c), c) if isinstance(dtype, (T.DoubleType, T.FloatType)) else c
+
+
 def nullify(c: Column, null_like=(), dtype: T.DataType | None = None) -> Column:
-    """Turn the listed texts into null. Non-text columns cannot hold them."""
+    """Turn NaN and the listed texts into null. Non-text columns cannot hold the texts."""
+    if dtype is not None:
+        c = present(c, dtype)
     if not null_like or (dtype is not None and not isinstance(dtype, T.StringType)):
         return c
     return F.when(~c.isin(list(null_like)), c)
@@ -84,8 +104,12 @@ def try_num(c: Column, dtype: T.DataType | None = None) -> Column:
     return _text_num(strip(c))
 
 
+def _finite(number: Column) -> Column:
+    return once(number, lambda n: F.when(F.abs(n) < F.lit(float("inf")), n))
+
+
 def _text_num(text: Column) -> Column:
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return _finite(F.when(text.rlike(_NUMBER), text.try_cast("double")))
 
 
 def to_whole(c: Column, dtype: T.DataType | None = None, mode: str = "round") -> Column:
@@ -142,6 +166,7 @@ def _shape(fmt: str) -> str:
 
 def parse_timestamp(c: Column, formats=None, dtype: T.DataType | None = None) -> Column:
     """The cell as a timestamp by the first format that reads it, or null."""
+    need_utc()
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("timestamp")
     if dtype is not None and not isinstance(dtype, T.StringType):
@@ -204,6 +229,7 @@ def mixed_timestamp(
 
     `digits` limits which digit strings count as epochs, e.g. r"^\\d{10,13}$".
     """
+    need_utc()
     if dtype is not None and not isinstance(dtype, T.StringType):
         if is_numeric(dtype):
             return epoch(try_num(c, dtype), rule)
@@ -239,7 +265,7 @@ def dosage(c: Column, dtype: T.DataType | None = None) -> Column:
     """The number itself, or the first unsigned number inside the text."""
     if dtype is not None and is_numeric(dtype):
         return try_num(c, dtype)
-    return F.regexp_extract(c.cast("string"), r"(\d{1,100}(?:\.\d+)?)", 1).try_cast("double")
+    return _finite(F.regexp_extract(c.cast("string"), r"(\d++(?:\.\d++)?)", 1).try_cast("double"))
 
 
 def bed_label(c: Column) -> Column:
@@ -291,10 +317,56 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
 _PLAIN_INTEGER = r"^(0|-?[1-9]\d{0,17})$"
 
 
+# Sign, whole part, fraction and exponent of a number's text.
+_PARTS = r"^([+-]?)0*+(\d*+)(?:\.(\d*+))?(?:[eE]([+-]?\d++))?$"
+
+
 def _number_form(c: Column) -> Column:
-    """One text per numeric value, told apart up to 18 decimals; whole ones like integers."""
-    fine = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    return F.coalesce(fine, c.try_cast("decimal(38,0)").cast("string"))
+    """One text per numeric value, exact for any number of digits.
+
+    The digits without zeros at either end, and where the point stands, make the number. It is
+    written out if it has up to 38 whole digits or 17 zeros after the point, and with an exponent else.
+    """
+
+    def from_text(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, _PARTS, i)
+        return once(
+            F.struct(
+                (part(1) == "-").alias("minus"),
+                F.concat(part(2), part(3)).alias("digits"),
+                (F.length(part(2)) + F.coalesce(part(4).try_cast("bigint"), F.when(part(4) == "", 0))).alias("point"),
+            ),
+            stripped,
+        )
+
+    def stripped(x: Column) -> Column:
+        led = F.ltrim(x["digits"], F.lit("0"))
+        return once(
+            F.struct(
+                x["minus"].alias("minus"),
+                F.rtrim(led, F.lit("0")).alias("digits"),
+                (x["point"] - F.length(x["digits"]) + F.length(led)).alias("point"),
+            ),
+            written,
+        )
+
+    def written(x: Column) -> Column:
+        digits, point, n = x["digits"], x["point"], F.length(x["digits"])
+        at = point.cast("int")
+        whole = F.rpad(digits, at, "0")
+        split = F.concat(F.substr(digits, F.lit(1), at), F.lit("."), F.substr(digits, at + 1))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits)
+        rest = F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+        scientific = F.concat(F.substr(digits, F.lit(1), F.lit(1)), rest, F.lit("e"), (point - 1).cast("string"))
+        size = (
+            F.when(point.between(1, 38) & (n <= point), whole)
+            .when(point.between(1, 38), split)
+            .when(point.between(-17, 0), small)
+            .otherwise(scientific)
+        )
+        return F.when(digits == "", "0").otherwise(F.concat(F.when(x["minus"], "-").otherwise(""), size))
+
+    return once(c.cast("string"), lambda t: F.when(t.rlike(_NUMBER), from_text(t)))
 
 
 def canonical(c: Column, dtype: T.DataType, mode: str = "value") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from decimal import Decimal
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -18,7 +19,7 @@ from ..functions.values import (
     recent,
 )
 
-# A mapping up to this size becomes a literal, a longer one a broadcast join.
+# A mapping up to this size becomes a literal, a longer one a join; both give the same.
 LITERAL_MAP_SIZE = 100
 
 
@@ -68,9 +69,9 @@ def rename_columns(df: DataFrame, mapping: dict, null_like=()) -> DataFrame:
 
 
 def map_values(df: DataFrame, column: str, mapping: dict, default=..., null_like=()) -> DataFrame:
-    """Replace cells found in the mapping, by their text form.
+    """Replace cells found in the mapping, by their value or else by their text.
 
-    Cells not found become `default` if one is given and stay otherwise. A
+    The key 1 finds 1 and 1.0, and "1" finds the text. Cells not found become `default` if one is given and stay otherwise. A
     mapping may lead to null. A null cell becomes the default or stays null.
     """
     require_columns(df, [column])
@@ -87,21 +88,47 @@ def map_values(df: DataFrame, column: str, mapping: dict, default=..., null_like
 
     text = as_text(cell, dtype)
     kept = (cell if native else text) if default is ... else literal(default)
-    if len(mapping) <= LITERAL_MAP_SIZE:
-        lookup = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(str(k)), literal(v))])
+    entries = _by_text(mapping, dtype)
+    if len(entries) <= LITERAL_MAP_SIZE:
+        lookup = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), literal(v))])
         found = F.map_contains_key(lookup, text)
         return df.withColumn(
             column, F.when(text.isNull(), kept).when(found, F.element_at(lookup, text)).otherwise(kept)
         )
-    # The mapping came from the driver's memory, so it is small enough to broadcast.
     schema = T.StructType([T.StructField("__from", T.StringType()), T.StructField("__to", T.StringType())])
-    rows = [(str(k), None if v is None else str(v)) for k, v in mapping.items()]
+    rows = [(k, None if v is None else str(v)) for k, v in entries.items()]
     table = df.sparkSession.createDataFrame(rows, schema).withColumn("__found", F.lit(True))
-    joined = df.join(F.broadcast(table), on=text == F.col("__from"), how="left")
+    joined = df.join(table, on=text == F.col("__from"), how="left")
     mapped = F.when(F.col("__found"), F.col("__to").cast(rest_type)).otherwise(kept)
     return joined.withColumn(column, mapped).select(*df.columns)
 
 
+def _by_text(mapping: dict, dtype: T.DataType) -> dict:
+    """The mapping by the texts of the column's cells.
+
+    A key that is a value of the column counts before one that only has its text, and of
+    several keys with one text the last counts.
+    """
+    out = {str(k): v for k, v in mapping.items()}
+    if isinstance(dtype, T.StringType):
+        out.update({k: v for k, v in mapping.items() if isinstance(k, str)})
+        return out
+    for k, v in mapping.items():
+        if isinstance(k, str):
+            continue
+        if isinstance(dtype, T.BooleanType) and k in (0, 1):
+            out[str(bool(k))] = v
+        elif isinstance(dtype, (T.DoubleType, T.FloatType)) and isinstance(k, (int, float, Decimal)):
+            out[repr(float(k))] = v
+        elif isinstance(dtype, T.DecimalType) and isinstance(k, (int, float, Decimal)):
+            exact = Decimal(str(int(k) if isinstance(k, bool) else k))
+            if exact == round(exact, dtype.scale):
+                out[f"{exact:.{dtype.scale}f}"] = v
+        elif is_numeric(dtype) and isinstance(k, (int, float, Decimal)) and k == k // 1:
+            out[str(int(k))] = v
+    return out
+
+
 def coalesce_columns(
     df: DataFrame, target_column: str, source_columns, fill_value=None, drop_sources=False, null_like=()
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import SpecError, require_columns
-from ..functions.values import parse_timestamp, strip, to_whole, try_num
+from ..functions.values import parse_timestamp, present, strip, to_whole, try_num
 
 
 def closeness(actual: Column, expected: Column) -> Column:
@@ -25,9 +25,10 @@ def share(condition: Column) -> Column:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Row count and null count per column, from one aggregation."""
+    """Row count and count of nulls (NaN included) per column, from one aggregation."""
     counts = df.agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.count_if(present(F.col(f.name), f.dataType).isNull()).alias(f.name) for f in df.schema.fields],
     )
     return counts.unpivot("__rows", df.columns, "column_name", "null_count").withColumnRenamed("__rows", "row_count")
 
@@ -78,12 +79,21 @@ class RowCount:
     weight: float
 
 
+def _known_share(df: DataFrame, rule: ForeignKey) -> Column:
+    """Share of the rows whose key occurs among the parents, as a scalar subquery."""
+    per_key = df.groupBy(strip(F.col(rule.column)).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
+    parents = rule.parents.select(strip(F.col(rule.parent_key)).alias("__parent"), F.lit(True).alias("__known")).distinct()
+    counted = per_key.join(parents, on=F.col("__key") == F.col("__parent"), how="left")
+    known = F.sum(F.when(F.col("__known"), F.col("__rows")))
+    return counted.agg(F.coalesce(F.try_divide(known, F.sum("__rows")), F.lit(0.0)).alias("s")).scalar()
+
+
 def rule_ratios(df: DataFrame, rules, required_columns=(), column_weight: float = 0.0) -> DataFrame:
     """One row with the ratio of each rule and their weighted sum as `score`.
 
     Missing required columns leave 0.20 times the share of those present; no
-    rows at all give 0. A foreign key is checked on counts per key, so a hot
-    key costs one row in the join.
+    rows at all give 0. All plain rules are counted in one pass, and each
+    foreign key on counts per key, so that a hot key costs one row in its join.
     """
     present = [c for c in required_columns if c in df.columns]
     column_share = len(present) / len(required_columns) if required_columns else 1.0
@@ -92,50 +102,19 @@ def rule_ratios(df: DataFrame, rules, required_columns=(), column_weight: float
         score = F.when(F.col("row_count") > 0, F.round(F.lit(0.20 * column_share), 6)).otherwise(0.0)
         return rows.select("row_count", F.lit(column_share).alias("column_share"), score.alias("score"))
 
-    simple = [r for r in rules if isinstance(r, Rule)]
-    keys = [r for r in rules if isinstance(r, ForeignKey)]
-    distinct = [r for r in rules if isinstance(r, DistinctKeys)]
-    for r in keys:
-        require_columns(df, [r.column])
-    for r in distinct:
-        require_columns(df, r.columns)
-    if len(keys) > 1:
-        raise SpecError("at most one foreign key per call")
-    hits = {r.name: F.count_if(r.holds) for r in simple}
-
-    # With a key rule everything is counted per key first, in one pass.
-    by_key = None
-    if keys:
-        by_key = [strip(F.col(keys[0].column)).alias("__key")]
-    elif distinct:
-        by_key = [F.col(c).alias(f"__key{i}") for i, c in enumerate(distinct[0].columns)]
-    if by_key is None:
-        totals = df.agg(F.count(F.lit(1)).alias("row_count"), *[h.alias(n) for n, h in hits.items()])
-    else:
-        per_key = df.groupBy(*by_key).agg(
-            F.count(F.lit(1)).alias("__rows"), *[h.alias(f"__hit{i}") for i, h in enumerate(hits.values())]
-        )
-        if keys:
-            parents = keys[0].parents.select(strip(F.col(keys[0].parent_key)).alias("__parent")).distinct()
-            per_key = per_key.join(
-                parents.withColumn("__known", F.lit(True)), on=F.col("__key") == F.col("__parent"), how="left"
-            )
-            counted = F.sum(F.when(F.col("__known"), F.col("__rows"))).alias(keys[0].name)
-        else:
-            counted = F.count(F.lit(1)).alias(distinct[0].name)
-        totals = per_key.agg(
-            F.coalesce(F.sum("__rows"), F.lit(0)).alias("row_count"),
-            *[F.sum(f"__hit{i}").alias(n) for i, n in enumerate(hits)],
-            counted,
-        )
-
+    for r in rules:
+        require_columns(df, [r.column] if isinstance(r, ForeignKey) else r.columns if isinstance(r, DistinctKeys) else [])
+    hits = {r.name: F.count_if(r.holds) for r in rules if isinstance(r, Rule)}
+    totals = df.agg(F.count(F.lit(1)).alias("row_count"), *[h.alias(n) for n, h in hits.items()])
     ratios = {}
     for r in rules:
         if isinstance(r, RowCount):
             expected = r.expected if isinstance(r.expected, Column) else F.lit(r.expected)
             ratios[r.name] = closeness(F.col("row_count"), expected)
-        elif isinstance(r, DistinctKeys) and (keys or r is not distinct[0]):
+        elif isinstance(r, DistinctKeys):
             ratios[r.name] = distinct_share(df, r.columns)
+        elif isinstance(r, ForeignKey):
+            ratios[r.name] = _known_share(df, r)
         else:
             ratios[r.name] = F.coalesce(F.try_divide(F.col(r.name), F.col("row_count")), F.lit(0.0))
     scored = totals.select("row_count", *[v.cast("double").alias(n) for n, v in ratios.items()])

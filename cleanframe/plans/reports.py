@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import threading
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JError
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..errors import SpecError
+from ..errors import SpecError, require_columns
 from ..functions.values import (
     DAY_FIRST,
     computed,
@@ -117,13 +119,14 @@ def prescription_counts(
     )
 
 
-def normalized_counts(report: DataFrame, keys, measures) -> DataFrame:
-    """Report rows with upper-case stripped keys and whole measures.
+def normalized_counts(report: DataFrame, keys, measures, lower=()) -> DataFrame:
+    """Report rows with stripped keys, upper-case but for those in `lower`, and whole measures.
 
     Rows with an empty key or an unreadable measure are left out, and rows
     whose keys became equal are added up.
     """
-    cells = [F.upper(strip(F.col(k))).alias(k) for k in keys]
+    require_columns(report, [*keys, *measures])
+    cells = [(F.lower if k in lower else F.upper)(strip(F.col(k))).alias(k) for k in keys]
     values = [to_whole(F.col(m), _dtype(report, m), "trunc").alias(m) for m in measures]
     rows = report.select(*cells, *values).dropna(subset=[*keys, *measures])
     for k in keys:
@@ -199,35 +202,54 @@ def capacity_report(conformed: DataFrame, beds: DataFrame, how: str = "left", un
 
 # -- SQL --------------------------------------------------------------------
 
-# Words a read-only query may not contain outside quotes.
-WRITE_WORDS = ("insert", "update", "delete", "drop", "alter", "truncate", "grant", "revoke", "create")
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+# One query at a time gives its tables their names.
+_NAMING = threading.Lock()
 
 
 def read_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame], args=None) -> DataFrame:
-    """Run one SELECT or WITH statement over the named tables.
+    """Run one query over the named tables. `args` are bound parameters.
 
-    The names are visible to this query only. `args` are bound parameters.
+    The text is parsed first and refused if any part of its plan is a command or writes. The
+    names are visible to this query only, whatever other threads read meanwhile.
     """
-    bare = _QUOTED.sub("' '", query).strip().rstrip(";").strip()
-    if not re.match(r"(select|with)\b", bare, re.I):
-        raise SpecError("only SELECT or WITH statements are allowed")
-    if ";" in bare:
-        raise SpecError("only one statement is allowed")
-    written = sorted({w.lower() for w in re.findall(r"\w+", bare)} & set(WRITE_WORDS))
-    if written:
-        raise SpecError(f"read-only queries may not contain {written}")
-    views = {f.name.lower() for f in spark.catalog.listTables() if f.isTemporary}
-    hidden = {name: spark.table(name) for name in tables if name.lower() in views}
-    try:
-        for name, table in tables.items():
-            table.createOrReplaceTempView(name)
-        return spark.sql(query.strip().rstrip(";"), args=args)
-    finally:
+    _only_reads(spark, query)
+    with _NAMING:
+        hidden = {}
         for name in tables:
-            spark.catalog.dropTempView(name)
-        for name, table in hidden.items():
-            table.createOrReplaceTempView(name)
+            try:
+                hidden[name] = spark._jsparkSession.sessionState().catalog().getRawTempView(name)
+            except Py4JError:
+                hidden[name] = None
+        kept = {name: spark.table(name) for name, view in hidden.items() if view is not None and view.isDefined()}
+        try:
+            for name, table in tables.items():
+                table.createOrReplaceTempView(name)
+            return spark.sql(query, args=args)
+        finally:
+            for name in tables:
+                spark.catalog.dropTempView(name)
+            for name, table in kept.items():
+                table.createOrReplaceTempView(name)
+
+
+def _only_reads(spark: SparkSession, query: str) -> None:
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except Py4JError as bad:
+        raise SpecError(f"the query cannot be parsed: {str(bad).splitlines()[0]}") from bad
+    except ParseException as bad:
+        raise SpecError(f"the query cannot be parsed: {str(bad).splitlines()[0]}") from bad
+    find = spark._jvm.java.lang.Class.forName
+    # fixed values: what a plan that does more than read is made of
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    writing = [find(logical + name) for name in ("Command", "InsertIntoStatement", "CompoundPlanStatement")]
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if any(kind.isInstance(node) for kind in writing):
+            raise SpecError(f"only queries that read are allowed, not {node.nodeName()}")
+        for some in (node.children(), node.innerChildren()):
+            nodes += [x for x in (some.apply(i) for i in range(some.length())) if "logical" in x.getClass().getName()]
 
 
 def top_rows(df: DataFrame, order_by, n: int = 50) -> DataFrame:

@@ -8,7 +8,6 @@ from .tables import (
     read_jdbc,
     read_table,
     snapshot_once,
-    spread,
     upsert,
     utc,
     write_jdbc,
@@ -24,7 +23,6 @@ __all__ = [
     "read_jdbc",
     "read_table",
     "snapshot_once",
-    "spread",
     "upsert",
     "utc",
     "write_jdbc",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..errors import SpecError, require_columns
 from ..operators.dedupe import first_per_key
@@ -30,17 +30,6 @@ def read_table(spark: SparkSession, where: str, columns=None, format: str = "par
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows among all cores if the source came in fewer pieces.
-
-    For input that cannot be split, such as one gzip file or one row group,
-    ahead of costly work per row. A source in many pieces is left alone. Meant
-    for a table just read: a plan that shuffles would run to be asked.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_jdbc(
     spark: SparkSession, url: str, table: str, partition_column=None, lower=None, upper=None, partitions=None, **options
 ) -> DataFrame:
@@ -109,17 +98,47 @@ def load_variant(spark: SparkSession, root: str, table: str, variant: str, into:
 def overwrite(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     """Replace the table at the path, and return what was written.
 
-    A table cannot be replaced by a plan that reads it; write that elsewhere.
+    A table cannot be replaced by a plan that reads it, or reads a folder above or below it;
+    write that elsewhere. The rows are written beside the old table, which goes only when they
+    are complete.
     """
-    if path.rstrip("/") in {_folder(f) for f in df.inputFiles()}:
-        raise SpecError(f"the plan reads {path}; write its result to another path")
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _folder(file: str) -> str:
-    folder = file.rsplit("/", 1)[0]
-    return folder.split("://", 1)[1] if folder.startswith("file://") else folder
+    spark = df.sparkSession
+    at = _qualified(spark, path)
+    for root in _roots(df):
+        if _inside(root, at) or _inside(at, root):
+            raise SpecError(f"the plan reads {root}; write its result to another path than {path}")
+    beside = f"{at}-new-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(beside)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (at, beside))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"the new table is complete at {beside} but could not be moved to {at}")
+    return spark.read.parquet(path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, absolute and without a trailing slash."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+
+
+def _inside(path: str, folder: str) -> bool:
+    return path == folder or path.startswith(folder + "/")
+
+
+def _roots(df: DataFrame) -> list[str]:
+    """The paths that the plan was asked to read, not the files found there."""
+    out, leaves = [], df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.length()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation":
+            paths = relation.location().rootPaths()
+            out += [_qualified(df.sparkSession, paths.apply(j).toString()) for j in range(paths.length())]
+    return out
 
 
 def snapshot_once(df: DataFrame, path: str) -> DataFrame:
@@ -131,45 +150,50 @@ def snapshot_once(df: DataFrame, path: str) -> DataFrame:
 def upsert(target: DataFrame, changes: DataFrame, key, order_by=(), stamp: str | None = None) -> DataFrame:
     """The target with changed rows replaced and new rows added, by key.
 
-    Of several changes to a key the last by `order_by` wins. `stamp` names a
-    column to set to the current time in the changed rows.
+    Of several changes to a key the last by `order_by` wins; without an order, a second change to a key
+    fails when the plan runs. `stamp` names a column to set to the current time in the changed rows.
+    Columns of the changes that the target lacks are refused, but for those that only order them.
     """
     keys = [key] if isinstance(key, str) else list(key)
     require_columns(target, keys)
+    unknown = set(changes.columns) - set(target.columns) - set(order_by)
+    if unknown:
+        raise SpecError(f"the target has no columns {sorted(unknown)}")
     if order_by:
         changes = first_per_key(changes, keys, order_by, keep="last")
+    else:
+        again = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+        refused = F.raise_error(F.lit(f"several changes to one {keys}: name an order_by")).cast("boolean")
+        changes = changes.withColumn("__again", F.when(again, refused).otherwise(False)).filter(~F.col("__again")).drop("__again")
     if stamp:
         changes = changes.withColumn(stamp, F.current_timestamp())
     replaced = changes.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)])
     same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
     kept = target.join(replaced, on=same, how="left_anti")
-    return kept.unionByName(changes.select(*[c for c in changes.columns if c in target.columns]), allowMissingColumns=True)
+    return kept.unionByName(changes.select(*[c for c in changes.columns if c in target.columns or c == stamp]), allowMissingColumns=True)
 
 
 def write_upsert(target_path: str, changes: DataFrame, key, new_path: str, **how) -> DataFrame:
     """Write the upserted table to a new path; the old one stays as it was."""
-    if target_path.rstrip("/") == new_path.rstrip("/"):
-        raise SpecError("an upsert cannot replace the table it reads; give a new path")
     merged = upsert(changes.sparkSession.read.parquet(target_path), changes, key, **how)
     return overwrite(merged, new_path)
 
 
-_local_folders: dict[str, str] = {}
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which all executors reach.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session, all of whose tasks share one machine, gets a folder of its own if that is unset.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and not context.master.startswith("local["):
+        raise SpecError("set spark.checkpoint.dir to a folder all executors share")
     if folder is None:
-        if not context.master.startswith("local"):
-            raise SpecError("set spark.checkpoint.dir to a folder all executors share")
-        if context.applicationId not in _local_folders:
-            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
-        folder = _local_folders[context.applicationId]
+        folder = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
+        _own[context.applicationId] = folder
     return folder.rstrip("/")
 
 

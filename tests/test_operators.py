@@ -1,4 +1,5 @@
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -394,3 +395,25 @@ def test_cleaning_twice_changes_nothing(spark, op):
         F.concat(F.lit(" k"), (F.col("id") % 7).cast("string")).alias("a"), (F.col("id") * 1000003).cast("string").alias("b")
     )
     assert rows(op(op(df))) == rows(op(df))
+
+
+def test_mappings_find_values_and_texts(table):
+    doubles = table("d double", (1.0,), (2.5,), (None,), (float("nan"),))
+    assert column(map_values(doubles, "d", {1: "one", "2.5": "half"}, default="?"), "d") == ["one", "half", "?", "?"]
+    texts = table("s string", ("1",), ("2",), ("True",))
+    many = {i: f"n{i}" for i in range(200)}
+    for more in ({}, many):
+        assert column(map_values(texts, "s", {**more, 1: "number", "1": "text", True: "yes"}), "s")[0] == "text"
+        assert map_values(texts, "s", {**more, 1: "number", "1": "text"}).count() == 3
+    assert column(map_values(table("d decimal(5,2)", (Decimal(1),), (Decimal(2),)), "d", {1: "one"}), "d") == ["one", "2.00"]
+
+
+def test_nan_is_missing(table):
+    nan = float("nan")
+    df = table("a double, b double", (nan, 1.0), (2.0, 3.0), (None, nan))
+    assert column(coalesce_columns(df, "c", ["a", "b"]), "c") == [1.0, 2.0, None]
+    assert column(copy_column(df, "b", "a", overwrite=False), "a") == [1.0, 2.0, None]
+    assert column(rename_columns(df, {"b": "a"}), "a") == [1.0, 2.0, None]
+    from cleanframe.plans.quality import profile
+
+    assert {r["column_name"]: r["null_count"] for r in profile(df).collect()} == {"a": 2, "b": 1}

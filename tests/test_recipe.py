@@ -1,10 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks.cleaning import FEED_SPEC
+from checks.cleaning import BOOK_STEPS
 from cleanframe.errors import SpecError
 from cleanframe.operators import OPERATIONS, clean, clean_or_keep, clean_with_report, parse_operations
-from cleanframe.plans.conform import tagged_union
 
 from .conftest import column, rows
 
@@ -103,22 +102,21 @@ def test_defaults_reach_the_operations_that_take_them(table):
     assert sorted(column(got, "v")) == ["x", "x", "x"]
 
 
-def test_feed_spec_conforms_two_feeds(table):
-    a = table(
-        "patient_id int, bed_number string, icu_unit string, admitted_at string",
-        (1, "Bed 07", "ICU_NEURO", "2024-01-30 10:00:00"),
-        (2, "Bed", "ICU_NEURO", "2024-01-01 10:00:00"),
+def test_a_list_of_all_kinds_of_steps(table):
+    book = table(
+        "nr int, buyer int, state string, web_price string, shop_price string, sent string, rush string",
+        (1, 7, " o ", "10.0", None, "901929600000", "1-URGENT"),
+        (2, 7, "", None, "20.0 EUR", "901929600000", "2-HIGH"),
+        (3, 8, " f ", None, "12.5", "0", "none"),
+        (4, 9, None, "11.0", "9", "86400000", "5-LOW"),
+        (5, 9, " p ", "9999", None, "86400000", "5-LOW"),
+        (6, 9, " p ", "12", None, "86400000", "5-LOW"),
     )
-    b = table(
-        "pid string, ward_code string, room string, admission_ts bigint",
-        ("u1", "ccu", "Room 3", 1706608800123),
-        ("u2", "XX", "Room 3", 1706608800123),
-    )
-    merged = tagged_union({"hospital_a_patients": a, "hospital_b_patients": b})
-    got = clean(merged, FEED_SPEC).select("patient_uid", "icu_unit", "bed_number", "admitted_at", "status")
+    got = clean(book, BOOK_STEPS).select("nr", "state", "price", "sent", "level", "late", "month", "label")
     assert rows(got) == [
-        ("A-1", "ICU_NEURO", "A-BED-07", "2024-01-30 10:00:00", "active"),
-        ("A-2", "ICU_NEURO", "A-BED-UNKNOWN", "2024-01-01 10:00:00", "inactive"),
-        ("B-u1", "ICU_CARDIAC", "B-BED-3", "2024-01-30 10:00:00", "active"),
-        ("B-u2", "XX", "B-BED-3", "2024-01-30 10:00:00", "active"),
+        (1, "Open", 10.0, "1998-08-01", "1", "yes", "1998-08-01", "7 1 Open"),
+        (3, "Filled", 12.5, "1970-01-01", "UNKNOWN", "no", "1970-01-01", "8 UNKNOWN Filled"),
+        (4, "Filled", 11.0, "1972-09-27", "5", "no", "1972-09-27", "9 5 Filled"),
+        (6, "Split", 12.0, "1972-09-27", "5", "no", "1972-09-27", "9 5 Split"),
     ]
+    assert {s["operation"] for s in BOOK_STEPS} == set(OPERATIONS)

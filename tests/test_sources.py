@@ -96,12 +96,6 @@ def test_materialize_writes_to_the_shared_folder(spark):
     assert got.columns == ["id", "s"]
 
 
-def test_spread_leaves_split_sources_alone(spark):
-    assert S.spread(spark.range(10, numPartitions=1).toDF("a")).rdd.getNumPartitions() == 4
-    df = spark.range(10, numPartitions=9).toDF("a")
-    assert S.spread(df) is df
-
-
 def test_a_shared_folder_set_on_the_context_is_used_where_the_setting_is_absent(spark, tmp_path):
     class Context:
         master, applicationId = "spark://host:1", "app"
@@ -123,3 +117,27 @@ def test_a_shared_folder_set_on_the_context_is_used_where_the_setting_is_absent(
     assert shared_folder(Session("hdfs://x/y/")) == "hdfs://x/y"
     with pytest.raises(SpecError, match="spark.checkpoint.dir"):
         shared_folder(Session(None))
+
+
+def test_a_table_its_plan_reads_is_never_replaced(spark, tmp_path):
+    base = f"{tmp_path}/kept"
+    spark.range(10).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(base)
+    df = spark.read.parquet(base)
+    for path in (base, f"file://{base}", f"file:{base}/", str(tmp_path), f"{base}/k=1", os.path.relpath(base)):
+        with pytest.raises(SpecError, match="another path"):
+            S.overwrite(df, path)
+        with pytest.raises(SpecError, match="another path"):
+            S.write_upsert(base, spark.createDataFrame([(1, 1)], "id long, k int"), "id", path)
+    assert spark.read.parquet(base).count() == 10
+    other = S.overwrite(df.filter("id < 4"), f"{base}-b", partition_by=["k"])
+    assert other.count() == 4
+    assert S.overwrite(spark.range(3).selectExpr("id", "0 AS k"), f"{base}-b").count() == 3
+    assert sorted(os.listdir(tmp_path)) == ["kept", "kept-b"]
+
+
+def test_upserts_need_an_order_for_repeated_keys(table):
+    target = table("id int, v string", (1, "a"))
+    with pytest.raises(Exception, match="several changes"):
+        S.upsert(target, table("id int, v string", (1, "x"), (1, "y")), "id").collect()
+    with pytest.raises(SpecError, match="no columns"):
+        S.upsert(target, table("id int, w string", (1, "x")), "id")

@@ -3,8 +3,11 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from cleanframe.errors import SpecError
 from cleanframe.functions import values as V
 
+from .conftest import column
+
 TEXT = T.StringType()
 
 
@@ -149,3 +152,35 @@ def test_canonical_as_text_tells_numbers_apart(spark):
 def test_sort_text(spark):
     assert one(spark, lambda c: V.sort_text(c, TEXT), "7", "7.0", " B", None, "1e3") == ["7", "7.0", "b", "None", "1000.0"]
     assert one(spark, lambda c: V.sort_text(c, T.DoubleType()), 7.0, 7.5, None, type="double") == ["7.0", "7.5", "None"]
+
+
+def test_numbers_have_no_limits_but_those_of_doubles(table):
+    texts = ["1e250", "1e-250", "1e200", "9" * 400, "1" * 300, "7.", ".5", "5d", "1e", "-3E2"]
+    got = column(table("s string", *[(t,) for t in texts]).select(V.try_num(F.col("s")).alias("n")), "n")
+    assert got == [1e250, 1e-250, 1e200, None, float("1" * 300), 7.0, 0.5, None, None, -300.0]
+    doses = ["9" * 120 + "mg", "9" * 400, "take 2.5 or 3", "none", None]
+    got = column(table("s string", *[(t,) for t in doses]).select(V.dosage(F.col("s")).alias("n")), "n")
+    assert got == [float("9" * 120), None, 2.5, None, None]
+
+
+def test_equality_of_numbers_is_exact(table):
+    def form(text):
+        return table("s string", (text,)).select(V.canonical(F.col("s"), T.StringType()).alias("c")).first()["c"]
+
+    forms = {t: form(t) for t in ("3e-20", "5e-30", "0", "123456789012345678901.5", "123456789012345678902", "1e400", "-0.0", "2e5", "0.1", "1.50e1")}
+    assert len({forms[t] for t in ("3e-20", "5e-30", "0", "123456789012345678901.5", "123456789012345678902", "1e400")}) == 6
+    assert forms["-0.0"] == "0" and forms["2e5"] == form("200000.00") == "200000" and forms["1.50e1"] == "15"
+    assert forms["3e-20"] == form("0." + "0" * 19 + "30") == "3e-20"
+    doubles = table("d double", (3e-20,), (5e-30,), (0.0,), (0.1,), (15.0,), (1e22,), (float("nan"),), (-2.5e-5,))
+    got = column(doubles.select(V.canonical(F.col("d"), T.DoubleType()).alias("c")), "c")
+    assert got == ["3e-20", "5e-30", "0", forms["0.1"], "15", "1" + "0" * 22, None, "-0.000025"]
+
+
+def test_times_need_a_session_in_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for build in (lambda: V.parse_timestamp(F.lit("2024-01-01")), lambda: V.mixed_timestamp(F.lit("1706608800"))):
+            with pytest.raises(SpecError, match="UTC"):
+                build()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
