@@ -7,8 +7,6 @@ No comparison forms pairs of rows beyond one partner per row.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..errors import SpecError, require_columns
@@ -16,7 +14,6 @@ from ..functions.values import as_text, canonical, sort_text, strip, to_whole
 from ..operators.dedupe import first_per_key
 from ..operators.joins import attach
 from ..operators.ordered import GROUP_ROWS, range_count, running_sum
-from ..sources.tables import materialize
 from .quality import clamp, closeness
 
 
@@ -73,11 +70,9 @@ def same_rows(candidate: DataFrame, expected: DataFrame, columns=None, mode: str
 # -- cells by position ------------------------------------------------------
 
 
-def _runs(df: DataFrame, columns, task_rows: int) -> tuple[DataFrame, Column]:
+def _runs(df: DataFrame, columns) -> tuple[DataFrame, Column]:
     """The sorted table as runs of equal rows: from start to before stop, with
     their cells. Also the number of rows, as a scalar subquery.
-
-    The distinct rows are read several times to place them, so they are stored.
     """
     own = sorted(df.columns)
     texts = df.select(*[sort_text(F.col(c), df.schema[c].dataType).alias(f"s{i}") for i, c in enumerate(own)])
@@ -93,17 +88,11 @@ def _runs(df: DataFrame, columns, task_rows: int) -> tuple[DataFrame, Column]:
 
     counted = texts.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
     cells = F.struct(*[cell(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("cells")
-    distinct = materialize(counted.select("*", cells))
-    placed = running_sum(distinct, "n", order, name="stop", ranges=_fit(distinct, task_rows), ties=())
-    rows = distinct.agg(_total(F.col("n")).alias("n")).scalar()
+    placed = running_sum(counted, "n", order, name="stop", ties=()).select("*", cells)
+    rows = counted.agg(_total(F.col("n")).alias("n")).scalar()
     return placed.select((F.col("stop") - F.col("n")).alias("start"), "stop", "cells"), rows
 
 
-def _fit(stored: DataFrame, task_rows: int) -> int | None:
-    """One range if the stored table is small enough for one task."""
-    return 1 if stored.count() <= task_rows else None
-
-
 def _pieces(runs: DataFrame, side: str, width: Column) -> DataFrame:
     """The runs cut at every multiple of width, so that each range of positions
     can be overlaid on its own."""
@@ -116,7 +105,7 @@ def _pieces(runs: DataFrame, side: str, width: Column) -> DataFrame:
     )
 
 
-def cell_accuracy_by_position(candidate: DataFrame, expected: DataFrame, task_rows: int = GROUP_ROWS) -> DataFrame:
+def cell_accuracy_by_position(candidate: DataFrame, expected: DataFrame) -> DataFrame:
     """Share of equal cells when both tables are sorted and laid side by side.
 
     Rows sort by the text of their cells in column-name order. Both sides are
@@ -124,7 +113,7 @@ def cell_accuracy_by_position(candidate: DataFrame, expected: DataFrame, task_ro
     rows at the end of the shorter side are a run of empty cells.
     """
     columns = sorted(set(candidate.columns) | set(expected.columns))
-    (runs_e, rows_e), (runs_c, rows_c) = _runs(expected, columns, task_rows), _runs(candidate, columns, task_rows)
+    (runs_e, rows_e), (runs_c, rows_c) = _runs(expected, columns), _runs(candidate, columns)
     longest = F.greatest(rows_e, rows_c)
     width = F.greatest(F.ceil(longest / range_count(expected)), F.lit(1)).cast("bigint")
 
@@ -197,13 +186,7 @@ def cell_accuracy_by_key(candidate: DataFrame, expected: DataFrame, key: str, co
 
 # -- rows by best match -----------------------------------------------------
 
-# More free columns than this would give each row too many column subsets.
-MAX_FREE_COLUMNS = 12
-
-
-def row_similarity(
-    candidate: DataFrame, expected: DataFrame, block_by=(), task_rows: int = GROUP_ROWS
-) -> DataFrame:
+def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=(), group_rows: int = GROUP_ROWS) -> DataFrame:
     """0.7 x share of equal rows + 0.3 x mean best similarity of an expected row.
 
     The best similarity of a row is the largest share of columns in which some
@@ -211,7 +194,8 @@ def row_similarity(
     each distinct row lists its values under every subset of columns, and an
     expected row looks for its largest subset that a candidate lists as well.
     Rows found exactly need no search. With `block_by` only candidates agreeing
-    in those columns count, which leaves fewer subsets.
+    in those columns count, which leaves fewer subsets: their number doubles
+    with each free column.
     """
     columns = sorted(set(candidate.columns) | set(expected.columns))
     width = len(columns)
@@ -219,21 +203,11 @@ def row_similarity(
     if len(fixed) != len(set(block_by)):
         raise SpecError("block_by columns must occur in the tables")
     free = [i for i in range(width) if i not in fixed]
-    if len(free) > MAX_FREE_COLUMNS:
-        raise SpecError(
-            f"{len(free)} columns to compare freely, at most {MAX_FREE_COLUMNS}: name block_by columns that must agree"
-        )
     base = sum(1 << i for i in fixed)
-    masks = [
-        base + sum(1 << i for i in chosen)
-        for size in range(len(free))
-        for chosen in combinations(free, size)
-    ]
-    masks = [m for m in masks if m]
 
     counts = _row_counts(candidate, expected, columns)
     cells = F.array(*[F.coalesce(F.concat(F.lit("="), F.col(f"c{i}")), F.lit("")) for i in range(width)])
-    counts = materialize(counts.select(cells.alias("cells"), "c", "e"))
+    counts = counts.select(cells.alias("cells"), "c", "e")
     same_columns = set(candidate.columns) == set(expected.columns)
     totals = counts.agg(
         _total(F.least("c", "e") if same_columns else F.lit(0)).alias("equal_rows"),
@@ -242,21 +216,26 @@ def row_similarity(
         _total(F.col("c")).alias("candidate_rows"),
     )
 
+    # every subset of the free columns but all of them, each with the fixed ones
+    subsets = F.sequence(F.lit(0 if base else 1).cast("bigint"), F.lit((1 << len(free)) - 2).cast("bigint"))
+
+    def placed(subset):
+        bits = [F.shiftleft(F.getbit(subset, F.lit(i)).cast("bigint"), column) for i, column in enumerate(free)]
+        return sum(bits, F.lit(base).cast("bigint"))
+
     def listed(rows):
-        spread = rows.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
+        spread = rows.withColumn("subset", F.explode(subsets)).withColumn("mask", placed(F.col("subset"))).drop("subset")
         values = F.transform("cells", lambda x, i: F.when(F.getbit(F.col("mask"), i) == 1, x))
         return spread.withColumn("values", values)
 
-    if masks:
+    if len(free) > (0 if base else 1):
         missing = counts.filter((F.col("e") > 0) & (F.col("c") == 0))
         wanted = listed(missing)
         offered = listed(counts.filter(F.col("c") > 0)).select("mask", "values").distinct()
-        if missing.count() <= task_rows:
-            found = wanted.join(offered, ["mask", "values"], "left_semi")
-        else:  # a value many rows share, such as a ward, would be one task's work
-            sizes = wanted.groupBy("mask", "values").agg(F.count(F.lit(1)).alias("rows"))
-            known = sizes.join(offered.withColumn("known", F.lit(True)), ["mask", "values"], "left")
-            found = attach(wanted, known, ["mask", "values"], "rows", task_rows).filter("known")
+        # a value many rows share, such as a ward, must not be one task's work
+        sizes = wanted.groupBy("mask", "values").agg(F.count(F.lit(1)).alias("rows"))
+        known = sizes.join(offered.withColumn("known", F.lit(True)), ["mask", "values"], "left")
+        found = attach(wanted, known, ["mask", "values"], "rows", group_rows).filter("known")
         best = found.groupBy("cells").agg(F.max(F.bit_count("mask")).alias("agree"), F.first("e").alias("e"))
         near = best.agg(_total(F.col("e") * F.col("agree")).alias("s")).scalar()
     else:
@@ -279,7 +258,7 @@ def row_similarity(
 # -- rows paired one to one -------------------------------------------------
 
 
-def _paired(candidate, expected, shared, block_by, order_by, task_rows, rows=False) -> DataFrame:
+def _paired(candidate, expected, shared, block_by, order_by, group_rows, rows=False) -> DataFrame:
     """Each expected row beside the candidate row of the same block and place.
 
     The place is the row's number within its block; with a block key that is
@@ -298,12 +277,7 @@ def _paired(candidate, expected, shared, block_by, order_by, task_rows, rows=Fal
             *([F.struct(*shared).alias(f"{name}_row")] if rows else []),
             F.lit(1).alias("one"),
         )
-        one_task = df.count() <= task_rows
-        if not one_task:  # a hot block is read several times to number its rows
-            table = materialize(table)
-        return running_sum(
-            table, "one", order, blocks, name="place", ranges=1 if one_task else None, group_rows=task_rows, ties=[name]
-        ).drop("one")
+        return running_sum(table, "one", order, blocks, name="place", group_rows=group_rows, ties=[name]).drop("one")
 
     return side(expected, "e").join(side(candidate, "c").drop(*order), [*blocks, "place"], "left")
 
@@ -316,7 +290,7 @@ def _similarity(shared) -> Column:
 
 
 def blended_match(
-    candidate: DataFrame, expected: DataFrame, block_by, order_by, task_rows: int = GROUP_ROWS
+    candidate: DataFrame, expected: DataFrame, block_by, order_by, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """0.55 x equal rows + 0.25 x similarity of pairs + 0.10 x columns + 0.10 x row count.
 
@@ -332,7 +306,7 @@ def blended_match(
         "candidate_rows",
         expected.agg(F.count(F.lit(1)).alias("n")).scalar().alias("expected_rows"),
     )
-    pair_total = _paired(candidate, expected, shared, list(block_by), list(order_by), task_rows).agg(
+    pair_total = _paired(candidate, expected, shared, list(block_by), list(order_by), group_rows).agg(
         _total(_similarity(shared)).alias("s")
     )
     e, c = F.col("expected_rows"), F.col("candidate_rows")
@@ -375,11 +349,11 @@ def blended_match(
 
 
 def row_comparisons(
-    candidate: DataFrame, expected: DataFrame, block_by, order_by, n: int = 20, task_rows: int = GROUP_ROWS
+    candidate: DataFrame, expected: DataFrame, block_by, order_by, n: int = 20, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """The first n expected rows beside their partners, for display."""
     shared = column_sets(candidate, expected)["shared"]
-    pairs = _paired(candidate, expected, shared, list(block_by), list(order_by), task_rows, rows=True)
+    pairs = _paired(candidate, expected, shared, list(block_by), list(order_by), group_rows, rows=True)
     order = [f"__o{i}" for i in range(len(order_by))]
     shown = pairs.orderBy(*order, "place").limit(n)
     index = F.row_number().over(Window.orderBy(*order, "place")) - 1
