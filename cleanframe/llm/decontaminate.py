@@ -21,8 +21,10 @@ BLOCK = 256
 TOGETHER = 16
 #: Dimensions of a latent space, further random ones, and power iterations of its randomised SVD.
 RANK, EXTRA, POWER = 64, 16, 2
-#: Words in more than this part of all documents have no say.
+#: Words in more than this part of all documents have no say, but for passages that consist mostly of such.
 COMMON = 0.1
+#: No word weighs more than so many times the mean of the passages' words, lest a few replaced words hide a passage.
+HEAVIEST = 1.5
 #: Words in a step; windows are 2, 4 and 8 steps long and overlap by half.
 STEP, LENGTHS = 8, (2, 4, 8)
 #: Cosine from which a window and a passage are compared word by word.
@@ -70,8 +72,9 @@ class Space:
     """The latent space of one block of passages."""
 
     ids: list
+    cap: float  # no word weighs more
     place: np.ndarray  # of each bucket in `vectors`, or -1
-    vectors: np.ndarray  # one row per word of the passages that isn't common
+    vectors: np.ndarray  # one row per word that has a say
     latent: np.ndarray  # one row per passage, divided by the part of its norm that the space holds
     steps: np.ndarray  # length of window for each passage
     words: list[np.ndarray]
@@ -84,15 +87,19 @@ def _space(idf: np.ndarray, common: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("draw", "ascending")]).combine_chunks()
         hashes, rows = words(*bytes_of(table.column("text")), ALPHANUMERIC)
+        cap = HEAVIEST * float(idf[_buckets(hashes)].mean()) if len(hashes) else 1.0
+        weight = np.minimum(idf, cap)
         answer_hashes, answer_rows = words(*bytes_of(table.column("answer")), ALPHANUMERIC)
         n, buckets = table.num_rows, _buckets(hashes)
-        norms = np.sqrt(np.bincount(rows, idf[buckets] ** 2, minlength=n)) + 1e-12
-        useful = np.unique(buckets[~common[buckets]])
+        norms = np.sqrt(np.bincount(rows, weight[buckets] ** 2, minlength=n)) + 1e-12
+        rare = np.bincount(rows, weight[buckets] ** 2 * ~common[buckets], minlength=n)
+        plain = rare < norms**2 / 2  # passages that are told by their common words
+        useful = np.unique(buckets[~common[buckets] | plain[rows]])
         place = np.full(BUCKETS, -1, np.int64)
         place[useful] = np.arange(len(useful))
         told = place[buckets] >= 0
         matrix = np.zeros((n, max(len(useful), 1)))
-        np.add.at(matrix, (rows[told], place[buckets[told]]), idf[buckets[told]])
+        np.add.at(matrix, (rows[told], place[buckets[told]]), weight[buckets[told]])
         matrix /= norms[:, None]
         basis = randomized_svd(matrix, RANK, SEED)
         latent = matrix @ basis
@@ -102,9 +109,10 @@ def _space(idf: np.ndarray, common: np.ndarray):
         return pa.table(
             {
                 "block": [table.column("block")[0].as_py()],
+                "cap": [cap],
                 "ids": pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)),
                 "useful": pa.array([useful], pa.list_(pa.int64())),
-                "vectors": [(idf[useful][:, None] * basis[: len(useful)]).astype(np.float32).tobytes()],
+                "vectors": [(weight[useful][:, None] * basis[: len(useful)]).astype(np.float32).tobytes()],
                 "latent": [latent.astype(np.float32).tobytes()],
                 "words": pa.array([[hashes[at[i] : at[i + 1]].view(np.int64) for i in range(n)]], pa.list_(pa.list_(pa.int64()))),
                 "answers": pa.array(
@@ -128,7 +136,7 @@ def spaces(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", ite
     # the pick of a block by hash, so that blocks have about the same number of passages
     drawn = items.withColumn("draw", F.xxhash64("text", "answer", F.col("id").cast("string"))).withColumn("block", F.pmod("draw", F.lit(blocks)))
     kind = items.schema["id"].dataType.simpleString()
-    schema = f"block bigint, ids array<{kind}>, useful array<bigint>, vectors binary, latent binary, words array<array<bigint>>, answers array<array<bigint>>"
+    schema = f"block bigint, cap double, ids array<{kind}>, useful array<bigint>, vectors binary, latent binary, words array<array<bigint>>, answers array<array<bigint>>"
     return idf, stored(drawn.groupBy("block").applyInArrow(_space(idf, common), schema))
 
 
@@ -142,8 +150,8 @@ def _opened(row) -> Space:
     given = [np.array(w, np.int64) for w in row["answers"]]
     answers = [a if len(a) else w[-max(3, len(w) // 4) :] for a, w in zip(given, known)]
     steps = np.array([next((k for k in LENGTHS if len(w) <= k * STEP * 1.4), LENGTHS[-1]) for w in known])
-    vectors = np.frombuffer(row["vectors"], np.float32).reshape(len(useful), -1)
-    return Space(list(row["ids"]), place, vectors, latent, steps, known, answers)
+    vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, latent.shape[1])
+    return Space(list(row["ids"]), row["cap"], place, vectors, latent, steps, known, answers)
 
 
 def common_subsequence(masks: dict, length: int, other: list) -> int:
@@ -177,7 +185,7 @@ def candidates(space: Space, idf: np.ndarray, buckets: np.ndarray, at: np.ndarra
     base = np.concatenate([[0], np.cumsum(steps + pad)])  # zero steps part the rows
     row_of = np.repeat(np.arange(n), lengths)
     step_of = base[row_of] + (np.arange(len(buckets)) - at[row_of]) // STEP
-    norm = np.bincount(step_of, idf[buckets] ** 2, minlength=base[-1])
+    norm = np.bincount(step_of, np.minimum(idf, space.cap)[buckets] ** 2, minlength=base[-1])
     told = np.flatnonzero(space.place[buckets] >= 0)
     sums = np.zeros((base[-1], space.vectors.shape[1]), np.float32)
     if len(told):
