@@ -56,18 +56,20 @@ def quotas(wanted: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Dat
     Sainte-Laguë: the blocks of a shard go one by one to the highest quotient target / (2k + 1),
     k being the blocks the source has. All seats but a few per source are certain, as a source's
     share of blocks + or - half a block per source bounds its seats on either side; only the
-    quotients between these bounds are ranked, a number of rows in proportion to the sources.
-    Equal quotients go to the first source by code point.
+    quotients between these bounds are ranked, a number of rows in proportion to the sources. A
+    block has the most words that leave `blocks` blocks in a shard, or one. Equal quotients go to the first source by code point.
     """
     whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     n, total = F.count("*").over(whole), F.sum("target").over(whole)
-    sized = wanted.withColumn("blocks", F.greatest(F.lit(blocks).cast("long"), n * 16)).withColumn("total", total).withColumn("n", n)
+    sized = wanted.withColumn("total", total).withColumn("n", n)
+    least = F.greatest(F.lit(blocks).cast("long"), F.col("n") * 16)
+    sized = sized.withColumn("block_words", F.greatest(F.lit(1), F.floor(F.col("total") / (least * shards))).cast("long"))
+    sized = sized.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("total") / (F.col("block_words") * shards))).cast("long"))
     part = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0))
     bounded = sized.withColumn("part", part).select(
         "*",
         F.greatest(F.lit(0), F.floor(F.col("part") * (F.col("blocks") - F.col("n") / 2) - 1)).cast("long").alias("low"),
         F.ceil(F.col("part") * (F.col("blocks") + F.col("n") / 2) + 1).cast("long").alias("high"),
-        F.ceil(F.col("total") / (F.col("blocks") * shards)).cast("long").alias("block_words"),
     )
     seats = bounded.withColumn("open", F.col("blocks") - F.sum("low").over(whole)).filter("part > 0")
     ranked = seats.select("source", "low", "open", F.explode(F.sequence("low", "high")).alias("k"), "part").withColumn(

@@ -115,13 +115,15 @@ v AS (
     / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s),
 t AS (SELECT source, source_size, least(max(level) OVER () * weight, source_size * 2.0::DOUBLE) AS target FROM v),
-m AS (SELECT greatest(4096, 16 * count(*)) AS blocks, sum(target) AS total FROM t),
+l AS (SELECT greatest(4096, 16 * count(*)) AS least, sum(target) AS total FROM t),
+w AS (SELECT total, greatest(1, floor(total / (least * 8)))::BIGINT AS block_words FROM l),
+m AS (SELECT total, block_words, greatest(1, round(total / (block_words * 8)))::BIGINT AS blocks FROM w),
 q AS (
   SELECT source, row_number() OVER (ORDER BY target / total / (2 * k + 1) DESC, source NULLS LAST) AS rank, blocks
   FROM t, m, range(0, (SELECT max(blocks) FROM m)) AS seats(k) WHERE target > 0 AND k <= target / total * blocks + 100),
 a AS (SELECT source, count(*) AS quota FROM q WHERE rank <= blocks GROUP BY source),
 b AS (
-  SELECT t.*, coalesce(a.quota, 0) AS quota, ceil(m.total / (m.blocks * 8))::BIGINT AS block_words
+  SELECT t.*, coalesce(a.quota, 0) AS quota, m.block_words
   FROM t CROSS JOIN m LEFT JOIN a ON a.source IS NOT DISTINCT FROM t.source),
 x AS (
   SELECT d.*, b.* EXCLUDE (source), least(quota * 8 * block_words, source_size * 2) AS words,

@@ -33,7 +33,10 @@ def test_targets_and_quotas(spark):
         want = brute.targets(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
         assert {s: r["target"] for s, r in got.items()} == pytest.approx(want)
         if sum(sizes.values()):
-            blocks = max(50, 16 * n)
+            total = sum(r["target"] for r in got.values())
+            words = {r["block_words"] for r in got.values()}.pop()
+            assert words == max(1, total // (max(50, 16 * n) * 4))
+            blocks = max(1, round(total / (words * 4) + 1e-9))
             assert {s: r["quota"] for s, r in got.items()} == brute.sainte_lague({s: r["target"] for s, r in got.items()}, blocks)
 
 
