@@ -16,8 +16,10 @@ from .text import NOT_SPACE, bounds, bytes_of, mix, salts, small_batches, words
 WIDTH = 5
 #: Bands and coordinates in each. A pair at similarity 0.85 shares no band with a chance of 2.6e-7.
 BANDS, ROWS = 32, 6
-#: Bands of the first round, pivots of a bucket in the first rounds, and so many times more in each later one.
-FIRST, PIVOTS, MORE = 4, 2, 4
+#: Bands of the first round, pivots of a bucket in it and in the third, and so many times more in each later one.
+FIRST, PIVOTS, MORE = 4, 4, 16
+#: Words of 64 bits in which the shingles outside a pivot are marked.
+WORDS = 4
 SEED = 6
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -123,56 +125,104 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with `shared` shingles, the sets' sizes `na` and `nb`, whether they are `linked`,
+    and `outside`: for each shingle of b that a lacks one of 64 * WORDS bits, by its hash."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    smaller, larger = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    both = pairs.join(b, "b").join(a, "a").filter(smaller * 100 >= larger * percent)
-    shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return shared.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
+    one = F.lit(1).cast("bigint")
+
+    def word(i: int) -> Column:
+        mine = F.filter("lacking", lambda h: F.pmod(F.shiftright(h, 6), F.lit(WORDS)) == i)
+        return F.aggregate(
+            mine, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", one, F.pmod(h, F.lit(64)).cast("int")))
+        )
+
+    both = pairs.join(b, "b").join(a, "a")
+    lacking = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("lacking"))
+    shared = F.col("nb") - F.size("lacking")
+    met = lacking.select("a", "b", "na", "nb", shared.alias("shared"), F.array(*[word(i) for i in range(WORDS)]).alias("outside"))
+    linked = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
+    return met.withColumn("linked", linked)
+
+
+def _possible(percent: int) -> Column:
+    """Whether x and y can be similar enough, by what is known of both beside their bucket's first pivot.
+
+    They share at most what both share with it, and of the rest no shingle whose bit the other lacks.
+    """
+    lone = lambda i, j: sum(
+        (F.bit_count(F.get(f"w{i}", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"w{j}", F.lit(k))))) for k in range(WORDS)), F.lit(0)
+    )
+    rest = lambda i, j: F.col(f"n{i}") - F.col(f"o{i}") - lone(i, j)
+    most = F.least("ox", "oy") + F.least(rest("x", "y"), rest("y", "x"))
+    return most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
 
 
 def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (node, label) of the components that all similar pairs within a bucket make.
 
-    In a round, each bucket compares a few pivots with its members of other components. Links join
-    components, pivots leave the bucket, and a bucket whose other members are one component is done:
-    so each pair in a bucket is compared or known to be connected. Pivots are members of the
-    bucket's smallest components, in one order for all buckets. The first round looks at FIRST bands
-    only, where large groups of copies become components at the cost of a few comparisons per member;
-    the rounds after it see all bands, with ever more pivots, and have little left to do.
+    In a round, each bucket compares some pivots with its members. Links join components, and a bucket whose
+    members are one component is done. The first round looks at FIRST bands only, where most of a
+    large group of copies becomes one component at the cost of a few comparisons per member. The second
+    compares one pivot, out of the bucket's largest component, with all members of every bucket left,
+    and keeps what each shares with it. Later rounds take ever more pivots, out of the smallest
+    components, and compare those pairs of different components that can still be similar by that
+    (see `_possible`). So each pair in a bucket is compared, known to be connected, or proven to be
+    too far apart.
     """
-    labels, linked, number = None, None, PIVOTS
-    left = stored(buckets.filter(F.col("band") < FIRST).select("bucket", "node", F.col("node").alias("label")))
-    first = True
-    while True:
-        sizes = stored(left.groupBy("bucket", "label").agg(F.count("*").alias("size")))
-        order = W.partitionBy("bucket").orderBy("size", F.xxhash64("node"), "node")
-        ranked = left.join(sizes, ["bucket", "label"]).withColumn("rank", F.row_number().over(order)).filter(f"rank <= {number}")
-        pivots = stored(ranked.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")))
-        pairs = left.join(pivots, "bucket").filter("label != la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        pairs = stored(pairs.distinct())
-        links = _verified(pairs, sets, percent)
+    linked = labels = None
+
+    def joined(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        old, linked = linked, stored(links)
-        labels = components(linked)
+        kept = stored(links)
+        return kept, components(kept)
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with `label`."""
         known = labels.select("node", F.col("label").alias("l"))
-        if first:
-            rest, first = buckets.select("bucket", "node"), False
-        else:
-            # the pivots of the round have met all others
-            rest = left.join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-            number *= MORE
-        labelled = rest.join(known, "node", "left").select("bucket", "node", F.coalesce("l", "node").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        mixed = stored(mixed.filter("least != most").select("bucket"))
-        before, left = left, stored(labelled.join(mixed, "bucket", "left_semi"))
-        dropped(before, sizes, pivots, pairs, mixed, *([old] if old is not None else []))
-        if left.isEmpty():
-            dropped(left, linked)
-            return labels
+        told = rows.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l")
+        mixed = told.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        return stored(told.join(stored(mixed.filter("least != most").select("bucket")), "bucket", "left_semi"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        sizes = stored(rows.groupBy("bucket", "label").agg(F.count("*").alias("size")))
+        return rows.join(sizes, ["bucket", "label"])
+
+    # first round
+    few = stored(buckets.filter(F.col("band") < FIRST).select("bucket", "node"))
+    ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")))
+    pivots = stored(ranked.filter(f"rank <= {PIVOTS}").select("bucket", F.col("node").alias("p")))
+    pairs = few.join(pivots, "bucket").filter("node != p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+    linked, labels = joined(_compared(stored(pairs.distinct()), sets, percent).filter("linked").select("a", "b"))
+    left = unsettled(buckets.select("bucket", "node"))
+
+    # second round
+    order = W.partitionBy("bucket").orderBy(F.col("size").desc(), F.xxhash64("node"), "node")
+    first = sized(left).withColumn("rank", F.row_number().over(order)).filter("rank = 1")
+    first = stored(first.select("bucket", F.col("node").alias("a")))
+    beside = left.join(first, "bucket").filter("node != a").select("bucket", "a", F.col("node").alias("b"))
+    beside = stored(beside)
+    met = stored(_compared(stored(beside.select("a", "b").distinct()), sets, percent))
+    linked, labels = joined(met.filter("linked").select("a", "b"))
+    known = beside.join(met, ["a", "b"]).select("bucket", F.col("b").alias("node"), F.col("nb").alias("n"), F.col("shared").alias("o"), F.col("outside").alias("w"))
+    left = unsettled(known)
+
+    number = PIVOTS
+    while not left.isEmpty():
+        order = W.partitionBy("bucket").orderBy("size", F.xxhash64("node"), "node")
+        ranked = sized(left).withColumn("rank", F.row_number().over(order)).filter(f"rank <= {number}")
+        pivots = stored(ranked.select("bucket", *[F.col(c).alias(f"{x}x") for c, x in (("node", "p"), ("label", "l"), ("n", "n"), ("o", "o"), ("w", "w"))]))
+        others = left.select("bucket", "node", F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("o").alias("oy"), F.col("w").alias("wy"))
+        near = others.join(pivots, "bucket").filter((F.col("ly") != F.col("lx")) & _possible(percent))
+        pairs = stored(near.select(F.least("node", "px").alias("a"), F.greatest("node", "px").alias("b")).distinct())
+        linked, labels = joined(_compared(pairs, sets, percent).filter("linked").select("a", "b"))
+        # the pivots of the round have met all others
+        rest = left.join(pivots.select("bucket", F.col("px").alias("node")), ["bucket", "node"], "left_anti")
+        left = unsettled(rest)
+        number *= MORE
+    return labels
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         after = stored(large.join(lowest, "u").select(F.inline(ends)).filter("u != v").distinct())
