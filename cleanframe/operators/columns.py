@@ -8,7 +8,7 @@ from string import Formatter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..errors import SpecError, require_columns
+from ..errors import SpecError, check, require_columns
 from ..functions.values import (
     all_digits,
     as_text,
@@ -53,11 +53,8 @@ def _fits(value, dtype: T.DataType) -> bool:
 
 def rename_columns(df: DataFrame, mapping: dict, null_like=()) -> DataFrame:
     """Rename in the given order; onto an existing column, fill its nulls instead."""
-    if not isinstance(mapping, dict) or not mapping:
-        raise SpecError("rename_columns needs a non-empty mapping")
+    check("rename_columns", mapping=(mapping, "renaming"))
     for old, new in mapping.items():
-        if not isinstance(old, str) or not isinstance(new, str):
-            raise SpecError("rename_columns mapping must be text to text")
         if old == new or old not in df.columns:
             continue
         if new in df.columns:
@@ -75,8 +72,7 @@ def map_values(df: DataFrame, column: str, mapping: dict, default=..., null_like
     mapping may lead to null. A null cell becomes the default or stays null.
     """
     require_columns(df, [column])
-    if not isinstance(mapping, dict) or not mapping:
-        raise SpecError("map_values needs a non-empty mapping")
+    check("map_values", mapping=(mapping, "mapping"))
     dtype = _type(df, column)
     cell = nullify(F.col(column), null_like, dtype)
     targets = [v for v in list(mapping.values()) + ([] if default is ... else [default]) if v is not None]
@@ -134,8 +130,7 @@ def coalesce_columns(
 ) -> DataFrame:
     """The first non-null of the sources, then the fill value."""
     source_columns = list(source_columns)
-    if not isinstance(target_column, str) or not source_columns:
-        raise SpecError("coalesce_columns needs a target column and source columns")
+    check("coalesce_columns", target_column=(target_column, "text"), source_columns=(source_columns, "names"))
     require_columns(df, source_columns)
     parts, _ = _merged(df, source_columns, null_like, [fill_value])
     out = df.withColumn(target_column, F.coalesce(*parts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..errors import SpecError, require_columns
+from ..errors import check, require_columns
 from ..functions.values import nullify, try_num
 from .ordered import forward_fill, running_sum
 
@@ -94,8 +94,7 @@ def fix_nulls(
     missing. forward_fill needs `order_by`.
     """
     strategy = str(strategy).strip().lower()
-    if strategy not in STRATEGIES:
-        raise SpecError(f"unsupported fix_nulls strategy '{strategy}'; supported: {sorted(STRATEGIES)}")
+    check("fix_nulls", strategy=(strategy, STRATEGIES))
     columns = list(df.columns if columns is None else columns)
     require_columns(df, columns)
     if null_like:

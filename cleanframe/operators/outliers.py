@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..errors import SpecError, require_columns
+from ..errors import check, require_columns
 from ..functions.values import try_num
 from .joins import attach
 from .ordered import GROUP_ROWS
@@ -28,12 +28,8 @@ def remove_outliers(
     """
     partition_by = list(partition_by)
     require_columns(df, [column, *partition_by])
-    try:
-        n_std = float(n_std)
-    except (TypeError, ValueError) as bad:
-        raise SpecError("remove_outliers needs a numeric n_std") from bad
-    if not n_std > 0:
-        raise SpecError("remove_outliers needs n_std > 0")
+    check("remove_outliers", n_std=(n_std, "above zero"))
+    n_std = float(n_std)
     number = try_num(F.col(column), df.schema[column].dataType)
 
     def inside(low, high):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..errors import SpecError
@@ -105,12 +106,23 @@ def clean(df: DataFrame, operations, order_by=(), null_like=()) -> DataFrame:
     return reduce(lambda table, step: _apply(table, step, order_by, null_like), steps, df)
 
 
-def clean_or_keep(df: DataFrame, operations, order_by=(), null_like=()) -> tuple[DataFrame, str | None]:
-    """clean(), or the table as it was and the reason if the spec is wrong."""
+def clean_or_keep(df: DataFrame, operations, order_by=(), null_like=(), run: bool = False) -> tuple[DataFrame, str | None]:
+    """clean(), or the table as it was and the reason if the spec is wrong.
+
+    A column without any value to fill from is found only when the plan runs. With `run` it runs here, into the
+    shared folder, and such a failure keeps the table too.
+    """
+    from ..sources.tables import materialize  # which itself uses operators
+
     try:
-        return clean(df, operations, order_by, null_like), None
+        cleaned = clean(df, operations, order_by, null_like)
+        return (materialize(cleaned) if run else cleaned), None
     except SpecError as wrong:
         return df, str(wrong)
+    except PySparkException as failed:
+        if failed.getCondition() != "USER_RAISED_EXCEPTION":
+            raise
+        return df, str(failed).splitlines()[0]
 
 
 def clean_with_report(df: DataFrame, operations, order_by=(), null_like=()):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..errors import SpecError, require_columns
+from ..errors import SpecError, check, require_columns
 from ..functions.values import (
     OPERATION_EPOCH,
     as_text,
@@ -37,10 +37,7 @@ def fix_dtypes(
     order. Dates are real dates unless `as_string`. int rounds half to even,
     or truncates with int_mode="trunc".
     """
-    if not isinstance(columns, dict) or not columns:
-        raise SpecError("fix_dtypes needs a non-empty mapping of column to type")
-    if int_mode not in ("round", "trunc"):
-        raise SpecError("int_mode must be 'round' or 'trunc'")
+    check("fix_dtypes", columns=(columns, "mapping"), int_mode=(int_mode, ("round", "trunc")))
     require_columns(df, columns)
     out = {}
     for name, target in columns.items():
@@ -70,8 +67,7 @@ def normalize_strings(df: DataFrame, columns, case: str = "lower") -> DataFrame:
     require_columns(df, columns)
     case = str(case).strip().lower()
     cases = {"lower": F.lower, "upper": F.upper, "title": title}
-    if case not in cases or not columns:
-        raise SpecError("normalize_strings needs columns and a case of lower, upper or title")
+    check("normalize_strings", columns=(columns, "names"), case=(case, cases))
     return df.withColumns({n: cases[case](strip(as_text(F.col(n), df.schema[n].dataType))) for n in columns})
 
 
@@ -88,8 +84,7 @@ def fix_unix_ms(
     columns = [columns] if isinstance(columns, str) else list(columns)
     require_columns(df, columns)
     output = str(output).strip().lower()
-    if output not in ("date", "datetime") or not columns:
-        raise SpecError("fix_unix_ms needs columns and an output of date or datetime")
+    check("fix_unix_ms", columns=(columns, "names"), output=(output, ("date", "datetime")))
     out = {}
     for name in columns:
         c, dtype = F.col(name), df.schema[name].dataType

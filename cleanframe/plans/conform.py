@@ -57,7 +57,8 @@ def known_parents(children: DataFrame, parents: DataFrame, child_key: str, paren
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """The rows known_parents() would drop."""
     keys, key = _parent_keys(parents, parent_key), F.coalesce(strip(F.col(child_key)), F.lit(""))
-    return children.join(keys, on=key == F.col("__parent"), how="left_anti")
+    without = children.filter(key == "")  # these must not meet in one task of the join
+    return children.filter(key != "").join(keys, on=key == F.col("__parent"), how="left_anti").unionByName(without)
 
 
 def _parent_keys(parents: DataFrame, parent_key: str) -> DataFrame:

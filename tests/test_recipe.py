@@ -96,6 +96,14 @@ def test_a_wrong_spec_can_leave_the_table_as_it_was(table):
     assert column(cleaned, "a") == ["x"] and reason is None
 
 
+def test_a_failing_run_can_leave_the_table_as_it_was(table):
+    df = table("a string, b string", ("x", None))
+    kept, reason = clean_or_keep(df, {"operation": "fix_nulls", "strategy": "mode", "columns": ["b"]}, run=True)
+    assert kept is df and "no mode" in reason
+    cleaned, reason = clean_or_keep(df, {"operation": "fix_nulls", "strategy": "mode", "columns": ["a"]}, run=True)
+    assert rows(cleaned) == [("x", None)] and reason is None
+
+
 def test_defaults_reach_the_operations_that_take_them(table):
     df = table("k int, v string, at int", (1, "N/A", 2), (2, "x", 1), (3, "", 3))
     got = clean(df, {"operation": "fix_nulls", "strategy": "forward_fill", "columns": ["v"]}, ["at"], ["", "N/A"])
