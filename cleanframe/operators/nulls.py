@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..errors import check, require_columns
 from ..functions.values import nullify, try_num
@@ -19,26 +19,39 @@ def _type(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
-def exact_median(df: DataFrame, column: str) -> Column:
-    """The exact median of a numeric column as a scalar subquery; null if empty.
+def exact_medians(df: DataFrame, columns) -> dict[str, Column]:
+    """The exact medians of numeric columns out of one scalar subquery; null where a column is empty.
 
-    Works on the histogram of the column: counts per value are combined before
-    the shuffle, and the position of the middle is found by a running sum that
-    never sends the whole histogram through one task.
+    Works on the histograms of all columns together, in one pass over the table: counts per column and
+    value are combined before the shuffle, and the middles are found by one running sum along
+    columns and values, which never sends a whole histogram through one task.
     """
+    columns = list(columns)
+    cells = [F.struct(F.lit(i).alias("which"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]
     counts = (
-        df.select(F.col(column).cast("double").alias("value"))
+        df.select(F.inline(F.array(*cells)))
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("value")
+        .groupBy("which", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    total = counts.agg(F.sum("n").alias("n")).scalar()
-    upto = running_sum(counts, "n", ["value"], name="upto")
-    middle = upto.agg(
-        F.min(F.when(F.col("upto") > F.floor((total - 1) / 2), F.col("value"))).alias("low"),
-        F.min(F.when(F.col("upto") > F.floor(total / 2), F.col("value"))).alias("high"),
+    upto = running_sum(counts, "n", ["which", "value"], name="upto", ties=())
+    # one row per column
+    before = Window.orderBy("which").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("which").agg(F.sum("n").alias("total"))
+    totals = totals.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    place = F.col("upto") - F.col("before")
+    middle = upto.join(F.broadcast(totals), "which").groupBy("which").agg(
+        F.min(F.when(place > F.floor((F.col("total") - 1) / 2), F.col("value"))).alias("low"),
+        F.min(F.when(place > F.floor(F.col("total") / 2), F.col("value"))).alias("high"),
     )
-    return middle.select(((F.col("low") + F.col("high")) / 2).alias("median")).scalar()
+    entry = F.struct("which", ((F.col("low") + F.col("high")) / 2).alias("median"))
+    medians = middle.agg(F.map_from_entries(F.collect_list(entry)).alias("medians")).scalar()
+    return {c: F.element_at(medians, F.lit(i)) for i, c in enumerate(columns)}
+
+
+def exact_median(df: DataFrame, column: str) -> Column:
+    """The exact median of one numeric column; see exact_medians."""
+    return exact_medians(df, [column])[column]
 
 
 def _modes(df: DataFrame, columns) -> Column:
@@ -78,7 +91,7 @@ def fill_nulls(df: DataFrame, columns, strategy: str) -> DataFrame:
         means = numbers.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("means")).scalar()
         stats = {c: means[c] for c in columns}
     else:
-        stats = {c: exact_median(numbers, c) for c in columns}
+        stats = exact_medians(numbers, columns)
     return numbers.withColumns(
         {c: F.coalesce(c, stats[c], _no_value(c, "numeric values").cast("double")) for c in columns}
     )
