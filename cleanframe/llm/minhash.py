@@ -171,41 +171,45 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     (see `_possible`). So each pair in a bucket is compared, known to be connected, or proven to be
     too far apart.
     """
-    linked = labels = None
+    labels, scratch = None, []
 
-    def joined(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def kept(df: DataFrame) -> DataFrame:
+        scratch.append(stored(df))
+        return scratch[-1]
+
+    def joined(links: DataFrame) -> DataFrame:
         if labels is not None:
+            scratch.append(labels)
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        kept = stored(links)
-        return kept, components(kept)
+        return components(kept(links))
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with `label`."""
         known = labels.select("node", F.col("label").alias("l"))
         told = rows.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l")
         mixed = told.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        return stored(told.join(stored(mixed.filter("least != most").select("bucket")), "bucket", "left_semi"))
+        return kept(told.join(kept(mixed.filter("least != most").select("bucket")), "bucket", "left_semi"))
 
     def sized(rows: DataFrame) -> DataFrame:
-        sizes = stored(rows.groupBy("bucket", "label").agg(F.count("*").alias("size")))
+        sizes = kept(rows.groupBy("bucket", "label").agg(F.count("*").alias("size")))
         return rows.join(sizes, ["bucket", "label"])
 
     # first round
-    few = stored(buckets.filter(F.col("band") < FIRST).select("bucket", "node"))
+    few = kept(buckets.filter(F.col("band") < FIRST).select("bucket", "node"))
     ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")))
-    pivots = stored(ranked.filter(f"rank <= {PIVOTS}").select("bucket", F.col("node").alias("p")))
+    pivots = kept(ranked.filter(f"rank <= {PIVOTS}").select("bucket", F.col("node").alias("p")))
     pairs = few.join(pivots, "bucket").filter("node != p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-    linked, labels = joined(_compared(stored(pairs.distinct()), sets, percent).filter("linked").select("a", "b"))
+    labels = joined(_compared(kept(pairs.distinct()), sets, percent).filter("linked").select("a", "b"))
     left = unsettled(buckets.select("bucket", "node"))
 
     # second round
     order = W.partitionBy("bucket").orderBy(F.col("size").desc(), F.xxhash64("node"), "node")
     first = sized(left).withColumn("rank", F.row_number().over(order)).filter("rank = 1")
-    first = stored(first.select("bucket", F.col("node").alias("a")))
+    first = kept(first.select("bucket", F.col("node").alias("a")))
     beside = left.join(first, "bucket").filter("node != a").select("bucket", "a", F.col("node").alias("b"))
-    beside = stored(beside)
-    met = stored(_compared(stored(beside.select("a", "b").distinct()), sets, percent))
-    linked, labels = joined(met.filter("linked").select("a", "b"))
+    beside = kept(beside)
+    met = kept(_compared(kept(beside.select("a", "b").distinct()), sets, percent))
+    labels = joined(met.filter("linked").select("a", "b"))
     known = beside.join(met, ["a", "b"]).select("bucket", F.col("b").alias("node"), F.col("nb").alias("n"), F.col("shared").alias("o"), F.col("outside").alias("w"))
     left = unsettled(known)
 
@@ -213,15 +217,16 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     while not left.isEmpty():
         order = W.partitionBy("bucket").orderBy("size", F.xxhash64("node"), "node")
         ranked = sized(left).withColumn("rank", F.row_number().over(order)).filter(f"rank <= {number}")
-        pivots = stored(ranked.select("bucket", *[F.col(c).alias(f"{x}x") for c, x in (("node", "p"), ("label", "l"), ("n", "n"), ("o", "o"), ("w", "w"))]))
+        pivots = kept(ranked.select("bucket", *[F.col(c).alias(f"{x}x") for c, x in (("node", "p"), ("label", "l"), ("n", "n"), ("o", "o"), ("w", "w"))]))
         others = left.select("bucket", "node", F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("o").alias("oy"), F.col("w").alias("wy"))
         near = others.join(pivots, "bucket").filter((F.col("ly") != F.col("lx")) & _possible(percent))
-        pairs = stored(near.select(F.least("node", "px").alias("a"), F.greatest("node", "px").alias("b")).distinct())
-        linked, labels = joined(_compared(pairs, sets, percent).filter("linked").select("a", "b"))
+        pairs = kept(near.select(F.least("node", "px").alias("a"), F.greatest("node", "px").alias("b")).distinct())
+        labels = joined(_compared(pairs, sets, percent).filter("linked").select("a", "b"))
         # the pivots of the round have met all others
         rest = left.join(pivots.select("bucket", F.col("px").alias("node")), ["bucket", "node"], "left_anti")
         left = unsettled(rest)
         number *= MORE
+    dropped(*scratch)
     return labels
 
 
