@@ -56,23 +56,25 @@ def op5(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH RECURSIVE w AS (
+WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
-s AS (
+t AS MATERIALIZED (
   SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
     ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles
   FROM w),
-c AS (SELECT min(doc_id) AS node, list_sort(shingles) AS shingles FROM s WHERE len(shingles) > 0 GROUP BY 2),
-e AS (SELECT node, len(shingles) AS n, unnest(shingles) AS x FROM c),
-p AS (
+s AS MATERIALIZED (SELECT *, md5(array_to_string(list_sort(shingles), chr(10))) AS k FROM t),
+c AS MATERIALIZED (SELECT min(doc_id) AS node, k, any_value(shingles) AS shingles FROM s WHERE len(shingles) > 0 GROUP BY k),
+e AS MATERIALIZED (SELECT node, len(shingles) AS n, unnest(shingles) AS x FROM c),
+p AS MATERIALIZED (
   SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
   GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-l AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT c.node, s.doc_id FROM s JOIN c ON list_sort(s.shingles) = c.shingles
-  UNION SELECT s.doc_id, c.node FROM s JOIN c ON list_sort(s.shingles) = c.shingles),
-r(doc_id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
-SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, min(r.reach) AS component_id, min(r.reach) = s.doc_id AS kept
-FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, s.shingles
+l AS MATERIALIZED (
+  SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT c.node, s.doc_id FROM s JOIN c USING (k) UNION SELECT s.doc_id, c.node FROM s JOIN c USING (k)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, m.component_id, m.component_id = s.doc_id AS kept
+FROM s JOIN m USING (doc_id)
 """
 
 
