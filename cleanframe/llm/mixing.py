@@ -125,28 +125,30 @@ def mix(
 def placed(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """`mix` for rows that have `size`, `__source` and `__key` already."""
     part = F.conv(F.substring("__key", 1, 2), 16, 10).cast("int") % PARTS
-    rows = rows.withColumn("__part", part)
-    parts = rows.groupBy("__source", "__part").agg(F.sum("size").alias("part_size"))
+    # one key without nulls, by which the rows are dealt out once for the sums and the join
+    named = F.when(F.col("__source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("__source").cast("string")))
+    rows = rows.withColumn("__part", part).withColumn("__group", F.concat_ws(":", named, "__part"))
+    parts = rows.groupBy("__source", "__part", "__group").agg(F.sum("size").alias("part_size"))
     tape = W.partitionBy("__source").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select(
         F.col("__source").alias("__s"),
-        F.col("__part").alias("__p"),
+        F.col("__group").alias("__g"),
         F.coalesce(F.sum("part_size").over(tape), F.lit(0)).alias("__before"),
     )
     sizes = parts.groupBy(F.col("__source").alias("source")).agg(F.sum("part_size").alias("source_size"))
     plan = quotas(targets(sizes, weights, share, most), shards, blocks)
     heads = starts.join(plan, F.col("__s").eqNullSafe(F.col("source"))).drop("source")
-    inside = W.partitionBy("__source", "__part").orderBy("__key").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("__group").orderBy("__key").rowsBetween(W.unboundedPreceding, -1)
     lying = rows.withColumn("__at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # one row per part, PARTS for each source
-    lying = lying.join(heads, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__part") == F.col("__p")))
+    lying = lying.join(heads, F.col("__group") == F.col("__g"))
     words = F.least(F.col("quota") * shards * F.col("block_words"), F.col("source_size") * most)
     rounds = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     start = F.col("__before") + F.col("__at")
     rest = words - rounds * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(start + F.col("size"), rest) - start)
     return lying.withColumn("taken", (rounds * F.col("size") + last).cast("long")).drop(
-        "__source", "__key", "__part", "__at", "__before", "__s", "__p"
+        "__source", "__key", "__part", "__at", "__before", "__s", "__group", "__g"
     )
 
 
