@@ -12,6 +12,10 @@ from .store import components, dropped, stored
 
 #: Trees, vectors that a leaf may hold, and the part of a node's vectors on either side of a cut that go both ways.
 TREES, LEAF, SPILL = 10, 1500, 0.1
+#: A cut's overlap reaches so many standard deviations of a linked pair's difference to either side. A
+#: cut that sends more than the part WIDEST of a node one way parts links and saves little, so it isn't
+#: made; after so many such directions in a row the node is a leaf.
+REACH, WIDEST, NARROW = 0.75, 0.75, 3
 #: A leaf that no cut makes smaller is compared in blocks of so many.
 BLOCK = 1500
 #: Cuts along a path at most; each halves a node, or a bit less.
@@ -94,37 +98,54 @@ def _linked(level: float):
     return run
 
 
-def _leaves(made: DataFrame, trees: int, leaf: int) -> DataFrame:
+def _leaves(made: DataFrame, trees: int, leaf: int, level: float) -> DataFrame:
     """(node, tree, width, kind, path): the leaves of all trees that each vector falls into.
 
     Level by level, nodes with more than `leaf` vectors are cut at the median of the vectors'
-    projections on a random direction; those within SPILL of the median go both ways. Nodes that a
-    level doesn't make smaller stay as they are. Each level aggregates per node and joins a row per
-    node back. Labels never share a node.
+    projections on a random direction; those near the median go both ways. On such a direction the
+    difference of two vectors at the threshold has a standard deviation of sqrt(2 - 2 * level), so the
+    overlap is SPILL of the vectors and REACH of these deviations at least, and a pair is parted
+    seldom however dense a node is. A node that NARROW directions don't cut (see WIDEST) stays whole
+    as a leaf. Each level aggregates per node and joins a row per node back. Labels never share a
+    node. Vectors that one tree keeps together whole are in no other tree's leaves.
     """
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    nodes = stored(made.select("node", tree.alias("tree"), "width", "kind", F.lit("").alias("path"), "vector"))
-    done = None
     key = ["tree", "width", "kind", "path"]
-    for level in range(DEPTH):
+    columns = ["node", *key, "vector"]
+    several = made.groupBy("width", "kind").count().filter(F.col("count") > leaf)
+    first = made.select("node", F.lit(0).alias("tree"), "width", "kind", F.lit("").alias("path"), "vector")
+    done = stored(first.join(several, ["width", "kind"], "left_anti").select("node", *key))
+    rooted = first.join(several, ["width", "kind"], "left_semi")
+    nodes = stored(rooted.withColumn("tree", tree).select(*columns))
+    reach = REACH * (2 - 2 * min(level, 1.0)) ** 0.5
+    for depth in range(DEPTH):
         sizes = stored(nodes.groupBy(*key).count())
-        large = sizes.filter(F.col("count") > leaf)
-        settled = nodes.join(sizes.filter(F.col("count") <= leaf), key, "left_semi").drop("vector")
-        done = stored(settled) if done is None else stored(done.unionByName(settled))
+        final = (F.col("count") <= leaf) | F.col("path").endswith("-" * NARROW)
+        large = sizes.filter(~final)
+        settled = nodes.join(sizes.filter(final), key, "left_semi").select("node", *key)
+        done = stored(done.unionByName(settled))
         if large.isEmpty():
-            return done
+            break
         open_ = nodes.join(large, key, "left_semi")
         shape = "node string, tree int, width int, kind string, path string, vector array<double>, p double"
-        seen = stored(open_.select("node", "tree", "width", "kind", "path", "vector").mapInArrow(_projected(level), shape))
-        ends = F.percentile_approx("p", [0.5 - SPILL, 0.5, 0.5 + SPILL], 2000)
-        cuts = stored(seen.groupBy(*key).agg(ends.alias("at")))
-        left = F.when(F.col("p") <= F.col("at")[2], F.concat("path", F.lit("0")))
-        right = F.when(F.col("p") > F.col("at")[0], F.concat("path", F.lit("1")))
-        ways = F.array_compact(F.array(left, right))
+        seen = stored(open_.select(*columns).mapInArrow(_projected(depth), shape))
+        ends = F.percentile_approx("p", [1 - WIDEST, 0.5 - SPILL, 0.5, 0.5 + SPILL, WIDEST], 2000)
+        cuts = seen.groupBy(*key).agg(ends.alias("at"))
+        at = F.col("at")
+        low, high = F.least(at[1], at[2] - reach), F.greatest(at[3], at[2] + reach)
+        cuts = stored(cuts.select(*key, low.alias("low"), high.alias("high"), ((low < at[0]) | (high > at[4])).alias("narrow")))
+        left = F.when(F.col("p") <= F.col("high"), F.concat("path", F.lit("0")))
+        right = F.when(F.col("p") > F.col("low"), F.concat("path", F.lit("1")))
+        ways = F.when(F.col("narrow"), F.array(F.concat("path", F.lit("-")))).otherwise(F.array_compact(F.array(left, right)))
         split = seen.join(cuts, key).select("node", "tree", "width", "kind", F.explode(ways).alias("path"), "vector")
         last, nodes = nodes, stored(split)
         dropped(last, sizes, seen, cuts)
-    return stored(done.unionByName(nodes.drop("vector")))
+    else:
+        done = stored(done.unionByName(nodes.drop("vector")))
+    whole = done.filter(F.col("path").isin("", "-" * NARROW))
+    whole = stored(whole.groupBy("width", "kind").agg(F.min("tree").alias("only")))
+    kept = done.join(whole, ["width", "kind"], "left").filter("only is null or tree = only")
+    return stored(kept.select("node", *key))
 
 
 def near_vectors(
@@ -145,7 +166,8 @@ def near_vectors(
     Equal vectors of one label are one node with a weight from the start. The others meet in
     the leaves of `trees` trees; a pair counts in the first leaf it shares. A leaf gives one row
     per node, never its pairs. A pair at the threshold that no tree brings together is lost;
-    tests measure the recall against brute force.
+    tests measure the recall against brute force. Nodes too dense to be cut without parting links
+    are compared whole, in blocks, which takes the square of their size.
 
     Null vectors and labels, vectors of zeros and those with a null or non-finite component link
     with nothing and are kept. Vectors of different width aren't compared. Null ids are passed over for `component_id`,
@@ -164,7 +186,7 @@ def near_vectors(
             F.first("kind").alias("kind"), F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("id").alias("first")
         ).withColumn("width", F.size("vector"))
     )
-    leaves = _leaves(made, trees, leaf)
+    leaves = _leaves(made, trees, leaf, level)
     by_node = leaves.groupBy("node").agg(F.collect_list(F.struct("tree", "path")).alias("leaves"))
     told = stored(made.join(by_node, "node").select("node", "vector", "weight", "leaves"))
     key = ["tree", "width", "kind", "path"]

@@ -118,6 +118,23 @@ def test_vectors_match_plain_python(spark, monkeypatch, leaf, block):
     assert found >= 0.99 * there
 
 
+def test_links_of_a_dense_group_are_found(spark):
+    draw = np.random.default_rng(3)
+    middle = draw.standard_normal(64)
+    # pairs of members have a cosine of about 0.93
+    group = middle + 0.274 * np.linalg.norm(middle) / 8 * draw.standard_normal((1500, 64))
+    others = draw.standard_normal((300, 64))
+    rows = [(i, v.tolist(), int(i >= 1800)) for i, v in enumerate([*group, *others, *group[:900]])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(table, leaf=60).collect()}
+    unit = np.array([v for _, v, _ in rows]) / np.linalg.norm([v for _, v, _ in rows], axis=1)[:, None]
+    labels = np.array([label for *_, label in rows])
+    want = ((unit @ unit.T >= 0.93) & (labels[:, None] == labels)).sum(axis=1) - 1
+    assert want.sum() > 900_000
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
