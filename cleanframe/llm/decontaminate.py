@@ -21,6 +21,8 @@ BLOCK = 256
 TOGETHER = 16
 #: Dimensions of a latent space, further random ones, and power iterations of its randomised SVD.
 RANK, EXTRA, POWER = 64, 16, 2
+#: A passage of whose squared norm a block's space holds less than this part goes into a further space, of RANK passages.
+HELD = 0.2
 #: Words in more than this part of all documents have no say, but for passages that consist mostly of such.
 COMMON = 0.1
 #: No word weighs more than so many times the mean of the passages' words, lest a few replaced words hide a passage.
@@ -69,7 +71,7 @@ def randomized_svd(matrix: np.ndarray, rank: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Space:
-    """The latent space of one block of passages."""
+    """A latent space of passages of one block."""
 
     ids: list
     cap: float  # no word weighs more
@@ -82,7 +84,11 @@ class Space:
 
 
 def _space(idf: np.ndarray, common: np.ndarray):
-    """A block's latent space, as one row of bytes. A block has about BLOCK passages."""
+    """A block's latent spaces, each as one row of bytes. A block has about BLOCK passages.
+
+    The first space spans all of them and has those it holds HELD of. The others, of which many other
+    passages leave no room for, come in spaces of RANK passages, which hold them whole.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("draw", "ascending")]).combine_chunks()
@@ -94,30 +100,46 @@ def _space(idf: np.ndarray, common: np.ndarray):
         norms = np.sqrt(np.bincount(rows, weight[buckets] ** 2, minlength=n)) + 1e-12
         rare = np.bincount(rows, weight[buckets] ** 2 * ~common[buckets], minlength=n)
         plain = rare < norms**2 / 2  # passages that are told by their common words
-        useful = np.unique(buckets[~common[buckets] | plain[rows]])
-        place = np.full(BUCKETS, -1, np.int64)
-        place[useful] = np.arange(len(useful))
-        told = place[buckets] >= 0
-        matrix = np.zeros((n, max(len(useful), 1)))
-        np.add.at(matrix, (rows[told], place[buckets[told]]), weight[buckets[told]])
-        matrix /= norms[:, None]
-        basis = randomized_svd(matrix, RANK, SEED)
-        latent = matrix @ basis
-        held = (latent**2).sum(axis=1)
-        latent = latent / np.maximum(held, 0.05)[:, None]
+        told = ~common[buckets] | plain[rows]
         at, answer_at = bounds(rows, n), bounds(answer_rows, n)
+
+        def spanned(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Buckets that have a say among the members, the basis, latent vectors and the part of each norm held."""
+            order = np.full(n, -1, np.int64)
+            order[members] = np.arange(len(members))
+            some = told & (order[rows] >= 0)
+            useful = np.unique(buckets[some])
+            place = np.full(BUCKETS, -1, np.int64)
+            place[useful] = np.arange(len(useful))
+            matrix = np.zeros((len(members), max(len(useful), 1)))
+            np.add.at(matrix, (order[rows[some]], place[buckets[some]]), weight[buckets[some]])
+            matrix /= norms[members, None]
+            basis = randomized_svd(matrix, RANK, SEED)
+            latent = matrix @ basis
+            held = (latent**2).sum(axis=1)
+            return useful, basis, latent / np.maximum(held, 1e-12)[:, None], held / np.maximum((matrix**2).sum(axis=1), 1e-12)
+
+        everyone = np.arange(n)
+        useful, basis, latent, held = spanned(everyone)
+        badly = everyone[(held < HELD) & (np.bincount(rows[told], minlength=n) > 0)]
+        well = np.setdiff1d(everyone, badly)
+        made = [(well, useful, basis, latent[well])]
+        for lo in range(0, len(badly), RANK):
+            members = badly[lo : lo + RANK]
+            made.append((members, *spanned(members)[:3]))
+        ids = table.column("id")
+        answers = [answer_hashes[answer_at[i] : answer_at[i + 1]].view(np.int64) for i in range(n)]
+        lists = pa.list_(pa.list_(pa.int64()))
         return pa.table(
             {
-                "block": [table.column("block")[0].as_py()],
-                "cap": [cap],
-                "ids": pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)),
-                "useful": pa.array([useful], pa.list_(pa.int64())),
-                "vectors": [(weight[useful][:, None] * basis[: len(useful)]).astype(np.float32).tobytes()],
-                "latent": [latent.astype(np.float32).tobytes()],
-                "words": pa.array([[hashes[at[i] : at[i + 1]].view(np.int64) for i in range(n)]], pa.list_(pa.list_(pa.int64()))),
-                "answers": pa.array(
-                    [[answer_hashes[answer_at[i] : answer_at[i + 1]].view(np.int64) for i in range(n)]], pa.list_(pa.list_(pa.int64()))
-                ),
+                "block": [table.column("block")[0].as_py()] * len(made),
+                "cap": [cap] * len(made),
+                "ids": pa.array([ids.take(pa.array(m)).to_pylist() for m, *_ in made], pa.list_(table.schema.field("id").type)),
+                "useful": pa.array([u for _, u, *_ in made], pa.list_(pa.int64())),
+                "vectors": [(weight[u][:, None] * b[: len(u)]).astype(np.float32).tobytes() for _, u, b, _ in made],
+                "latent": [x.astype(np.float32).tobytes() for *_, x in made],
+                "words": pa.array([[hashes[at[i] : at[i + 1]].view(np.int64) for i in m] for m, *_ in made], lists),
+                "answers": pa.array([[answers[i] for i in m] for m, *_ in made], lists),
             }
         )
 
@@ -274,7 +296,7 @@ def _unspoiled(rows: list, idf: np.ndarray):
 
 def _passes(made: DataFrame) -> Iterator[list]:
     """The spaces in lots of TOGETHER, each at most some MB."""
-    numbers = sorted(r["block"] for r in made.select("block").collect())
+    numbers = sorted({r["block"] for r in made.select("block").collect()})
     for i in range(0, len(numbers), TOGETHER):
         yield [r.asDict() for r in made.filter(F.col("block").isin(numbers[i : i + TOGETHER])).collect()]
 
@@ -283,7 +305,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(id, item, `similarity`, `subsequence`, `answer`) for each document and passage found in it.
 
     TF-IDF weights count all documents. The passages of a block span a latent space by randomised
-    SVD; all overlapping windows of all documents, as long as the passage or somewhat longer, are
+    SVD, and those it holds badly further ones (see `_space`); all overlapping windows of all documents, as long as the passage or somewhat longer, are
     compared in it by cosine. A near window is confirmed if the longest common subsequence of
     words with the passage covers MOST of it, or MUCH of it while that with its answer covers
     ANSWER of the answer (the answer column, or the last quarter of the passage, three words at least).

@@ -91,6 +91,21 @@ def test_leaks_are_found_and_others_left_alone(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in leaks}
 
 
+def test_single_passages_beside_groups_of_variants_are_found(spark):
+    chance = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40_000)]
+    draw = lambda n: chance.choices(vocabulary, k=n)
+    groups = [draw(30) for _ in range(70)]
+    items = [[w if chance.random() < 0.95 else chance.choice(vocabulary) for w in group] for group in groups for _ in range(3)]
+    items += [draw(30) for _ in range(46)]
+    docs = [" ".join(draw(60) + words + draw(60)) for words in items] + [" ".join(draw(150)) for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()}
+    assert {(i, i) for i in range(len(items))} <= got
+    assert all(doc < 210 and item // 3 == doc // 3 or doc == item for doc, item in got)
+
+
 def test_given_passages_are_found(spark):
     docs, bench = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
