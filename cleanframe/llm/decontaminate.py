@@ -27,8 +27,8 @@ HELD = 0.2
 COMMON = 0.1
 #: No word weighs more than so many times the mean of the passages' words, lest a few replaced words hide a passage.
 HEAVIEST = 1.5
-#: Words in a step; windows are 2, 4 and 8 steps long and overlap by half.
-STEP, LENGTHS = 8, (2, 4, 8)
+#: Words in a step; windows are 2, 4, 8 and so on steps long, up to the longest passage, and overlap by half.
+STEP, SHORTEST = 8, 2
 #: Cosine from which a window and a passage are compared word by word.
 NEAR = 0.4
 #: A passage is found if so much of it is a common subsequence, or less with so much of its answer.
@@ -162,6 +162,14 @@ def spaces(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", ite
     return idf, stored(drawn.groupBy("block").applyInArrow(_space(idf, common), schema))
 
 
+def window_of(length: int) -> int:
+    """Steps of the windows that a passage of so many words is compared with."""
+    k = SHORTEST
+    while length > k * STEP * 1.4:
+        k *= 2
+    return k
+
+
 def _opened(row) -> Space:
     useful = np.array(row["useful"], np.int64)
     place = np.full(BUCKETS, -1, np.int64)
@@ -171,7 +179,7 @@ def _opened(row) -> Space:
     latent = np.frombuffer(row["latent"], np.float32).reshape(n, -1)
     given = [np.array(w, np.int64) for w in row["answers"]]
     answers = [a if len(a) else w[-max(3, len(w) // 4) :] for a, w in zip(given, known)]
-    steps = np.array([next((k for k in LENGTHS if len(w) <= k * STEP * 1.4), LENGTHS[-1]) for w in known])
+    steps = np.array([window_of(len(w)) for w in known])
     vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, latent.shape[1])
     return Space(list(row["ids"]), row["cap"], place, vectors, latent, steps, known, answers)
 
@@ -202,9 +210,8 @@ def candidates(space: Space, idf: np.ndarray, buckets: np.ndarray, at: np.ndarra
     """
     n = len(at) - 1
     lengths = np.diff(at)
-    pad = max(LENGTHS)
     steps = -(-lengths // STEP)
-    base = np.concatenate([[0], np.cumsum(steps + pad)])  # zero steps part the rows
+    base = np.concatenate([[0], np.cumsum(steps)])
     row_of = np.repeat(np.arange(n), lengths)
     step_of = base[row_of] + (np.arange(len(buckets)) - at[row_of]) // STEP
     norm = np.bincount(step_of, np.minimum(idf, space.cap)[buckets] ** 2, minlength=base[-1])
@@ -214,28 +221,32 @@ def candidates(space: Space, idf: np.ndarray, buckets: np.ndarray, at: np.ndarra
         owner = step_of[told]
         heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         sums[owner[heads]] = np.add.reduceat(space.vectors[space.place[buckets[told]]], heads, axis=0)
-    rows_of_steps = np.repeat(np.arange(n), steps)
-    place = np.arange(len(rows_of_steps)) - np.repeat(np.cumsum(steps) - steps, steps)
-    for k in LENGTHS:
-        items = np.flatnonzero(space.steps == k)
-        if not len(items):
-            continue
-        some = place % (k // 2) == 0
-        rows, first = rows_of_steps[some], place[some]
-        start = base[rows] + first
-        window = sums[start].copy()
-        size = norm[start].copy()
-        for i in range(1, k):
-            window += sums[start + i]
-            size += norm[start + i]
-        size = np.sqrt(size) + 1e-12
-        reach = np.linalg.norm(space.latent[items], axis=1).max(initial=0.0)
-        hot = np.flatnonzero(np.linalg.norm(window, axis=1) * reach >= NEAR * size)  # others can't be near
-        cosine = (window[hot] / size[hot, None]) @ space.latent[items].T
-        for i, j in zip(*np.nonzero(cosine >= NEAR)):
-            row = int(rows[hot[i]])
-            begin = int(first[hot[i]]) * STEP
-            yield row, int(items[j]), begin, min(begin + k * STEP, int(lengths[row])), float(cosine[i, j])
+    rows = np.repeat(np.arange(n), steps)
+    first = np.arange(len(rows)) - np.repeat(np.cumsum(steps) - steps, steps)
+    k = SHORTEST
+    while len(rows) and k <= space.steps.max(initial=0):
+        # sums and norm hold half windows; a window is one and the next of its row
+        more = np.append(rows[1:] == rows[:-1], False)
+        window, size = sums.copy(), norm.copy()
+        window[:-1] += sums[1:] * more[:-1, None]
+        size[:-1] += norm[1:] * more[:-1]
+        yield from _near(space, k, rows, first, window, np.sqrt(size) + 1e-12, lengths)
+        whole = first % k == 0
+        rows, first, sums, norm, k = rows[whole], first[whole], window[whole], size[whole], 2 * k
+
+
+def _near(space: Space, k: int, rows: np.ndarray, first: np.ndarray, window: np.ndarray, size: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    """What `candidates` gives for the windows of k steps."""
+    items = np.flatnonzero(space.steps == k)
+    if not len(items):
+        return
+    reach = np.linalg.norm(space.latent[items], axis=1).max(initial=0.0)
+    hot = np.flatnonzero(np.linalg.norm(window, axis=1) * reach >= NEAR * size)  # others can't be near
+    cosine = (window[hot] / size[hot, None]) @ space.latent[items].T
+    for i, j in zip(*np.nonzero(cosine >= NEAR)):
+        row = int(rows[hot[i]])
+        begin = int(first[hot[i]]) * STEP
+        yield row, int(items[j]), begin, min(begin + k * STEP, int(lengths[row])), float(cosine[i, j])
 
 
 def found_in(spaces: list[Space], idf: np.ndarray, texts: pa.Array) -> dict:

@@ -106,6 +106,24 @@ def test_single_passages_beside_groups_of_variants_are_found(spark):
     assert all(doc < 210 and item // 3 == doc // 3 or doc == item for doc, item in got)
 
 
+def test_long_passages_are_found(spark):
+    chance = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    draw = lambda n: chance.choices(vocabulary, k=n)
+    items = [draw(n) for n in (40, 90, 150, 400, 700, 1000, 3000)]
+    docs = []
+    for words in items:
+        for at in (0, 37, 900):
+            docs.append(draw(at) + words + draw(300))
+        docs.append(draw(211) + [x for w in words for x in ([w, "inserted"] if chance.random() < 0.1 else [w])] + draw(50))
+        docs.append(draw(500) + ["other" if chance.random() < 0.1 else w for w in words] + draw(500))
+    want = {(i, i // 5) for i in range(len(docs))}
+    docs += [draw(100) + words[: len(words) // 3] + draw(400) for words in items] + [draw(chance.randint(1, 2000)) for _ in range(100)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()} == want
+
+
 def test_given_passages_are_found(spark):
     docs, bench = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
