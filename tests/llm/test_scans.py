@@ -121,6 +121,81 @@ def test_licence_rules_take_sequences_in_order(spark):
     assert got[None]["licenses"] == ["MIT"]
 
 
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL_3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+GPL_2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+
+
+def test_licences_in_wrapped_and_commented_text(spark):
+    genuine = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD_3, "GPL-3.0-or-later": GPL_3, "GPL-2.0-or-later": GPL_2}
+    headed = lambda text, mark: "\n".join(f"{mark}{line}".rstrip() for line in text.split("\n"))
+    rows = []
+    for name, text in genuine.items():
+        paragraphs = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        forms = [text, text.replace("\n", "\r\n"), paragraphs, f"/*\n{headed(text, ' * ')}\n */\nint x;"]
+        rows += [(name, form) for form in [*forms, *(headed(text, mark) + "\ncode" for mark in ("# ", "// ", "-- ", ";; ", "dnl ", "REM "))]]
+    rows += [("MIT", "This project is licensed\nunder the MIT License."), ("MIT", "a line\nLicensed under the MIT License\nanother")]
+    rows += [("", "Not licensed\n\nunder the MIT License"), ("", "as if licensed under the MIT License"), ("", "licensed under. the mit license")]
+    rows += [("", "licensed under the MIT licenses"), ("", "x\x01licensed under the mit license")]
+    docs = spark.createDataFrame(rows, "name string, text string")
+    for row in licenses.find_licenses(docs).collect():
+        assert ",".join(row["licenses"]) == row["name"], row
+        assert row["unmatched"] == [], row
+
+
 def test_scans_keep_other_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([("a token=0123456789", 1, "x")], "text string, base int, other string")
     out = secret_scan.find_secrets(docs).first()
