@@ -17,8 +17,11 @@ BUCKETS = 1 << 13
 #: Centroids of a language, and documents that they are clustered from, about; the pick is by hash.
 CENTROIDS, SAMPLE = 3, 1500
 ROUNDS = 8
-#: A document is rejected below this part of the least similarity of a sampled one of the language to a centroid.
-REJECT = 0.5
+#: A document is rejected below REJECT of the similarity to a centroid that all but LOWEST of the sampled pieces
+#: of its length in the language reach; a length counts from PIECES of them.
+REJECT, LOWEST, PIECES = 0.5, 0.01, 20
+#: Lengths count by doublings of the number of different trigrams.
+LENGTHS = BUCKETS.bit_length()
 #: Bytes counted at a time.
 PIECE = 1 << 22
 
@@ -30,7 +33,7 @@ LETTERS = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, np.where(_SMALL
 
 @dataclass
 class Model:
-    """What predictions need: BUCKETS numbers per centroid, whatever the corpus."""
+    """What predictions need: BUCKETS numbers per centroid, whatever the corpus. `floors` has a number per length."""
 
     idf: np.ndarray
     langs: list[str]
@@ -72,6 +75,35 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(found)], ["bucket", "n"])
 
 
+def length_of(seen: np.ndarray) -> int:
+    return len(seen).bit_length() - 1
+
+
+def _floors(texts: list[np.ndarray], centers: np.ndarray, idf: np.ndarray) -> list[float]:
+    """The least similarity to a centroid that counts as usual, for each length.
+
+    Besides the texts, pieces of them of 8, 16, 32 and so on bytes count, so that short lengths are
+    known as well; a length that too few pieces have takes the level of the next shorter one.
+    """
+    by_bucket = np.ascontiguousarray(centers.T)
+    known: list[list[float]] = [[] for _ in range(LENGTHS)]
+    for number, text in enumerate(texts):
+        size = 8
+        while True:
+            lo = number * 7919 % (len(text) - size + 1) if size < len(text) else 0
+            seen, weights = vector(text[lo : lo + size], idf)
+            if len(seen):
+                known[length_of(seen)].append(float((weights @ by_bucket[seen]).max()))
+            if size >= len(text):
+                break
+            size *= 2
+    floors, last = [], 0.0
+    for values in known:
+        last = float(np.quantile(values, LOWEST)) if len(values) >= PIECES else last
+        floors.append(last)
+    return floors
+
+
 def _clustered(idf: np.ndarray):
     """Spherical k-means over one language's sample; its rows in hash order, so reruns agree."""
 
@@ -89,13 +121,13 @@ def _clustered(idf: np.ndarray):
                 if (near == k).any():
                     centers[k] = rows[near == k].sum(axis=0)
                     centers[k] /= max(float(np.linalg.norm(centers[k])), 1e-30)
-        floor = float((rows @ centers.T).max(axis=1).min())
+        floor = _floors([data[offsets[i] : offsets[i + 1]] for i in range(table.num_rows)], centers, idf)
         return pa.table(
             {
                 "lang": pa.array([table.column("lang")[0].as_py()] * len(centers)),
                 "k": pa.array(range(len(centers)), pa.int32()),
                 "weights": pa.array(list(centers), pa.list_(pa.float32())),
-                "floor": pa.array([floor] * len(centers)),
+                "floor": pa.array([floor] * len(centers), pa.list_(pa.float64())),
             }
         )
 
@@ -127,7 +159,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     draw = F.pmod(F.xxhash64("text", F.lit("centroid")), F.lit(1 << 53)) / float(1 << 53)
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, sample / n)])
     picked = known.withColumn("draw", draw).filter(F.col("draw") < F.element_at(rate, F.col("lang")))
-    rows = picked.groupBy("lang").applyInArrow(_clustered(idf), "lang string, k int, weights array<float>, floor double").collect()
+    rows = picked.groupBy("lang").applyInArrow(_clustered(idf), "lang string, k int, weights array<float>, floor array<double>").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["k"]))
     if not rows:
         return None
@@ -152,7 +184,7 @@ def _identified(model: Model | None):
                 best = int(near.argmax())
                 langs.append(model.langs[best])
                 scores.append(min(1.0, max(0.0, float(near[best]))))
-                rejected.append(bool(near[best] < REJECT * model.floors[best]))
+                rejected.append(bool(near[best] < REJECT * model.floors[best][length_of(seen)]) if len(seen) else True)
             kept = [i for i, f in enumerate(batch.schema) if f.name not in ("__text", "__letter")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
@@ -167,7 +199,7 @@ def identify(docs: DataFrame, model: Model | None, columns: list[str], text_col:
 
     A text without any letter (also null or empty) is `und`, score 0 and rejected; so is every
     text without a model. Others get the language of the nearest centroid, the first by name of
-    equals, and are rejected if they are farther from it than REJECT allows. Texts are read whole.
+    equals, and are rejected if they are farther from it than REJECT allows for their length. Texts are read whole.
     Repeated rows and null ids are rows like others; an empty table gives an empty result.
     """
     letter = F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")

@@ -46,6 +46,23 @@ def test_awkward_texts(spark):
     assert langid.identify(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_other_languages_and_random_strings_are_rejected_for_their_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    chance = random.Random(2)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. "
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler. "
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    foreign = [finnish, finnish * 8, turkish, turkish * 8, *("".join(chance.choices(letters, k=n)) for n in (300, 2000))]
+    long = [r for r in docs.filter("length(text) > 400 and doc_id % 3 = 1").collect() if r["lang"]]
+    short = [" ".join(r["text"].split()[5 : 5 + n]) for r in long[:40] for n in (3, 8, 20)]
+    junk = [(-100 - i, chance.choice("xyz"), lang) for i, lang in enumerate(["en", "fr", "de", "es"])]
+    model = langid.train(docs.unionByName(spark.createDataFrame(junk, docs.schema)))
+    texts = spark.createDataFrame(list(enumerate(foreign + short)), "doc_id long, text string")
+    rejected = {r["doc_id"] for r in langid.identify(texts, model, ["doc_id"]).collect() if r["rejected"]}
+    assert set(range(len(foreign))) <= rejected
+    assert len(rejected) <= len(foreign) + 0.05 * len(short)
+
+
 def contaminated():
     """Documents with passages whole, changed and in part, and the ids with a leak."""
     chance = random.Random(9)
