@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cleanframe.sources import read_table
+from cleanframe.sources.tables import shared_folder
 
-from . import decontaminate, langid, licenses, minhash, mixing, pii, secret_scan, sharding, tokens, vectors
+from . import decontaminate, langid, licenses, minhash, mixing, packing, pii, secret_scan, sharding, tokens, vectors
 from .spans import written
 
 QUERIES: dict = {}
@@ -161,3 +164,10 @@ def op9(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def op10(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     told = docs.withColumn("held_out", langid.held_out("doc_id"))
     return langid.identify(told, langid.train(docs), ["doc_id", "held_out"])
+
+
+@query("op11_bit_packing")
+def op11(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    packing.write_packed(docs.select("doc_id", "text"), path)
+    return packing.read_packed(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
