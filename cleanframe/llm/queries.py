@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cleanframe.sources import read_table
 from cleanframe.sources.tables import shared_folder
 
-from . import decontaminate, langid, licenses, minhash, mixing, packing, pii, secret_scan, sharding, tokens, vectors
+from . import decontaminate, langid, licenses, merkle, minhash, mixing, packing, pii, secret_scan, sharding, tokens, vectors
 from .spans import written
 
 QUERIES: dict = {}
@@ -171,3 +171,58 @@ def op11(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
     packing.write_packed(docs.select("doc_id", "text"), path)
     return packing.read_packed(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS crc
+  FROM documents),
+f AS (
+  SELECT *, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head
+  FROM d),
+t AS MATERIALIZED (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS told,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s
+  FROM f),
+r(s, l, i, h, n) AS (
+  SELECT s, 0, i, leaf, n FROM t UNION ALL
+  SELECT s, l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM r WHERE n > 1 GROUP BY s, l, i // 16),
+b AS MATERIALIZED (SELECT * FROM r),
+u(l, i, h, n) AS (
+  SELECT 0, s, h, count(*) OVER () FROM b WHERE n = 1 UNION ALL
+  SELECT l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM u WHERE n > 1 GROUP BY l, i // 16),
+a AS MATERIALIZED (
+  SELECT s, l, i, h, n FROM b WHERE n > 1 UNION ALL SELECT NULL, l, i, h, n FROM u WHERE n > 1),
+p(doc_id, s, part, l, i, n) AS (
+  SELECT doc_id, s, 0, 0, i, n FROM t UNION ALL
+  SELECT doc_id, s, CASE WHEN n = 1 THEN 1 ELSE part END, CASE WHEN n = 1 THEN 0 ELSE l + 1 END, CASE WHEN n = 1 THEN s ELSE i // 16 END,
+    CASE WHEN n = 1 THEN (SELECT max(s) + 1 FROM t) ELSE (n + 15) // 16 END
+  FROM p WHERE n > 1 OR part = 0),
+w AS (
+  SELECT p.doc_id, sha256(coalesce(string_agg(a.h, '' ORDER BY p.part, p.l, a.i), '')) AS proof_sha256
+  FROM p LEFT JOIN a ON a.s IS NOT DISTINCT FROM CASE WHEN p.part = 0 THEN p.s END AND a.l = p.l AND a.i // 16 = p.i // 16 AND a.i <> p.i AND p.n > 1
+  GROUP BY p.doc_id),
+g(doc_id, s, l, i, h, n) AS (
+  SELECT doc_id, s, 0, i, told, n FROM t UNION ALL
+  SELECT g.doc_id, g.s, g.l + 1, g.i // 16, sha256(string_agg(CASE WHEN a.i = g.i THEN g.h ELSE a.h END, '' ORDER BY a.i)), (any_value(g.n) + 15) // 16
+  FROM g JOIN a ON a.s = g.s AND a.l = g.l AND a.i // 16 = g.i // 16 WHERE g.n > 1 GROUP BY g.doc_id, g.s, g.l, g.i),
+k(doc_id, l, i, h, n) AS (
+  SELECT doc_id, 0, s, h, (SELECT max(s) + 1 FROM t) FROM g WHERE n = 1 UNION ALL
+  SELECT k.doc_id, k.l + 1, k.i // 16, sha256(string_agg(CASE WHEN a.i = k.i THEN k.h ELSE a.h END, '' ORDER BY a.i)), (any_value(k.n) + 15) // 16
+  FROM k JOIN a ON a.s IS NULL AND a.l = k.l AND a.i // 16 = k.i // 16 WHERE k.n > 1 GROUP BY k.doc_id, k.l, k.i)
+SELECT t.doc_id, t.leaf, b.h AS subroot, u.h AS root, w.proof_sha256, k.h AS folded_root, k.h = u.h AS verified
+FROM t JOIN b ON b.s = t.s AND b.n = 1 JOIN u ON u.n = 1 JOIN w USING (doc_id) JOIN k ON k.doc_id = t.doc_id AND k.n = 1
+"""
+
+
+@query("op12_postorder_log", sql=OP12_SQL)
+def op12(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest(*head, lowered))
+    manifest = merkle.build(docs, merkle.leaf_digest(*head, F.col("text")), shown=tampered)
+    return merkle.prove(manifest).withColumnRenamed("id", "doc_id")
