@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cleanframe.sources import read_table
 from cleanframe.sources.tables import shared_folder
 
-from . import decontaminate, langid, licenses, merkle, minhash, mixing, packing, pii, secret_scan, sharding, tokens, vectors
+from . import decontaminate, langid, lexical, licenses, merkle, minhash, mixing, packing, pii, secret_scan, sharding, tokens, vectors
 from .spans import written
 
 QUERIES: dict = {}
@@ -226,3 +226,28 @@ def op12(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest(*head, lowered))
     manifest = merkle.build(docs, merkle.leaf_digest(*head, F.col("text")), shown=tampered)
     return merkle.prove(manifest).withColumnRenamed("id", "doc_id")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM d WHERE len(terms) > 0),
+t AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d) AS x GROUP BY doc_id, n, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, n_docs),
+i AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) AS x),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // length)))) AS BIGINT) AS score
+  FROM i JOIN t USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op13_automaton_scan", sql=OP13_SQL)
+def op13(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return lexical.rank(docs, read_table(spark, f"{folder}/benchmark.parquet"))
