@@ -17,7 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 from types import ModuleType
 
 import numpy as np
@@ -144,12 +144,21 @@ class FilePart(InputPartition):
 
 
 class PackedWriter(DataSourceArrowWriter):
-    """Every task writes one file of its rows in their order; they count once the manifest names them."""
+    """Every task writes one file of its rows in their order; they count once the manifest names them.
+
+    Rows are (id, text), to be encoded by the `vocabulary` with the `end` id after each, or without a
+    vocabulary (id, binary) of ids.
+    """
 
     def __init__(self, options: dict, schema: T.StructType):
         self.path, self.width, self.block = options["path"], int(options["width"]), int(options.get("block", BLOCK))
         self.id_type = schema.fields[0].dataType.simpleString()
         self.id_name, self.run = schema.fields[0].name, uuid.uuid4().hex
+        end = options.get("end")
+        self.vocabulary, self.end = options.get("vocabulary"), None if end is None else int(end)
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        return encoded(batches, self.vocabulary, self.end) if self.vocabulary else _given(batches)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         task = TaskContext.get()
@@ -166,13 +175,11 @@ class PackedWriter(DataSourceArrowWriter):
                 offsets.append(offsets[-1] + len(data))
                 checks.append(zlib.crc32(data))
 
-            for batch in iterator:
-                sizes = pc.binary_length(batch.column(1)).to_numpy() // 4
+            for names, ids, sizes in self.rows(iterator):
                 ends = n_ids + len(rest) + np.cumsum(sizes, dtype=np.int64)
-                docs.append(batch.column(0))
+                docs.append(names)
                 starts.append(ends - sizes)
-                data, _ = _binary(batch.column(1))
-                ids = np.concatenate([rest, np.frombuffer(data, "<u4")])
+                ids = np.concatenate([rest, ids])
                 whole = len(ids) // self.block * self.block
                 for lo in range(0, whole, self.block):
                     put(ids[lo : lo + self.block])
@@ -287,59 +294,70 @@ class SegmentIds:
 
     A vocabulary that drops white space (word_bpe_49k) merges nothing across it: no special string holds
     any, no letter composes with it, and words are cut there. So a text's ids are those of its
-    segments. Up to about `most` segments of up to `longest` characters are remembered.
+    segments. Up to about `most` segments of up to `longest` characters are remembered, as Arrow text.
     """
 
-    def __init__(self, made, most: int = 400_000, longest: int = 64):
-        self.made, self.most, self.longest = made, most, longest
-        self.known: dict[str, int] = {}
-        self.pool, self.lengths, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, made, most: int = 1_000_000, longest: int = 64, at_once: int = 20_000):
+        self.made, self.most, self.longest, self.at_once = made, most, longest, at_once
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _encoded(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.made.encode_batch_fast(names, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+    def _encoded(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(segments), self.at_once):
+            made = self.made.encode_batch_fast(segments.slice(lo, self.at_once).to_pylist(), add_special_tokens=False)
+            found = [e.ids for e in made]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has; null is empty."""
         data, offsets = bytes_of(texts)
         plain = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(BLANK[data]))
         cut = pc.split_pattern(plain, " ")
-        coded = cut.flatten().dictionary_encode()
-        names, places = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        found = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(found < 0)
-        ids, lengths = self._encoded([names[i] for i in new])
-        pool = np.concatenate([self.pool, ids])
-        all_lengths = np.concatenate([self.lengths, lengths])
-        all_starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        found[new] = len(self.lengths) + np.arange(len(new))
+        segments = cut.flatten()
+        places = pc.index_in(segments, value_set=self.known)
+        new = segments.filter(places.is_null()).dictionary_encode()
+        places = places.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[places < 0] = len(self.known) + new.indices.to_numpy()
+        ids, sizes = self._encoded(new.dictionary)
+        all_ids, all_sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        out, per_segment = _taken(all_ids, all_sizes, places)
         if len(self.known) < self.most:
-            self.pool, self.lengths, self.starts = pool, all_lengths, all_starts
-            self.known.update((names[i], int(found[i])) for i in new if len(names[i]) <= self.longest)
-        each = found[places]
-        sizes = all_lengths[each]
-        ends = np.cumsum(sizes)
-        out = pool[np.repeat(all_starts[each] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        before = np.append(0, ends)[np.asarray(cut.offsets)]
-        return out, np.diff(before)
-
-
-def encode_batches(name: str, end: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what a worker has learned outlives the task; Spark keeps workers for later tasks
-        kept = vars(sys.modules.setdefault("cleanframe_worker", ModuleType("cleanframe_worker")))
-        if ("ids", name) not in kept:
-            kept["ids", name] = SegmentIds(tokenizer(name))
-        for batch in small_batches(batches, "__text", 1 << 22):
-            ids, sizes = kept["ids", name].encode(batch.column(1))
+            short = pc.less_equal(pc.utf8_length(new.dictionary), self.longest)
+            self.known = pa.concat_arrays([self.known, new.dictionary.filter(short)])
+            kept = np.append(np.arange(len(self.sizes)), len(self.sizes) + np.flatnonzero(short.to_numpy(zero_copy_only=False)))
+            self.ids, self.sizes = _taken(all_ids, all_sizes, kept)
+        return out, np.diff(np.append(0, np.cumsum(per_segment))[np.asarray(cut.offsets)])
+
+
+def _taken(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the runs at `places`, of runs that lie side by side with the given sizes; and their sizes."""
+    starts, each = np.cumsum(sizes) - sizes, sizes[places]
+    ends = np.cumsum(each)
+    return ids[np.repeat(starts[places] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)], each
+
+
+def encoded(batches: Iterator[pa.RecordBatch], name: str, end: int | None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(documents, ids, how many of each document) of (id, text) batches."""
+    # what a worker has learned outlives the task; Spark keeps workers for later tasks
+    kept = vars(sys.modules.setdefault("cleanframe_worker", ModuleType("cleanframe_worker")))
+    if ("ids", name) not in kept:
+        kept["ids", name] = SegmentIds(tokenizer(name))
+    for batch in batches:
+        for part in small_batches(iter([batch]), batch.schema.field(1).name, 1 << 23):
+            ids, sizes = kept["ids", name].encode(part.column(1))
             if end is not None:
-                ids = np.insert(ids, np.cumsum(sizes), end)
-                sizes = sizes + 1
-            packed = _binaries(ids.astype("<u4").tobytes(), 4 * np.append(0, np.cumsum(sizes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["__id", "__ids"])
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end), sizes + 1
+            yield part.column(0), ids, sizes
+
 
-    return run
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The same of (id, binary ids) batches."""
+    for batch in batches:
+        data, offsets = _binary(batch.column(1))
+        yield batch.column(0), np.frombuffer(data, "<u4"), np.diff(offsets) // 4
 
 
 def write_packed(
@@ -372,10 +390,10 @@ def write_packed(
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__place"))
     order = [F.col("__id").asc_nulls_first(), F.col("__place").asc()]
     dealt = slim.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
-    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__ids", T.BinaryType())])
-    rows = dealt.drop("__place").mapInArrow(encode_batches(vocabulary, end), schema).toDF(id_col, "ids")
     spark.dataSource.register(PackedIds)
-    rows.write.format("packed_ids").mode("overwrite").option("width", bits_for(size)).option("block", block).save(path)
+    out = dealt.select(F.col("__id").alias(id_col), F.col("__text").alias("text")).write.format("packed_ids").mode("overwrite")
+    options = {"vocabulary": vocabulary, "width": bits_for(size), "block": block} | ({} if end is None else {"end": end})
+    out.options(**options).save(path)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
