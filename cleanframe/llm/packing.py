@@ -297,7 +297,7 @@ class SegmentIds:
     segments. Up to about `most` segments of up to `longest` characters are remembered, as Arrow text.
     """
 
-    def __init__(self, made, most: int = 1_000_000, longest: int = 64, at_once: int = 20_000):
+    def __init__(self, made, most: int = 500_000, longest: int = 64, at_once: int = 5_000):
         self.made, self.most, self.longest, self.at_once = made, most, longest, at_once
         self.known = pa.array([], pa.large_string())
         self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -346,7 +346,7 @@ def encoded(batches: Iterator[pa.RecordBatch], name: str, end: int | None) -> It
     if ("ids", name) not in kept:
         kept["ids", name] = SegmentIds(tokenizer(name))
     for batch in batches:
-        for part in small_batches(iter([batch]), batch.schema.field(1).name, 1 << 23):
+        for part in small_batches(iter([batch]), batch.schema.field(1).name, 1 << 22):
             ids, sizes = kept["ids", name].encode(part.column(1))
             if end is not None:
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end), sizes + 1
