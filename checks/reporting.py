@@ -495,6 +495,36 @@ def _(t):
     return scores.select("equal_rows", *[F.round(c, 6).alias(c) for c in ("exact_ratio", "partial_ratio", "score")])
 
 
+# thirty columns, most of few values, one value in half of the rows
+_WIDE = {
+    "id": "c_custkey",
+    "name": "c_name",
+    "nation": "c_nationkey",
+    "segment": "c_mktsegment",
+    "half": "CASE WHEN c_custkey % 2 = 0 THEN 'same' ELSE c_name END",
+    **{f"d{m:02}": f"(c_custkey * {2 * m + 1} + c_nationkey) % {m}" for m in range(2, 27)},
+}
+_WIDE_WORSE = {
+    c: "c_custkey + 1000000" if c == "id" else f"CASE WHEN (c_custkey * 13 + {i}) % 7 = 0 THEN NULL ELSE {e} END" for i, (c, e) in enumerate(_WIDE.items())
+}
+
+
+def _columns(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {c}" for c, e in columns.items())
+
+
+@query(
+    "cmp_best_match_wide",
+    f"WITH c AS (SELECT {_columns(_WIDE_WORSE)} FROM customer WHERE c_acctbal > -500), e AS (SELECT {_columns(_WIDE)} FROM customer), "
+    f"b AS (SELECT e.id, max({' + '.join(f'CAST(c.{c} IS NOT DISTINCT FROM e.{c} AS INT)' for c in _WIDE)}) AS m FROM e, c GROUP BY 1) "
+    "SELECT CAST(0 AS BIGINT) AS equal_rows, round(sum(m) / 30 / count(*), 6) AS partial_ratio, round(0.3 * (sum(m) / 30 / count(*)), 6) AS score FROM b",
+)
+def _(t):
+    worse = t.customer.filter("c_acctbal > -500").selectExpr(*[f"{e} AS {c}" for c, e in _WIDE_WORSE.items()])
+    scores = C.row_similarity(worse, t.customer.selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()]))
+    return scores.select("equal_rows", *[F.round(c, 6).alias(c) for c in ("partial_ratio", "score")])
+
+
 _PAIRS = (
     "x AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY status) AS place FROM c), "
     "y AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY status) AS place FROM e)"

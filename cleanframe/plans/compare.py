@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..errors import SpecError, require_columns
 from ..functions.values import as_text, canonical, sort_text, strip, to_whole
 from ..operators.dedupe import first_per_key
-from ..operators.joins import attach
 from ..operators.ordered import GROUP_ROWS, range_count, running_sum
+from ..sources import materialize
+from .nearest import LIGHT, nearest
 from .quality import clamp, closeness
 
 
@@ -186,28 +187,28 @@ def cell_accuracy_by_key(candidate: DataFrame, expected: DataFrame, key: str, co
 
 # -- rows by best match -----------------------------------------------------
 
-def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=(), group_rows: int = GROUP_ROWS) -> DataFrame:
+def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=(), group_rows: int = GROUP_ROWS, light: int = LIGHT) -> DataFrame:
     """0.7 x share of equal rows + 0.3 x mean best similarity of an expected row.
 
     The best similarity of a row is the largest share of columns in which some
-    candidate row agrees with it. It is found without comparing rows in pairs:
-    each distinct row lists its values under every subset of columns, and an
-    expected row looks for its largest subset that a candidate lists as well.
+    candidate row agrees with it. It is found without comparing rows in pairs,
+    through an index of cells (see plans.nearest), at any number of columns.
     Rows found exactly need no search. With `block_by` only candidates agreeing
-    in those columns count, which leaves fewer subsets: their number doubles
-    with each free column.
+    in those columns count. The search runs jobs while this is built.
     """
     columns = sorted(set(candidate.columns) | set(expected.columns))
     width = len(columns)
-    fixed = {columns.index(b) for b in block_by if b in columns}
+    fixed = [columns.index(b) for b in dict.fromkeys(block_by) if b in columns]
     if len(fixed) != len(set(block_by)):
         raise SpecError("block_by columns must occur in the tables")
     free = [i for i in range(width) if i not in fixed]
-    base = sum(1 << i for i in fixed)
 
-    counts = _row_counts(candidate, expected, columns)
-    cells = F.array(*[F.coalesce(F.concat(F.lit("="), F.col(f"c{i}")), F.lit("")) for i in range(width)])
-    counts = counts.select(cells.alias("cells"), "c", "e")
+    texts = [F.coalesce(F.concat(F.lit("="), F.col(f"c{i}")), F.lit("")) for i in range(width)]
+    counts = materialize(
+        _row_counts(candidate, expected, columns).select(
+            *[F.array(*[texts[i] for i in some]).cast("array<string>").alias(n) for n, some in (("block", fixed), ("cells", free))], "c", "e"
+        )
+    )
     same_columns = set(candidate.columns) == set(expected.columns)
     totals = counts.agg(
         _total(F.least("c", "e") if same_columns else F.lit(0)).alias("equal_rows"),
@@ -215,31 +216,14 @@ def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=(), group
         _total(F.col("e")).alias("expected_rows"),
         _total(F.col("c")).alias("candidate_rows"),
     )
-
-    # every subset of the free columns but all of them, each with the fixed ones
-    subsets = F.sequence(F.lit(0 if base else 1).cast("bigint"), F.lit((1 << len(free)) - 2).cast("bigint"))
-
-    def placed(subset):
-        bits = [F.shiftleft(F.getbit(subset, F.lit(i)).cast("bigint"), column) for i, column in enumerate(free)]
-        return sum(bits, F.lit(base).cast("bigint"))
-
-    def listed(rows):
-        spread = rows.withColumn("subset", F.explode(subsets)).withColumn("mask", placed(F.col("subset"))).drop("subset")
-        values = F.transform("cells", lambda x, i: F.when(F.getbit(F.col("mask"), i) == 1, x))
-        return spread.withColumn("values", values)
-
-    if len(free) > (0 if base else 1):
-        missing = counts.filter((F.col("e") > 0) & (F.col("c") == 0))
-        wanted = listed(missing)
-        offered = listed(counts.filter(F.col("c") > 0)).select("mask", "values").distinct()
-        # a value many rows share, such as a ward, must not be one task's work
-        sizes = wanted.groupBy("mask", "values").agg(F.count(F.lit(1)).alias("rows"))
-        known = sizes.join(offered.withColumn("known", F.lit(True)), ["mask", "values"], "left")
-        found = attach(wanted, known, ["mask", "values"], "rows", group_rows).filter("known")
-        best = found.groupBy("cells").agg(F.max(F.bit_count("mask")).alias("agree"), F.first("e").alias("e"))
-        near = best.agg(_total(F.col("e") * F.col("agree")).alias("s")).scalar()
-    else:
-        near = F.lit(0)
+    missing, offered = counts.filter((F.col("e") > 0) & (F.col("c") == 0)), counts.filter(F.col("c") > 0)
+    near = F.lit(0)
+    if fixed:
+        blocks = offered.select("block").distinct()
+        near = near + missing.join(blocks, "block", "left_semi").agg(_total(F.col("e") * len(fixed)).alias("s")).scalar()
+    if free:
+        best = nearest(missing, offered, len(free), light, group_rows=group_rows)
+        near = near + best.join(missing, ["block", "cells"]).agg(_total(F.col("e") * F.col("agree")).alias("s")).scalar()
     rows = F.greatest(F.col("expected_rows"), F.lit(1))
     exact = F.col("equal_rows") / rows
     partial = (F.col("found_rows") + near / width) / rows

@@ -216,3 +216,31 @@ def test_a_shuffled_table_equals_itself(spark, seed):
     assert C.row_similarity(mixed, e).first().score == 1.0
     assert C.same_rows(mixed, e).first().same
     assert C.blended_match(mixed, e, ["k"], ["a", "n"]).first().score == 1.0
+
+
+def _best(made, wanted, fixed=()):
+    """Per wanted row the most equal cells of a made row that agrees in the fixed columns."""
+    score = lambda r, s: sum(a == b for a, b in zip(r, s))
+    return [max((score(r, s) for s in made if all(r[i] == s[i] for i in fixed)), default=0) for r in wanted]
+
+
+@pytest.mark.parametrize("seed,values,width,fixed,light", [(1, 2, 9, (), 1), (2, 3, 6, (0,), 2), (3, 2, 12, (), 3), (4, 40, 8, (), 2), (5, 2, 1, (), 1), (6, 4, 5, (1, 3), 1)])
+def test_nearest_rows_by_few_and_by_heavy_values(spark, seed, values, width, fixed, light):
+    chance = random.Random(seed)
+    row = lambda: tuple(str(min(chance.randrange(values), chance.randrange(values))) if i % 3 else chance.choice("xxxy") for i in range(width))
+    made, wanted = [row() for _ in range(60)], [row() for _ in range(50)]
+    schema = ", ".join(f"c{i:02} string" for i in range(width))
+    c, e = spark.createDataFrame(made, schema), spark.createDataFrame(wanted, schema)
+    for group_rows in (10**6, 3):
+        got = C.row_similarity(c, e, block_by=[f"c{i:02}" for i in fixed], light=light, group_rows=group_rows).first()
+        assert got.partial_ratio == pytest.approx(sum(_best(made, wanted, fixed)) / width / len(wanted))
+
+
+def test_nearest_rows_of_a_wide_table_with_a_value_in_half_the_rows(spark):
+    chance = random.Random(8)
+    base = [[str(i), *("same" if chance.random() < 0.5 else f"v{chance.randrange(30)}" for _ in range(34))] for i in range(120)]
+    made = [tuple(r) for r in base]
+    wanted = [tuple(f"new{k}" if i == 0 or chance.random() < 0.3 else v for i, v in enumerate(r)) for k, r in enumerate(base)]
+    schema = ", ".join(f"c{i:02} string" for i in range(35))
+    got = C.row_similarity(spark.createDataFrame(made, schema), spark.createDataFrame(wanted, schema), light=8).first()
+    assert got.partial_ratio == pytest.approx(sum(_best(made, wanted)) / 35 / len(wanted))
