@@ -560,6 +560,44 @@ def _(t):
     return shown.select(F.col("expected_index").cast("bigint").alias("expected_index"), "similarity")
 
 
+# customers in blocks of several rows, few values in each column, so that rows repeat
+_KIN = {"a": "c_custkey % 4", "b": "(c_custkey * 7) % 3", "d": "(c_custkey * 11) % 5", "half": "c_custkey % 2", "segment": "c_mktsegment"}
+_KIN_WORSE = {c: f"CASE WHEN (c_custkey * 13 + {i}) % 3 = 0 THEN NULL ELSE {e} END" for i, (c, e) in enumerate(_KIN.items())}
+_KIN_ROW = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _KIN)
+
+
+@query(
+    "cmp_blended_similarity",
+    f"WITH c0 AS (SELECT c_custkey AS k, c_nationkey * 9 + c_custkey % 9 AS block, {_columns(_KIN_WORSE)} FROM customer WHERE c_acctbal > -500), "
+    f"e0 AS (SELECT c_custkey AS k, c_nationkey * 9 + c_custkey % 9 AS block, {_columns(_KIN)} FROM customer), "
+    f"c AS (SELECT block, {_KIN_ROW} AS row, any_value(struct_pack({', '.join(f'{c} := {c}' for c in _KIN)})) AS v, count(*) AS n, min(k) AS k FROM c0 GROUP BY 1, 2), "
+    f"e AS (SELECT block, {_KIN_ROW} AS row, any_value(struct_pack({', '.join(f'{c} := {c}' for c in _KIN)})) AS v, count(*) AS n, min(k) AS k FROM e0 GROUP BY 1, 2), "
+    "x AS (SELECT e.block, e.row, least(e.n, c.n) AS n FROM e JOIN c ON e.block = c.block AND e.row = c.row), "
+    "p AS (SELECT e.block, e.row, e.v, e.k, e.n - coalesce(x.n, 0) AS n FROM e LEFT JOIN x ON x.block = e.block AND x.row = e.row), "
+    "q AS (SELECT c.block, c.row, c.v, c.k, c.n - coalesce(x.n, 0) AS n FROM c LEFT JOIN x ON x.block = c.block AND x.row = c.row), "
+    f"g AS (SELECT p.block, p.row AS p, q.row AS q, p.k AS pk, q.k AS qk, p.n AS le, q.n AS lc, {' + '.join(f'CAST(p.v.{c} IS NOT DISTINCT FROM q.v.{c} AS INT)' for c in _KIN)} AS same "
+    "FROM p JOIN q ON p.block = q.block WHERE p.n > 0 AND q.n > 0), "
+    "r AS (WITH RECURSIVE r(it, block, p, q, pk, qk, le, lc, same) AS (SELECT 0, block, p, q, pk, qk, le, lc, same FROM g WHERE same > 0 UNION ALL "
+    "SELECT it + 1, block, p, q, pk, qk, le2, lc2, same FROM (SELECT *, CASE WHEN p = fp THEN le - take ELSE le END AS le2, CASE WHEN q = fq THEN lc - take ELSE lc END AS lc2 FROM ("
+    "SELECT *, first_value(p) OVER w AS fp, first_value(q) OVER w AS fq, first_value(least(le, lc)) OVER w AS take FROM r WINDOW w AS (PARTITION BY block ORDER BY same DESC, pk, qk)) AS y) AS z "
+    "WHERE le2 > 0 AND lc2 > 0) SELECT * FROM r), "
+    "t AS (SELECT same * least(le, lc) AS cells, row_number() OVER (PARTITION BY it, block ORDER BY same DESC, pk, qk) AS place FROM r), "
+    "s AS (SELECT coalesce((SELECT sum(n) FROM x), 0) AS same, (SELECT sum(cells) FROM t WHERE place = 1) AS cells, (SELECT count(*) FROM e0) AS ne, (SELECT count(*) FROM c0) AS nc), "
+    f"u AS (SELECT count(*) AS n FROM (SELECT {', '.join(_KIN)} FROM c0 INTERSECT ALL SELECT {', '.join(_KIN)} FROM e0)) "
+    "SELECT round((same + cells / 5) / ne, 6) AS partial_match, round(u.n / ne, 6) AS exact_row_match_score, "
+    "round(0.55 * u.n / ne + 0.25 * (same + cells / 5) / ne + 0.1 + 0.1 * (1 - abs(nc - ne) / ne), 5) AS score FROM s, u",
+)
+def _(t):
+    def side(columns):
+        return [*[f"{e} AS {c}" for c, e in columns.items()], "c_custkey AS k{0}", "c_nationkey * 9 + c_custkey % 9 AS block{0}"]
+
+    # the block and the order are no cells to compare
+    made = t.customer.filter("c_acctbal > -500").selectExpr(*[c.format("") for c in side(_KIN_WORSE)])
+    wanted = t.customer.selectExpr(*[c.format("") for c in side(_KIN)])
+    scores = C.blended_match(made, wanted, ["block"], ["k"], pair_by="similarity", columns=list(_KIN))
+    return scores.select(F.round("partial_match", 6).alias("partial_match"), F.round("exact_row_match_score", 6).alias("exact_row_match_score"), F.round("score", 5).alias("score"))
+
+
 def _reports(t):
     """Counts per status and priority of both sides, with one group each missing."""
     keys = ["status", "priority"]

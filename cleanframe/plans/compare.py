@@ -15,6 +15,7 @@ from ..operators.dedupe import first_per_key
 from ..operators.ordered import GROUP_ROWS, range_count, running_sum
 from ..sources import materialize
 from .nearest import LIGHT, nearest
+from .pairing import SMALL, equal_cells
 from .quality import clamp, closeness
 
 
@@ -273,33 +274,68 @@ def _similarity(shared) -> Column:
     return F.when(F.col("c").isNotNull(), equal / len(shared)).otherwise(0.0)
 
 
+def _by_similarity(candidate, expected, shared, block_by, order_by, small) -> Column:
+    """Scalar subquery: the summed similarity of pairs fixed most similar first."""
+    order = [f"o{i}" for i in range(len(order_by))]
+
+    def side(df, name):
+        require_columns(df, [*block_by, *order_by])
+        text = lambda cells: F.array(*[F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in cells]).cast("array<string>")
+        place = F.struct(*[F.col(o).alias(n) for o, n in zip(order_by, order)], F.lit(0).alias("last"))
+        return df.select(
+            text([canonical(F.col(b), df.schema[b].dataType) for b in block_by]).alias("block"),
+            text(_cells(df, shared)).alias("cells"),
+            *[(F.lit(int(s == name)).cast("long")).alias(s) for s in "ce"],
+            place.alias(f"{name}_place"),
+        )
+
+    both = side(candidate, "c").unionByName(side(expected, "e"), allowMissingColumns=True)
+    sides = both.groupBy("block", "cells").agg(*[F.sum(s).alias(s) for s in "ce"], *[F.min(f"{s}_place").alias(f"{s}_place") for s in "ce"])
+    return equal_cells(sides, max(1, len(shared)), small) / F.lit(max(1, len(shared)))
+
+
 def blended_match(
-    candidate: DataFrame, expected: DataFrame, block_by, order_by, group_rows: int = GROUP_ROWS
+    candidate: DataFrame,
+    expected: DataFrame,
+    block_by,
+    order_by,
+    group_rows: int = GROUP_ROWS,
+    pair_by: str = "place",
+    columns=None,
+    small: int = SMALL,
 ) -> DataFrame:
     """0.55 x equal rows + 0.25 x similarity of pairs + 0.10 x columns + 0.10 x row count.
 
     Similarity is over the shared columns; rows pair one to one within
-    `block_by`, in the given order.
+    `block_by`: by their `place` in the given order, or by `similarity`, the
+    most similar first and of those the first in order (see plans.pairing;
+    that search runs jobs while this is built). `columns` are those that are
+    compared, all by default; blocks and order may be others.
     """
-    sets = column_sets(candidate, expected)
+    if pair_by not in ("place", "similarity"):
+        raise SpecError(f"pair_by must be place or similarity, not {pair_by!r}")
+    sets = {k: [c for c in v if columns is None or c in columns] for k, v in column_sets(candidate, expected).items()}
     shared = sets["shared"]
     wrong = bool(sets["missing"] or sets["extra"])
-    column_share = len(shared) / len(expected.columns) if expected.columns else 1.0
+    wanted = len(shared) + len(sets["missing"])
+    column_share = len(shared) / wanted if wanted else 1.0
     overlap = multiset_overlap(candidate, expected, shared) if shared else candidate.agg(F.count(F.lit(1)).alias("candidate_rows")).select(
         F.least("candidate_rows", expected.agg(F.count(F.lit(1)).alias("n")).scalar()).alias("shared_rows"),
         "candidate_rows",
         expected.agg(F.count(F.lit(1)).alias("n")).scalar().alias("expected_rows"),
     )
-    pair_total = _paired(candidate, expected, shared, list(block_by), list(order_by), group_rows).agg(
-        _total(_similarity(shared)).alias("s")
-    )
+    if pair_by == "similarity":
+        pair_total = _by_similarity(candidate, expected, shared, list(block_by), list(order_by), small)
+    else:
+        pairs = _paired(candidate, expected, shared, list(block_by), list(order_by), group_rows)
+        pair_total = pairs.agg(_total(_similarity(shared)).alias("s")).scalar()
     e, c = F.col("expected_rows"), F.col("candidate_rows")
     rows = F.greatest(e, F.lit(1))
     parts = overlap.select(
         e,
         c,
         (F.col("shared_rows") / rows).alias("exact_row_match_score"),
-        (pair_total.scalar() / rows).alias("partial_match"),
+        (pair_total / rows).alias("partial_match"),
         closeness(c, e).alias("row_count_score"),
     )
     score = clamp(

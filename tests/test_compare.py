@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from cleanframe.errors import SpecError
 from cleanframe.plans import compare as C
 
 SCHEMA = "k string, a string, n bigint"
@@ -244,3 +245,42 @@ def test_nearest_rows_of_a_wide_table_with_a_value_in_half_the_rows(spark):
     schema = ", ".join(f"c{i:02} string" for i in range(35))
     got = C.row_similarity(spark.createDataFrame(made, schema), spark.createDataFrame(wanted, schema), light=8).first()
     assert got.partial_ratio == pytest.approx(sum(_best(made, wanted)) / 35 / len(wanted))
+
+
+def _greedy(made, wanted):
+    """Equal cells of pairs fixed by (similarity, expected place, candidate place) over rows with copies."""
+    left = []
+    for rows in (wanted, made):
+        side = {}
+        for place, r in enumerate(rows):
+            side.setdefault(r, [place, 0])[1] += 1
+        left.append(side)
+    order = sorted((-sum(a == b for a, b in zip(r, s)), e[0], c[0], r, s) for r, e in left[0].items() for s, c in left[1].items())
+    total = 0
+    for less, _, _, r, s in order:
+        take = min(left[0][r][1], left[1][s][1])
+        left[0][r][1] -= take
+        left[1][s][1] -= take
+        total -= less * take
+    return total
+
+
+@pytest.mark.parametrize("small", [10**6, 6, 0])
+def test_pairs_by_similarity(spark, small):
+    chance = random.Random(4)
+    made = [(chance.randrange(6), i, *(chance.choice("abc") for _ in range(4))) for i in range(70)]
+    wanted = [(chance.randrange(6), i, *(chance.choice("abc") for _ in range(4))) for i in range(60)] + [(9, 60, "a", "a", "a", "a")]
+    schema = "block int, at int, w string, x string, y string, z string"
+    c, e = spark.createDataFrame(made, schema).repartition(3), spark.createDataFrame(wanted, schema)
+    cells = sum(_greedy([r[2:] for r in made if r[0] == b], [r[2:] for r in wanted if r[0] == b]) for b in range(10))
+    got = C.blended_match(c, e, ["block"], ["at"], pair_by="similarity", columns=["w", "x", "y", "z"], small=small).first()
+    assert got.partial_match == pytest.approx(cells / 4 / len(wanted), abs=1e-6)
+    assert got.column_match_score == 1.0 and not got.wrong_columns
+
+
+def test_equal_tables_pair_fully_and_empty_ones_not_at_all(spark):
+    e = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, x string")
+    assert C.blended_match(e, e, ["k"], ["x"], pair_by="similarity").first().score == 1.0
+    assert C.blended_match(e.limit(0), e, ["k"], ["x"], pair_by="similarity").first().score == 0.0
+    with pytest.raises(SpecError):
+        C.blended_match(e, e, ["k"], ["x"], pair_by="luck")
