@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cleanframe.operators import coalesce_columns, fix_dtypes, fix_nulls, map_values
 from cleanframe.plans import quality as Q
-from cleanframe.sources import load_variant, overwrite, snapshot_once, write_upsert
+from cleanframe.sources import load_variant, overwrite, replace_table, snapshot_once, upsert_partitions, write_upsert
 from cleanframe.sources.tables import shared_folder
 
 from .dirt import for_duck
@@ -132,3 +132,27 @@ def _(t):
     overwrite(names, f"{at}/old")
     moved = names.filter("s_suppkey % 4 = 0").withColumn("s_name", F.lit("moved"))
     return write_upsert(f"{at}/old", moved, "s_suppkey", f"{at}/new")
+
+
+@query("replaced_versions", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'P'")
+def _(t):
+    at = _folder(t)
+    first = replace_table(t.orders.select("o_orderkey", "o_orderstatus"), at)
+    second = replace_table(first.filter("o_orderkey % 3 = 0"), at)  # reads the table it replaces
+    return replace_table(second.filter("o_orderstatus <> 'P'"), at, keep=2)
+
+
+@query(
+    "upsert_partitioned",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 50 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, "
+    "CASE WHEN o_orderstatus = 'P' OR o_orderkey % 50 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders "
+    "UNION ALL SELECT -n_nationkey - 1, 'new', n_nationkey FROM nation",
+)
+def _(t):
+    at = _folder(t)
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey")
+    overwrite(orders, at, partition_by=["o_orderstatus"])
+    moved = orders.filter("o_orderstatus = 'P' OR o_orderkey % 50 = 0").selectExpr("o_orderkey", "'F' AS o_orderstatus", "CAST(-1 AS BIGINT) AS o_custkey")
+    added = t.nation.selectExpr("CAST(-n_nationkey - 1 AS BIGINT)", "'new'", "CAST(n_nationkey AS BIGINT)")
+    done = upsert_partitions(at, moved.union(added), "o_orderkey", "o_orderstatus")
+    return done.select("o_orderkey", "o_orderstatus", "o_custkey")

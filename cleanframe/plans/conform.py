@@ -115,20 +115,19 @@ def _shape(feed: Feed, rank: int) -> DataFrame:
     return look_up(shaped, "icu_unit", feed.codes, *feed.code_columns)
 
 
-def conform_feeds(feeds: list[Feed], reference, units=None, minutes: int = 10, active_days: int = 7) -> DataFrame:
-    """One conformed row per unit, bed and time bucket.
-
-    Copies collapse within and across feeds: the earlier feed wins, then the
-    feed's own order. The bed compared is the one without the feed's prefix.
-    Rows without a known unit or a readable time are dropped.
-    """
+def bucketed_feeds(feeds: list[Feed], units=None, minutes: int = 10) -> tuple[DataFrame, list[str]]:
+    """The rows of all feeds with a known unit and a readable time, their bucket in `__bucket`, and
+    the columns by which the rows of one unit, bed and bucket take precedence."""
     units = list(ICU_UNITS if units is None else units)
     shaped = [_shape(feed, rank) for rank, feed in enumerate(feeds)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shaped)
     rows = rows.filter(F.col("icu_unit").isin(units) & F.col("__at").isNotNull())
     rows = rows.withColumn("__bucket", time_bucket(F.col("__at"), minutes))
-    order = ["__rank", *[f"__order{rank}" for rank in range(len(feeds))]]
-    kept = first_per_key(rows, ["icu_unit", "__bed", "__bucket"], order)
+    return rows, ["__rank", *[f"__order{rank}" for rank in range(len(feeds))]]
+
+
+def conformed(kept: DataFrame, reference, active_days: int = 7, *more: str) -> DataFrame:
+    """The shape of conformed rows."""
     minute = F.date_trunc("minute", F.col("__at"))
     return kept.select(
         F.concat("__prefix", F.lit("-"), "source_record_id").alias("patient_uid"),
@@ -138,4 +137,16 @@ def conform_feeds(feeds: list[Feed], reference, units=None, minutes: int = 10, a
         F.concat("__prefix", F.lit("-"), "__bed").alias("bed_number"),
         minute.alias("admitted_at"),
         F.when(recent(minute, reference, active_days), "active").otherwise("inactive").alias("status"),
+        *more,
     )
+
+
+def conform_feeds(feeds: list[Feed], reference, units=None, minutes: int = 10, active_days: int = 7) -> DataFrame:
+    """One conformed row per unit, bed and time bucket.
+
+    Copies collapse within and across feeds: the earlier feed wins, then the
+    feed's own order. The bed compared is the one without the feed's prefix.
+    Rows without a known unit or a readable time are dropped.
+    """
+    rows, order = bucketed_feeds(feeds, units, minutes)
+    return conformed(first_per_key(rows, ["icu_unit", "__bed", "__bucket"], order), reference, active_days)

@@ -1,5 +1,6 @@
 """Reading and writing tables."""
 from .tables import (
+    current_version,
     from_rows,
     json_rows,
     load_variant,
@@ -7,14 +8,17 @@ from .tables import (
     overwrite,
     read_jdbc,
     read_table,
+    replace_table,
     snapshot_once,
     upsert,
+    upsert_partitions,
     utc,
     write_jdbc,
     write_upsert,
 )
 
 __all__ = [
+    "current_version",
     "from_rows",
     "json_rows",
     "load_variant",
@@ -22,8 +26,10 @@ __all__ = [
     "overwrite",
     "read_jdbc",
     "read_table",
+    "replace_table",
     "snapshot_once",
     "upsert",
+    "upsert_partitions",
     "utc",
     "write_jdbc",
     "write_upsert",

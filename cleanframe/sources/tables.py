@@ -11,6 +11,10 @@ from ..errors import SpecError, require_columns
 from ..operators.dedupe import first_per_key
 
 
+#: The file in a versioned table's folder that names the current version.
+POINTER = "_current"
+
+
 def utc(spark: SparkSession) -> SparkSession:
     """Let timestamps be read and rendered in UTC, as every function here assumes."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -20,9 +24,11 @@ def utc(spark: SparkSession) -> SparkSession:
 def read_table(spark: SparkSession, where: str, columns=None, format: str = "parquet", schema=None, **options) -> DataFrame:
     """A table by path or catalog name, with only the columns needed.
 
-    Spark tables have no row order; operators that need one take `order_by`.
+    Spark tables have no row order; operators that need one take `order_by`. A folder that
+    `replace_table` keeps is read in its current version.
     """
     if "/" in where:
+        where = current_version(spark, where) or where
         reader = spark.read.format(format).options(**options)
         df = (reader.schema(schema) if schema is not None else reader).load(where)
     else:
@@ -117,6 +123,69 @@ def overwrite(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder that the pointer of a versioned table names; None for other folders."""
+    pointer, files = _files(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not files.exists(pointer):
+        return None
+    stream = files.open(pointer)
+    try:
+        return f"{path.rstrip('/')}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def write_version(df: DataFrame, path: str, partition_by=()) -> str:
+    """Write the rows as a further version of a table, which nothing reads until it is made current."""
+    name = f"version-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(f"{path.rstrip('/')}/{name}")
+    return name
+
+
+def make_current(spark: SparkSession, path: str, name: str) -> None:
+    """Let the pointer name another version, by one atomic rename over the old pointer."""
+    path = path.rstrip("/")
+    beside, files = _files(spark, f"{path}/{POINTER}-{uuid.uuid4().hex}")
+    stream = files.create(beside, True)
+    try:
+        stream.write(name.encode())
+    finally:
+        stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    whole = files.makeQualified(beside)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(whole, files.makeQualified(_files(spark, f"{path}/{POINTER}")[0]), over)
+
+
+def replace_table(df: DataFrame, path: str, partition_by=(), keep: int = 1) -> DataFrame:
+    """Replace a versioned table in one step, and return what was written.
+
+    The rows are written as a version of their own; then the pointer is renamed over the old one.
+    Whoever stops in between leaves the old table current and whole. A plan may read the table it
+    replaces. Of the versions before, the last `keep` stay for readers that still use them.
+    On stores whose rename isn't atomic (most object stores) this is only as safe as their rename.
+    """
+    spark = df.sparkSession
+    before = current_version(spark, path)
+    name = write_version(df, path, partition_by)
+    make_current(spark, path, name)
+    folder, files = _files(spark, path)
+    old = [f for f in files.listStatus(folder) if f.getPath().getName().startswith("version-") and f.getPath().getName() != name]
+    # the version just replaced is the newest of them, whenever it was written
+    old.sort(key=lambda f: (f.getPath().getName() != (before or "").rpartition("/")[2], -f.getModificationTime()))
+    for version in old[keep:]:
+        files.delete(version.getPath(), True)
+    return read_table(spark, path)
+
+
 def _qualified(spark: SparkSession, path: str) -> str:
     """The path with scheme and authority, absolute and without a trailing slash."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -179,6 +248,41 @@ def write_upsert(target_path: str, changes: DataFrame, key, new_path: str, **how
     return overwrite(merged, new_path)
 
 
+def upsert_partitions(path: str, changes: DataFrame, key, partition_by, order_by=(), stamp: str | None = None) -> DataFrame:
+    """Upsert into a partitioned table in place, rewriting only the partitions that the changes touch.
+
+    These are the partitions in which changed keys are now and those to which they go. Their rows are
+    read by partition, merged, stored beside and put in place by dynamic partition overwrite;
+    partitions that the changes leave empty are removed at the end. Files of other partitions stay
+    as they are. Partitions are replaced one after the other: a run that dies in between is
+    repeated with the same result. `order_by` and `stamp` are those of `upsert`.
+    """
+    spark, parts = changes.sparkSession, [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    keys = [key] if isinstance(key, str) else list(key)
+    require_columns(changes, [*keys, *parts])
+    changes = materialize(changes)
+    target = spark.read.parquet(path)
+    require_columns(target, [*keys, *parts])
+
+    def matched(left: DataFrame, right: DataFrame, columns) -> DataFrame:
+        told = right.select(*[F.col(c).alias(f"__{c}") for c in columns]).distinct()
+        return left.join(told, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns], "left_semi")
+
+    now = matched(target, changes, keys).select(*parts)
+    touched = materialize(now.unionByName(changes.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in parts])).distinct())
+    merged = materialize(upsert(matched(target, touched, parts), changes, keys, order_by, stamp).select(*target.columns))
+    writer = merged.write.mode("overwrite").partitionBy(*parts).option("partitionOverwriteMode", "dynamic")
+    if not merged.isEmpty():
+        writer.parquet(path)
+    left = touched.join(merged.select(*[F.col(c).alias(f"__{c}") for c in parts]).distinct(), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in parts], "left_anti")
+    emptied = matched(spark.read.schema(target.schema).parquet(path), left, parts)
+    folders = emptied.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+    _, files = _files(spark, path)
+    for row in folders.toLocalIterator():  # partitions, not rows
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row["folder"])), True)
+    return spark.read.schema(target.schema).parquet(path)
+
+
 _own: dict[str, str] = {}
 
 

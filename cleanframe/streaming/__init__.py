@@ -1,4 +1,4 @@
-"""The row-local part of the library on streaming frames."""
-from .feeds import clean_stream, first_arrivals
+"""The library on streaming frames."""
+from .feeds import capacity_stream, clean_stream, conform_stream, first_arrivals, late_rows, windowed_counts
 
-__all__ = ["clean_stream", "first_arrivals"]
+__all__ = ["capacity_stream", "clean_stream", "conform_stream", "first_arrivals", "late_rows", "windowed_counts"]

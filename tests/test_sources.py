@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanframe import sources as S
+from cleanframe.sources import current_version, read_table, replace_table, tables, upsert_partitions
 from cleanframe.errors import SpecError
 
 from .conftest import rows
@@ -141,3 +142,35 @@ def test_upserts_need_an_order_for_repeated_keys(table):
         S.upsert(target, table("id int, v string", (1, "x"), (1, "y")), "id").collect()
     with pytest.raises(SpecError, match="no columns"):
         S.upsert(target, table("id int, w string", (1, "x")), "id")
+
+
+def test_a_versioned_table_survives_a_crash_before_its_pointer_moves(spark, table, tmp_path):
+    at = f"file://{tmp_path}/t"
+    assert current_version(spark, at) is None
+    replace_table(table("a int", (1,), (2,)), at)
+    tables.write_version(table("a int", (9,)), at)  # and then it dies
+    assert rows(read_table(spark, at)) == [(1,), (2,)]
+    old = read_table(spark, at)
+    again = replace_table(old.selectExpr("a + 1 AS a"), at)  # reads what it replaces
+    assert rows(again) == [(2,), (3,)] and rows(old) == [(1,), (2,)]
+    assert rows(replace_table(again.filter("a = 3"), at)) == [(3,)]
+    kept = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("version-")]
+    assert len(kept) == 2 and not [p for p in (tmp_path / "t").iterdir() if p.name.startswith("_current-")]
+
+
+def test_upserts_rewrite_only_the_partitions_they_touch(spark, table, tmp_path):
+    at = str(tmp_path / "t")
+    table("k int, day string, v string", (1, "mon", "a"), (2, "mon", "b"), (3, "tue", "c"), (4, "wed", "d"), (5, "a b/c", "e"), (6, None, "f")).write.partitionBy("day").parquet(at)
+    names = lambda: {p.parent.name: {p.name for p in (tmp_path / "t").glob(f"{p.parent.name}/*.parquet")} for p in (tmp_path / "t").glob("*/*.parquet")}
+    before = names()
+    changes = table("k int, day string, v string", (3, "mon", "C"), (7, "thu", "g"), (5, "thu", "E"), (6, None, "F"))
+    got = upsert_partitions(at, changes, "k", "day")
+    want = [(1, "a", "mon"), (2, "b", "mon"), (3, "C", "mon"), (4, "d", "wed"), (5, "E", "thu"), (6, "F", None), (7, "g", "thu")]
+    assert rows(got.select("k", "v", "day"), "k") == want and rows(spark.read.parquet(at).select("k", "v", "day"), "k") == want
+    after = names()
+    assert after["day=wed"] == before["day=wed"] and after["day=mon"] != before["day=mon"]
+    assert not (tmp_path / "t" / "day=tue").exists() and len(after) == 4
+    again = upsert_partitions(at, changes, "k", "day")
+    assert rows(again.select("k", "v", "day"), "k") == want
+    with pytest.raises(SpecError):
+        upsert_partitions(at, table("k int", (1,)), "k", "day")
