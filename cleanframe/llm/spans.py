@@ -2,14 +2,23 @@
 
 Spark gives the texts of matches but not their places. The gaps between matches (split) and the
 matches (regexp_extract_all) come from the same scan, leftmost first and without overlap, so that
-adding up their lengths places every match in code points. The sum runs along one text's matches
-inside the row; nothing is exploded or shuffled.
+adding up their lengths places every match in code points. The sums along one text's matches are made
+inside the row, by doubling: in each of log(n) rounds every place adds the sum of as many lengths before
+it as it has added already. Nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cleanframe.functions.values import once
+
+
+def _running_sums(lengths: Column) -> Column:
+    """The sum of each element and all before it, in O(n log n)."""
+    reach = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p < F.size(lengths))
+    return F.aggregate(reach, lengths, lambda sums, p: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - p), F.lit(0))))
+
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,value>> of all matches; null text has none. No match may be empty."""
@@ -17,30 +26,20 @@ def matches(text: Column, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kind = "array<struct<start:int,end:int,value:string>>"
-    placed = F.aggregate(
-        F.zip_with(gaps, found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-            F.when(
-                x["value"].isNotNull(),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"),
-                            (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                            x["value"].alias("value"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
+
+    def placed(pairs: Column) -> Column:
+        sums = once(F.transform(pairs, lambda p: p["gap"] + p["own"]), _running_sums)
+        spans = F.zip_with(
+            pairs, sums, lambda p, end: F.struct((end - p["own"]).alias("start"), end.alias("end"), p["value"].alias("value"))
+        )
+        return F.slice(spans, 1, F.size(spans) - 1)  # behind the last gap there is no match
+
+    pairs = F.zip_with(
+        gaps,
+        found,
+        lambda gap, value: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(value), F.lit(0)).alias("own"), value.alias("value")),
     )
-    return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(placed)
+    return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(once(pairs, placed).cast(kind))
 
 
 def labelled(kinds: list[tuple[str, Column]]) -> Column:
