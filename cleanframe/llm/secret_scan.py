@@ -23,6 +23,8 @@ TRAINING_DOCS = 50_000
 ORDINARY = 8
 #: Log-likelihood ratio per character from which a string counts as random.
 LEVEL = 0.1
+#: Pairs for which a character's overall frequency counts.
+BACKOFF = 5.0
 SYMBOLS = 128
 
 
@@ -78,27 +80,34 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", most: int = TRAINI
 def train(samples: DataFrame) -> DataFrame:
     """One row with `ratios`: for each pair of characters log P(second | first) among random strings less that among ordinary ones.
 
-    First-order Markov chains, one per label, from (value, random), with one added to each count
-    over the symbols seen with either label. Pairs seen with neither label say nothing (0).
-    The model has SYMBOLS * SYMBOLS numbers whatever the corpus.
+    First-order Markov chains, one per label, from (value, random). A chain trusts a character's
+    followers as far as it has seen it, and falls back to how often it has seen the second character at
+    all (with the weight of BACKOFF pairs), so a character that is rare in ordinary strings speaks for
+    random ones after whatever it comes. The pairs are counted in one pass and stored. The model has
+    SYMBOLS * SYMBOLS numbers whatever the corpus.
     """
-    pairs = (
+    pairs = stored(
         samples.filter("value is not null and random is not null")
         .select("random", F.explode(_steps(F.col("value"))).alias("pair"))
         .groupBy("pair")
         .agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
     )
-    known = pairs.withColumn("first", F.floor((F.col("pair") - 1) / SYMBOLS))
-    symbols = known.agg(F.countDistinct(F.pmod(F.col("pair") - 1, F.lit(SYMBOLS))).alias("symbols"))
+    place = F.col("pair") - 1
+    known = pairs.select("pair", F.floor(place / SYMBOLS).alias("first"), F.pmod(place, F.lit(SYMBOLS)).alias("second"), "r", "o")
     firsts = known.groupBy("first").agg(F.sum("r").alias("fr"), F.sum("o").alias("fo"))
-    # one row, and one row per first symbol
-    seen = firsts.withColumn("symbols", symbols.scalar())
-    ratio = F.log((F.col("r") + 1) / (F.col("fr") + F.col("symbols"))) - F.log((F.col("o") + 1) / (F.col("fo") + F.col("symbols")))
-    ratios = known.join(seen, "first").select("pair", ratio.alias("ratio"))
-    entries = ratios.agg(F.map_from_entries(F.collect_list(F.struct("pair", "ratio"))).alias("m"))
-    return entries.select(
-        F.transform(F.sequence(F.lit(1), F.lit(SYMBOLS * SYMBOLS)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("ratios")
-    )
+    seconds = known.groupBy("second").agg(F.sum("r").alias("sr"), F.sum("o").alias("so"))
+    all_ = known.agg(F.sum("r").alias("tr"), F.sum("o").alias("to")).select(F.struct("tr", "to").alias("t")).scalar()
+    every = samples.sparkSession.range(1, SYMBOLS * SYMBOLS + 1).withColumnRenamed("id", "pair")
+    every = every.select("pair", F.floor(place / SYMBOLS).alias("first"), F.pmod(place, F.lit(SYMBOLS)).alias("second"), all_.alias("t"))
+    joined = every.join(known.select("pair", "r", "o"), "pair", "left").join(firsts, "first", "left").join(seconds, "second", "left")
+
+    def chance(label):
+        n = lambda c: F.coalesce(F.col(c), F.lit(0))
+        anywhere = (n(f"s{label}") + 1) / (n(f"t.t{label}") + SYMBOLS)
+        return F.log((n(label) + BACKOFF * anywhere) / (n(f"f{label}") + BACKOFF))
+
+    ratios = joined.agg(F.array_sort(F.collect_list(F.struct("pair", (chance("r") - chance("o")).alias("ratio")))).alias("all"))
+    return ratios.select(F.transform("all", lambda x: x["ratio"]).alias("ratios"))
 
 
 def score(text: Column, ratios: Column) -> Column:
@@ -112,7 +121,7 @@ def find_secrets(docs: DataFrame, model: DataFrame | None = None, text_col: str
     """All rows with `base` and `spans`, arrays of (start, rank, end, kind) ordered by start.
 
     Base kinds are assign, access and hex. Kind `random` is a string of 16 characters or more out
-    of letters, digits and +/_-, with a letter and a digit, whose mean log-likelihood ratio under
+    of letters, digits and +/_-, with a letter and a digit or capitals after small letters, whose mean log-likelihood ratio under
     `model` (see `train`; by default trained on the documents' own labelled strings) is at least
     `level`, and that no base span touches. Places are code points, the end exclusive.
 
@@ -128,7 +137,7 @@ def find_secrets(docs: DataFrame, model: DataFrame | None = None, text_col: str
         "*",
         labelled(base_spans(text)).alias("base"),
         F.filter(
-            matches(text, STRING), lambda s: s["value"].rlike("[A-Za-z]") & s["value"].rlike("[0-9]")
+            matches(text, STRING), lambda s: (s["value"].rlike("[A-Za-z]") & s["value"].rlike("[0-9]")) | s["value"].rlike("[a-z][A-Z]")
         ).alias("__strings"),
         ratios.alias("__ratios"),
     )

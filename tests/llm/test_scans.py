@@ -1,6 +1,8 @@
 """Secrets, personal data and licences against plain Python, on given and on awkward texts."""
 
 import random
+import re
+import time
 
 import pytest
 
@@ -211,3 +213,24 @@ def test_scans_run_without_python(spark):
     for find in (pii.find_pii, licenses.find_licenses, secret_scan.find_secrets):
         plan = find(docs)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_half_a_million_matches_in_one_text(spark):
+    n = 500_000
+    docs = spark.createDataFrame([(1, "é1 " * n)], "doc_id long, text string")
+    from cleanframe.llm.spans import matches
+
+    started = time.time()
+    spans = docs.select(matches(F.col("text"), "[0-9]").alias("s"))
+    got = spans.select(F.size("s"), F.expr("forall(s, x -> x.end = x.start + 1 AND x.start % 3 = 1)"), F.expr("s[499999].start"), F.expr("s[0].start")).first()
+    assert tuple(got) == (n, True, 3 * n - 2, 1)
+    assert time.time() - started < 30  # seconds; comparing all pairs takes hours
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 7, 8, 9, 33])
+def test_places_of_few_matches(spark, n):
+    from cleanframe.llm.spans import matches
+
+    text = "".join("x" * (i % 4) + "12"[: 1 + i % 2] + "é" for i in range(n))
+    got = spark.createDataFrame([(text,)], "text string").select(matches(F.col("text"), "[0-9]+").alias("s")).first()["s"]
+    assert [tuple(r) for r in got] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
