@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from cleanframe.functions import values as V
 from cleanframe.operators import (
@@ -19,6 +19,8 @@ from cleanframe.operators import (
     remove_outliers,
     rename_columns,
 )
+from cleanframe.functions.values import try_num
+from cleanframe.operators.nulls import median_sketches, merged_medians
 from cleanframe.plans.conform import WARD_CODE_UNITS
 
 from .dirt import BEDS, FEED_A, FEED_B, IN_FEED_A, MEDICATIONS, ORDERS, REFERENCE_DAY, cased, for_duck
@@ -79,6 +81,22 @@ def _(t):
     return filled.withColumn("price", F.round("price", 3))
 
 
+@query(
+    "nulls_median_sketch",
+    f"{ORDERS_SQL}, n AS (SELECT order_id, {_num('price')} AS x FROM o) "
+    "SELECT count(*) AS filled, count(x) AS given, true AS near_the_median FROM n",
+)
+def _(t):
+    holes = _orders(t, "price")
+    filled = fix_nulls(holes, "approximate_median", ["price"], NULL_LIKE)
+    # the rank of the value filled in, among the cells that were given
+    given = fix_nulls(holes, "drop", ["price"], NULL_LIKE).select(try_num(F.col("price"), T.StringType()).alias("x")).filter("x is not null")
+    middle = merged_medians(median_sketches(given, ["x"]), ["x"])["x"]
+    rank = given.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < middle).alias("below"), F.count_if(F.col("x") <= middle).alias("upto"))
+    told = rank.select(F.struct("n", ((F.col("below") <= F.col("n") * 0.51) & (F.col("upto") >= F.col("n") * 0.49)).alias("near")).alias("t")).scalar()
+    return filled.agg(F.count("price").alias("filled")).select("filled", told["n"].alias("given"), told["near"].alias("near_the_median"))
+
+
 @query(
     "nulls_mode",
     f"{ORDERS_SQL}, n AS (SELECT order_id, priority, CASE WHEN status IN ('', 'N/A') THEN NULL ELSE status END AS status FROM o), "

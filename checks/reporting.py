@@ -8,7 +8,7 @@ from cleanframe.plans import compare as C
 from cleanframe.plans import quality as Q
 from cleanframe.plans import reports as R
 from cleanframe.plans.conform import ICU_UNITS, WARD_CODE_UNITS, Feed, conform_feeds, look_up, orphans, tagged_union
-from cleanframe.sources import json_rows, upsert
+from cleanframe.sources import json_rows, json_rows_drift, upsert
 
 from .cleaning import _DAY, _DOSE, BLANK, FEEDS_SQL, MEDICATIONS_SQL, NULL_LIKE, ORDERS_SQL, _orders, feeds
 from .dirt import (
@@ -692,3 +692,37 @@ def _(t):
 def _(t):
     arrays = t.events.select("event_id", F.concat(F.lit("["), "props", F.lit("]")).alias("rows"))
     return json_rows(arrays, "rows", "k bigint")
+
+
+@query(
+    "json_rows_drift",
+    "SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, "
+    "CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 1 THEN 'x' END AS note, "
+    "CASE WHEN event_id % 7 = 0 THEN 'broken {' END AS malformed FROM events",
+)
+def _(t):
+    odd = F.when(F.col("event_id") % 7 == 0, "broken {").when(F.col("event_id") % 5 == 0, '{"k": {"deep": 1}, "other": [1]}')
+    odd = odd.when(F.col("event_id") % 5 == 1, F.regexp_replace("props", "^\\{", '{"note": "x", '))
+    texts = t.events.select("event_id", odd.otherwise(F.concat(F.lit("["), "props", F.lit("]"))).alias("rows"))
+    return json_rows_drift(texts, "rows", "k bigint, note string").drop("extra")
+
+
+@query(
+    "cmp_fingerprint",
+    f"{SIDES_SQL} SELECT NOT EXISTS (SELECT * FROM c EXCEPT ALL SELECT * FROM e) AND NOT EXISTS "
+    "(SELECT * FROM e EXCEPT ALL SELECT * FROM c) AS sides, "
+    "NOT EXISTS (SELECT * FROM e EXCEPT ALL SELECT * FROM (SELECT * FROM e ORDER BY priority)) AS shuffled",
+)
+def _(t):
+    shuffled = expected(t).select(*reversed(expected(t).columns)).repartition(7, "priority")
+    sides = C.same_fingerprints(candidate(t), expected(t)).select(F.struct("same").alias("s")).scalar()
+    return C.same_fingerprints(shuffled, expected(t)).select(sides["same"].alias("sides"), F.col("same").alias("shuffled"))
+
+
+@query(
+    "cmp_differing_rows",
+    f"{SIDES_SQL}, b AS (SELECT *, 1 AS n, 0 AS m FROM c UNION ALL SELECT *, 0, 1 FROM e) "
+    "SELECT order_id, price, priority, status, CAST(sum(n) AS BIGINT) AS candidate_rows, CAST(sum(m) AS BIGINT) AS expected_rows FROM b GROUP BY 1, 2, 3, 4 HAVING sum(n) <> sum(m)",
+)
+def _(t):
+    return C.differing_rows(candidate(t), expected(t))

@@ -8,7 +8,9 @@ from ..errors import check, require_columns
 from ..functions.values import nullify, try_num
 from .ordered import forward_fill, running_sum
 
-STRATEGIES = ("drop", "mean", "median", "mode", "forward_fill")
+STRATEGIES = ("drop", "mean", "median", "approximate_median", "mode", "forward_fill")
+#: Size of a quantile sketch. A quantile's rank is off by 0.35 % of the rows at most, with a chance of 99 %.
+SKETCH = 800
 
 
 def _no_value(column: str, what: str) -> Column:
@@ -54,6 +56,27 @@ def exact_median(df: DataFrame, column: str) -> Column:
     return exact_medians(df, [column])[column]
 
 
+def median_sketches(df: DataFrame, columns, by=(), size: int = SKETCH) -> DataFrame:
+    """Quantile sketches (KLL) of numeric columns, one row per group of `by`.
+
+    They can be stored, say per partition of a growing table, and merged later without reading the
+    table again. A sketch has some 10 kB whatever the column holds. Missing cells don't count.
+    """
+    told = [F.kll_sketch_agg_double(F.when(~F.isnan(c), F.col(c)), F.lit(size)).alias(c) for c in columns]
+    return df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).groupBy(*by).agg(*told)
+
+
+def merged_medians(sketches: DataFrame, columns) -> dict[str, Column]:
+    """The columns' approximate medians from stored sketches, out of one scalar subquery; null where all are empty."""
+
+    def median(c):
+        merged = F.kll_merge_agg_double(c)
+        return F.when(F.kll_sketch_get_n_double(merged) > 0, F.kll_sketch_get_quantile_double(merged, F.lit(0.5))).alias(c)
+
+    found = sketches.agg(F.struct(*[median(c) for c in columns]).alias("medians")).scalar()
+    return {c: found[c] for c in columns}
+
+
 def _modes(df: DataFrame, columns) -> Column:
     """One struct with the most frequent value per column, the smallest if tied.
 
@@ -90,6 +113,8 @@ def fill_nulls(df: DataFrame, columns, strategy: str) -> DataFrame:
     if strategy == "mean":
         means = numbers.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("means")).scalar()
         stats = {c: means[c] for c in columns}
+    elif strategy == "approximate_median":
+        stats = merged_medians(median_sketches(numbers, columns), columns)
     else:
         stats = exact_medians(numbers, columns)
     return numbers.withColumns(
@@ -104,7 +129,8 @@ def fix_nulls(
 
     Missing are nulls, NaN and the texts in `null_like`, such as "" and "N/A".
     mean and median read the column as numbers, and other text counts as
-    missing. forward_fill needs `order_by`.
+    missing. approximate_median fills with a cell near the median (see SKETCH),
+    in one pass without a shuffle of values. forward_fill needs `order_by`.
     """
     strategy = str(strategy).strip().lower()
     check("fix_nulls", strategy=(strategy, STRATEGIES))

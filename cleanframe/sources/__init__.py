@@ -3,6 +3,8 @@ from .tables import (
     current_version,
     from_rows,
     json_rows,
+    json_rows_drift,
+    json_schema,
     load_variant,
     materialize,
     overwrite,
@@ -21,6 +23,8 @@ __all__ = [
     "current_version",
     "from_rows",
     "json_rows",
+    "json_rows_drift",
+    "json_schema",
     "load_variant",
     "materialize",
     "overwrite",

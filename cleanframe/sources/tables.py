@@ -90,6 +90,43 @@ def json_rows(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.select(*keep, F.explode(parsed).alias("__row")).select(*keep, "__row.*")
 
 
+def json_rows_drift(df: DataFrame, column: str, schema: str, malformed: str = "malformed") -> DataFrame:
+    """One row per element of a column holding JSON arrays of objects (or one object), whatever came in them.
+
+    Fields of the schema are read one by one, so a field that is missing or of another kind is null
+    and costs no other field; numbers and texts that convert are converted. Fields that the schema
+    lacks are kept as VARIANT in `extra`, and `json_schema` tells what there is. A text that is no
+    JSON, or an element that is no object, is a row with its text in `malformed`. Null gives no row.
+    """
+    require_columns(df, [column])
+    keep = [c for c in df.columns if c != column]
+    fields = T.StructType.fromDDL(schema).fields
+    taken = {*(f.name for f in fields), "extra", malformed} & set(keep)
+    if taken:
+        raise SpecError(f"the table has columns {sorted(taken)} already")
+    text = F.col(column)
+    parsed = df.filter(text.isNotNull()).withColumn("__json", F.try_parse_json(text))
+    # a text that is no array is one element
+    many = F.try_variant_get("__json", "$", "array<variant>")
+    elements = F.coalesce(many, F.array(F.col("__json")))
+    rows = parsed.select(*keep, text.alias("__text"), F.explode(elements).alias("__e"))
+    entries = F.try_variant_get("__e", "$", "map<string,variant>")
+    rows = rows.select(*keep, "__text", "__e", entries.alias("__m"))
+    extra = F.map_filter("__m", lambda k, v: ~k.isin([f.name for f in fields]))
+    return rows.select(
+        *keep,
+        *[F.try_variant_get(F.try_element_at("__m", F.lit(f.name)), "$", f.dataType.simpleString()).alias(f.name) for f in fields],
+        F.when(F.size(extra) > 0, extra).alias("extra"),
+        F.when(F.col("__m").isNull(), F.coalesce(F.to_json("__e"), F.col("__text"))).alias(malformed),
+    )
+
+
+def json_schema(df: DataFrame, column: str) -> DataFrame:
+    """One row with the schema that covers all JSON texts of a column, found in one aggregation."""
+    require_columns(df, [column])
+    return df.agg(F.schema_of_variant_agg(F.try_parse_json(column)).alias("schema"))
+
+
 def load_variant(spark: SparkSession, root: str, table: str, variant: str, into: str | None = None) -> DataFrame:
     """The chosen variant of a table, kept as <root>/<variant>/<table>.
 

@@ -284,3 +284,17 @@ def test_equal_tables_pair_fully_and_empty_ones_not_at_all(spark):
     assert C.blended_match(e.limit(0), e, ["k"], ["x"], pair_by="similarity").first().score == 0.0
     with pytest.raises(SpecError):
         C.blended_match(e, e, ["k"], ["x"], pair_by="luck")
+
+
+def test_fingerprints_tell_rows_apart_without_shuffling_them(spark):
+    for seed, n, m in ((1, 40, 40), (2, 9, 0), (3, 0, 0)):
+        (c, e), made, wanted = pair(spark, seed, n, m)
+        assert C.same_fingerprints(c, e).first().same == (Counter(made) == Counter(wanted))
+        assert C.same_fingerprints(c.repartition(5), c).first().same
+        assert C.same_fingerprints(c.union(c), c).first().same == (not made)
+        got = {tuple(r)[:-2]: (r.candidate_rows, r.expected_rows) for r in C.differing_rows(c, e).collect()}
+        assert sum(a - b for a, b in got.values()) == len(made) - len(wanted)
+    swapped = spark.createDataFrame([(None, "a"), ("b", None)], "x string, y string")
+    assert not C.same_fingerprints(swapped, swapped.selectExpr("y AS x", "x AS y")).first().same
+    plan = C.same_fingerprints(swapped, swapped)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan

@@ -417,3 +417,13 @@ def test_nan_is_missing(table):
     from cleanframe.plans.quality import profile
 
     assert {r["column_name"]: r["null_count"] for r in profile(df).collect()} == {"a": 2, "b": 1}
+
+
+def test_stored_sketches_merge_to_the_median(spark, tmp_path):
+    from cleanframe.operators.nulls import median_sketches, merged_medians
+
+    df = spark.range(10_001).selectExpr("CAST(id AS double) AS x", "IF(id % 3 = 0, NULL, id * 2) AS y", "id % 7 AS part", "CAST(NULL AS double) AS z")
+    median_sketches(df, ["x", "y", "z"], by=["part"]).write.parquet(str(tmp_path / "s"))
+    merged = merged_medians(spark.read.parquet(str(tmp_path / "s")), ["x", "y", "z"])
+    got = spark.range(1).select(*[c.alias(n) for n, c in merged.items()]).first()
+    assert abs(got.x - 5000) < 100 and abs(got.y - 10_000) < 200 and got.z is None

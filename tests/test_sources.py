@@ -174,3 +174,30 @@ def test_upserts_rewrite_only_the_partitions_they_touch(spark, table, tmp_path):
     assert rows(again.select("k", "v", "day"), "k") == want
     with pytest.raises(SpecError):
         upsert_partitions(at, table("k int", (1,)), "k", "day")
+
+
+def test_json_that_drifts_keeps_all_rows(table):
+    texts = [
+        (1, '[{"a": 1, "b": "x"}, {"a": "2", "c": [1, 2]}]'),
+        (2, '{"a": {"deep": 1}, "b": 7}'),
+        (3, '[3, {"b": null}]'),
+        (4, "no json"),
+        (5, "[]"),
+        (6, None),
+    ]
+    df = table("id int, rows string", *texts)
+    got = S.json_rows_drift(df, "rows", "a bigint, b string").select("id", "a", "b", F.to_json("extra").alias("extra"), "malformed")
+    assert rows(got) == rows(
+        table(
+            "id int, a bigint, b string, extra string, malformed string",
+            (1, 1, "x", None, None),
+            (1, 2, None, '{"c":[1,2]}', None),
+            (2, None, "7", None, None),
+            (3, None, None, None, "3"),
+            (3, None, None, None, None),
+            (4, None, None, None, "no json"),
+        )
+    )
+    assert S.json_schema(df.filter("id < 3"), "rows").first()["schema"]
+    with pytest.raises(SpecError):
+        S.json_rows_drift(df, "rows", "id int")
