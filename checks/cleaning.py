@@ -460,4 +460,4 @@ BOOK_STEPS = [
     "FROM named QUALIFY row_number() OVER (PARTITION BY buyer, state ORDER BY sent, nr) = 1",
 )
 def _(t):
-    return clean(t.dirty(t.orders, BOOK), BOOK_STEPS).withColumn("price", F.round("price", 2))
+    return clean(t.dirty(t.orders, BOOK), BOOK_STEPS, staged=True).withColumn("price", F.round("price", 2))

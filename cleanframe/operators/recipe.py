@@ -96,14 +96,33 @@ def _apply(df: DataFrame, step: tuple[str, dict], order_by, null_like) -> DataFr
         raise SpecError(f"{name}: {bad}") from bad
 
 
-def clean(df: DataFrame, operations, order_by=(), null_like=()) -> DataFrame:
+def _reads_twice(name: str, params: dict) -> bool:
+    """Whether the step looks at the whole table before it handles its rows."""
+    return not is_row_local(name, params) and name != "remove_duplicates"
+
+
+def clean(df: DataFrame, operations, order_by=(), null_like=(), staged: bool = False) -> DataFrame:
     """Chain the operations. Every step is checked while the plan is built, so a
     wrong spec raises before any job runs and leaves nothing half done.
 
     `order_by` and `null_like` are defaults for the operations that take them.
+    Every step with a statistic of the whole table (means, bounds, fills) reads
+    its input again, with all that stands before it. `staged` stores the rows
+    before such a step in the shared folder, once the whole plan has been
+    checked, so that every step, and the source, runs once.
     """
     steps = parse_operations(operations)
-    return reduce(lambda table, step: _apply(table, step, order_by, null_like), steps, df)
+    planned = reduce(lambda table, step: _apply(table, step, order_by, null_like), steps, df)
+    if not staged:
+        return planned
+    from ..sources.tables import materialize  # which itself uses operators
+
+    table = df
+    for step in steps:
+        if _reads_twice(*step):
+            table = materialize(table)
+        table = _apply(table, step, order_by, null_like)
+    return table
 
 
 def clean_or_keep(df: DataFrame, operations, order_by=(), null_like=(), run: bool = False) -> tuple[DataFrame, str | None]:

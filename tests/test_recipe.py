@@ -128,3 +128,21 @@ def test_a_list_of_all_kinds_of_steps(table):
         (6, "Split", 12.0, "1972-09-27", "5", "no", "1972-09-27", "9 5 Split"),
     ]
     assert {s["operation"] for s in BOOK_STEPS} == set(OPERATIONS)
+
+
+def test_stages_give_the_same_and_read_the_source_once(spark, table, tmp_path):
+    table("k int, a string, b double", *[(i, None if i % 4 == 0 else str(i), float(i % 50) if i % 3 else None) for i in range(200)]).write.parquet(str(tmp_path / "t"))
+    steps = [
+        {"operation": "fix_nulls", "strategy": "median", "columns": ["a"]},
+        {"operation": "remove_outliers", "column": "b", "n_std": 1.2},
+        {"operation": "fix_nulls", "strategy": "mean", "columns": ["b"]},
+        {"operation": "fix_nulls", "strategy": "forward_fill", "columns": ["a"], "order_by": ["k"]},
+        {"operation": "remove_duplicates", "columns": ["a"], "order_by": ["k"]},
+    ]
+    source = spark.read.parquet(str(tmp_path / "t"))
+    staged = clean(source, steps, staged=True)
+    assert rows(staged) == rows(clean(source, steps))
+    assert str(tmp_path / "t") not in staged._jdf.queryExecution().analyzed().toString()
+    assert not [f for f in staged.inputFiles() if f"{tmp_path}/t/" in f]
+    with pytest.raises(SpecError):
+        clean(source, [*steps, {"operation": "nothing"}], staged=True)
