@@ -84,9 +84,11 @@ def nearest(wanted: DataFrame, offered: DataFrame, width: int, light: int = LIGH
     done, open_ = [], materialize(state)
 
     # neighbouring heavy columns together
-    flags = open_.filter("best < bound").agg(*[F.max(F.get("heavy", F.lit(i))).alias(f"h{i}") for i in columns]).first()
+    gap = F.avg(F.col("bound") - F.col("best")).alias("gap")
+    flags = open_.filter("best < bound").agg(gap, *[F.max(F.get("heavy", F.lit(i))).alias(f"h{i}") for i in columns]).first()
     some = [i for i in columns if flags[f"h{i}"]]
-    size = len(some) if len(some) > 1 else 0  # one heavy cell is met anyway
+    # fewer runs than a row's bound is above its best can't settle it; one heavy cell is met anyway
+    size = max(2, -(-len(some) // max(1, int(flags["gap"])))) if len(some) > 1 else 0
     while size > 1:
         done.append(open_.filter("best >= bound").select(*ROW, "best"))
         open_ = open_.filter("best < bound")

@@ -232,9 +232,9 @@ def test_nearest_rows_by_few_and_by_heavy_values(spark, seed, values, width, fix
     made, wanted = [row() for _ in range(60)], [row() for _ in range(50)]
     schema = ", ".join(f"c{i:02} string" for i in range(width))
     c, e = spark.createDataFrame(made, schema), spark.createDataFrame(wanted, schema)
-    for group_rows in (10**6, 3):
-        got = C.row_similarity(c, e, block_by=[f"c{i:02}" for i in fixed], light=light, group_rows=group_rows).first()
-        assert got.partial_ratio == pytest.approx(sum(_best(made, wanted, fixed)) / width / len(wanted))
+    group_rows = 3 if seed % 2 else 10**6
+    got = C.row_similarity(c, e, block_by=[f"c{i:02}" for i in fixed], light=light, group_rows=group_rows).first()
+    assert got.partial_ratio == pytest.approx(sum(_best(made, wanted, fixed)) / width / len(wanted))
 
 
 def test_nearest_rows_of_a_wide_table_with_a_value_in_half_the_rows(spark):
