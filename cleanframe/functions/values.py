@@ -1,8 +1,9 @@
 """Row-local Column expressions for messy cells.
 
-Everything here is built from Spark's own functions, so it stays inside
-whole-stage code generation and works the same on batch and streaming frames.
-Malformed input turns into null instead of an ANSI cast error.
+Everything here is built from Spark's own functions and works the same on batch
+and streaming frames. Malformed input turns into null instead of an ANSI cast
+error. Where an input is bound by `once`, Spark compiles the projection but not
+its lambda; common notations are settled by a pattern before costlier ones.
 """
 
 from __future__ import annotations
@@ -317,6 +318,11 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
 _PLAIN_INTEGER = r"^(0|-?[1-9]\d{0,17})$"
 
 
+# Decimals of up to 17 digits before and after the point that already are their canonical text,
+# and those that only have zeros, or a bare point, too many at the end.
+_PLAIN_DECIMAL = r"^(?!-0$)-?(0|[1-9]\d{0,16})(\.\d{0,16}[1-9])?$"
+_PADDED_DECIMAL = r"^(?!-0\.0*$)-?(0|[1-9]\d{0,16})\.\d{0,17}$"
+
 # Sign, whole part, fraction and exponent of a number's text.
 _PARTS = r"^([+-]?)0*+(\d*+)(?:\.(\d*+))?(?:[eE]([+-]?\d++))?$"
 
@@ -366,7 +372,13 @@ def _number_form(c: Column) -> Column:
         )
         return F.when(digits == "", "0").otherwise(F.concat(F.when(x["minus"], "-").otherwise(""), size))
 
-    return once(c.cast("string"), lambda t: F.when(t.rlike(_NUMBER), from_text(t)))
+    unpadded = lambda t: F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))
+    return once(
+        c.cast("string"),
+        lambda t: F.when(t.rlike(_PLAIN_DECIMAL), t)
+        .when(t.rlike(_PADDED_DECIMAL), unpadded(t))
+        .when(t.rlike(_NUMBER), from_text(t)),
+    )
 
 
 def canonical(c: Column, dtype: T.DataType, mode: str = "value") -> Column:

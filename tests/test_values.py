@@ -184,3 +184,15 @@ def test_times_need_a_session_in_utc(spark):
                 build()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_common_decimals_take_the_same_text_as_any_notation(spark):
+    from decimal import Decimal
+
+    written = ["0.0", "-0.0", "-0.00", "-0", "0.", "5.", "-5.", "0.10", "-1.50", "100.00", "-100.05", "00.50", "+7.250", ".5", "-.50"]
+    written += ["12345678901234567.12345678901234560", "12345678901234567.12345678901234567", "0.00000000000000001", "99999999999999999.0", "123456789012345678.50"]
+    got = one(spark, lambda c: V.canonical(c, TEXT), *written)
+    general = one(spark, lambda c: V.canonical(c, TEXT), *[f"{w}e0" for w in written])
+    assert got == general
+    plain = [format(Decimal(w), "f") for w in written]
+    assert got == [(p.rstrip("0").rstrip(".") if "." in p else p).replace("-0", "0", p.strip("-0.") == "") for p in plain]
