@@ -327,58 +327,39 @@ _PADDED_DECIMAL = r"^(?!-0\.0*$)-?(0|[1-9]\d{0,16})\.\d{0,17}$"
 _PARTS = r"^([+-]?)0*+(\d*+)(?:\.(\d*+))?(?:[eE]([+-]?\d++))?$"
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """`once` in SQL text."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _part(i: int) -> str:
+    return f"regexp_extract(t, r'{_PARTS}', {i})"
+
+
+# SQL text, which the session parses in one call; put together call by call, every column that is
+# compared would cost the driver a third of a second.
+_WRITTEN = """CASE WHEN z.digits = '' THEN '0' ELSE concat(CASE WHEN z.minus THEN '-' ELSE '' END, CASE
+    WHEN z.point BETWEEN 1 AND 38 AND length(z.digits) <= z.point THEN rpad(z.digits, int(z.point), '0')
+    WHEN z.point BETWEEN 1 AND 38 THEN concat(substr(z.digits, 1, int(z.point)), '.', substr(z.digits, int(z.point) + 1))
+    WHEN z.point BETWEEN -17 AND 0 THEN concat('0.', repeat('0', int(-z.point)), z.digits)
+    ELSE concat(substr(z.digits, 1, 1), CASE WHEN length(z.digits) > 1 THEN concat('.', substr(z.digits, 2)) ELSE '' END,
+        'e', string(z.point - 1)) END) END"""
+_UNPADDED = """named_struct('minus', y.minus, 'digits', trim(TRAILING '0' FROM trim(LEADING '0' FROM y.digits)),
+    'point', y.point - length(y.digits) + length(trim(LEADING '0' FROM y.digits)))"""
+_TAKEN_APART = f"""named_struct('minus', {_part(1)} = '-', 'digits', concat({_part(2)}, {_part(3)}),
+    'point', length({_part(2)}) + coalesce(try_cast({_part(4)} AS bigint), CASE WHEN {_part(4)} = '' THEN 0 END))"""
+_NUMBER_FORM = f"""t -> CASE WHEN t RLIKE r'{_PLAIN_DECIMAL}' THEN t
+    WHEN t RLIKE r'{_PADDED_DECIMAL}' THEN trim(TRAILING '.' FROM trim(TRAILING '0' FROM t))
+    WHEN t RLIKE r'{_NUMBER}' THEN {_bound(_TAKEN_APART, "y", _bound(_UNPADDED, "z", _WRITTEN))} END"""
+
+
 def _number_form(c: Column) -> Column:
     """One text per numeric value, exact for any number of digits.
 
     The digits without zeros at either end, and where the point stands, make the number. It is
     written out if it has up to 38 whole digits or 17 zeros after the point, and with an exponent else.
     """
-
-    def from_text(t: Column) -> Column:
-        part = lambda i: F.regexp_extract(t, _PARTS, i)
-        return once(
-            F.struct(
-                (part(1) == "-").alias("minus"),
-                F.concat(part(2), part(3)).alias("digits"),
-                (F.length(part(2)) + F.coalesce(part(4).try_cast("bigint"), F.when(part(4) == "", 0))).alias("point"),
-            ),
-            stripped,
-        )
-
-    def stripped(x: Column) -> Column:
-        led = F.ltrim(x["digits"], F.lit("0"))
-        return once(
-            F.struct(
-                x["minus"].alias("minus"),
-                F.rtrim(led, F.lit("0")).alias("digits"),
-                (x["point"] - F.length(x["digits"]) + F.length(led)).alias("point"),
-            ),
-            written,
-        )
-
-    def written(x: Column) -> Column:
-        digits, point, n = x["digits"], x["point"], F.length(x["digits"])
-        at = point.cast("int")
-        whole = F.rpad(digits, at, "0")
-        split = F.concat(F.substr(digits, F.lit(1), at), F.lit("."), F.substr(digits, at + 1))
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits)
-        rest = F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
-        scientific = F.concat(F.substr(digits, F.lit(1), F.lit(1)), rest, F.lit("e"), (point - 1).cast("string"))
-        size = (
-            F.when(point.between(1, 38) & (n <= point), whole)
-            .when(point.between(1, 38), split)
-            .when(point.between(-17, 0), small)
-            .otherwise(scientific)
-        )
-        return F.when(digits == "", "0").otherwise(F.concat(F.when(x["minus"], "-").otherwise(""), size))
-
-    unpadded = lambda t: F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))
-    return once(
-        c.cast("string"),
-        lambda t: F.when(t.rlike(_PLAIN_DECIMAL), t)
-        .when(t.rlike(_PADDED_DECIMAL), unpadded(t))
-        .when(t.rlike(_NUMBER), from_text(t)),
-    )
+    return F.get(F.call_function("transform", F.array(c.cast("string")), F.expr(_NUMBER_FORM)), F.lit(0))
 
 
 def canonical(c: Column, dtype: T.DataType, mode: str = "value") -> Column:

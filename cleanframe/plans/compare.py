@@ -107,7 +107,8 @@ def differing_rows(candidate: DataFrame, expected: DataFrame, columns=None, mode
 
 def _runs(df: DataFrame, columns) -> tuple[DataFrame, Column]:
     """The sorted table as runs of equal rows: from start to before stop, with
-    their cells. Also the number of rows, as a scalar subquery.
+    their cells. Also the number of rows. The counted rows are stored: the cells
+    are parsed once, and the order is cut by what is read from the store.
     """
     own = sorted(df.columns)
     texts = df.select(*[sort_text(F.col(c), df.schema[c].dataType).alias(f"s{i}") for i, c in enumerate(own)])
@@ -121,10 +122,10 @@ def _runs(df: DataFrame, columns) -> tuple[DataFrame, Column]:
             return F.when(text == "True", "1").when(text == "False", "0")
         return F.when(text != "None", canonical(text, T.StringType()))
 
-    counted = texts.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(texts.groupBy(*order).agg(F.count(F.lit(1)).alias("n")))
     cells = F.struct(*[cell(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("cells")
-    placed = running_sum(counted, "n", order, name="stop", ties=()).select("*", cells)
-    rows = counted.agg(_total(F.col("n")).alias("n")).scalar()
+    placed = running_sum(counted, "n", order, name="stop", ties=()).select("n", "stop", cells)
+    rows = counted.agg(_total(F.col("n")).alias("n")).first()["n"]
     return placed.select((F.col("stop") - F.col("n")).alias("start"), "stop", "cells"), rows
 
 
@@ -149,12 +150,14 @@ def cell_accuracy_by_position(candidate: DataFrame, expected: DataFrame) -> Data
     """
     columns = sorted(set(candidate.columns) | set(expected.columns))
     (runs_e, rows_e), (runs_c, rows_c) = _runs(expected, columns), _runs(candidate, columns)
-    longest = F.greatest(rows_e, rows_c)
-    width = F.greatest(F.ceil(longest / range_count(expected)), F.lit(1)).cast("bigint")
+    longest = max(rows_e, rows_c)
+    width = F.lit(max(-(-longest // range_count(expected)), 1)).cast("bigint")
 
     def side(runs, rows, name):
         empty = F.struct(*[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(columns))])
-        tail = candidate.sparkSession.range(1).select(rows.alias("start"), longest.alias("stop"), empty.alias("cells"))
+        tail = candidate.sparkSession.range(1).select(
+            F.lit(rows).cast("bigint").alias("start"), F.lit(longest).cast("bigint").alias("stop"), empty.alias("cells")
+        )
         return _pieces(runs.unionByName(tail), name, width)
 
     points = side(runs_e, rows_e, "e").unionByName(side(runs_c, rows_c, "c"), allowMissingColumns=True)
@@ -164,8 +167,8 @@ def cell_accuracy_by_position(candidate: DataFrame, expected: DataFrame) -> Data
     overlaid = F.col("e").isNotNull() & F.col("c").isNotNull()
     equal = sum((F.col(f"e.c{i}").eqNullSafe(F.col(f"c.c{i}")).cast("bigint") for i in range(len(columns))), F.lit(0))
     matched = overlay.agg(_total(F.when(overlaid, length * equal)).alias("matched_cells"))
-    cells = longest * len(columns)
-    accuracy = F.when(cells == 0, 1.0).when(rows_e == 0, 0.0).otherwise(F.try_divide(F.col("matched_cells"), cells))
+    cells = F.lit(longest * len(columns)).cast("bigint")
+    accuracy = F.when(cells == 0, 1.0).when(F.lit(rows_e == 0), 0.0).otherwise(F.try_divide(F.col("matched_cells"), cells))
     return matched.select("matched_cells", cells.alias("total_cells"), accuracy.alias("accuracy"))
 
 

@@ -95,6 +95,17 @@ def clean_prescriptions(medications: DataFrame, patients: DataFrame, formats=Non
     return rows.filter(F.col("drug_name") != "").dropna(subset=["dosage_mg", "prescribed_date"])
 
 
+def _per_patient(medications: DataFrame, since: str, normalize_drug: bool, formats) -> DataFrame:
+    """Prescriptions per patient and drug since the day."""
+    day = prescribed_date(F.col("prescribed_date"), _dtype(medications, "prescribed_date"), formats)
+    drug = drug_name(F.col("drug_name")) if normalize_drug else F.coalesce(F.col("drug_name").cast("string"), F.lit(""))
+    return (
+        medications.filter(day >= F.lit(since).cast("date"))
+        .groupBy(strip(F.col("patient_id")).alias("patient_id"), drug.alias("drug_name"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def prescription_counts(
     medications: DataFrame, patients: DataFrame, since: str = REPORT_START, normalize_drug: bool = True, formats=None
 ) -> DataFrame:
@@ -103,13 +114,7 @@ def prescription_counts(
     Counts per patient and drug are taken before the join, so a patient holding
     a large part of all prescriptions reaches it as a handful of rows.
     """
-    day = prescribed_date(F.col("prescribed_date"), _dtype(medications, "prescribed_date"), formats)
-    drug = drug_name(F.col("drug_name")) if normalize_drug else F.coalesce(F.col("drug_name").cast("string"), F.lit(""))
-    per_patient = (
-        medications.filter(day >= F.lit(since).cast("date"))
-        .groupBy(strip(F.col("patient_id")).alias("patient_id"), drug.alias("drug_name"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    per_patient = _per_patient(medications, since, normalize_drug, formats)
     wards = patients.select(strip(F.col("patient_id")).alias("patient_id"), F.upper(strip(F.col("ward"))).alias("ward"))
     return (
         per_patient.join(wards, "patient_id")
@@ -142,12 +147,8 @@ def join_fanout(
     Neither join is run: the cross join's size is a product of two counts, and
     the inner join's a sum over counts per patient.
     """
-    day = prescribed_date(F.col("prescribed_date"), _dtype(medications, "prescribed_date"), formats)
-    children = (
-        medications.filter(day >= F.lit(since).cast("date"))
-        .groupBy(strip(F.col("patient_id")).alias("patient_id"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    per_patient = _per_patient(medications, since, True, formats)
+    children = per_patient.groupBy("patient_id").agg(F.sum("n").alias("n"))
     parents = patients.groupBy(strip(F.col("patient_id")).alias("patient_id")).agg(F.count(F.lit(1)).alias("m"))
     sizes = children.join(parents, "patient_id", "left").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"),
