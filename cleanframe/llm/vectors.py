@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from .store import components, dropped, stored
 
 #: Trees, vectors that a leaf may hold, and the part of a node's vectors on either side of a cut that go both ways.
-TREES, LEAF, SPILL = 10, 1500, 0.1
+TREES, LEAF, SPILL = 5, 200, 0.05
 #: A cut's overlap reaches so many standard deviations of a linked pair's difference to either side. A
 #: cut that sends more than the part WIDEST of a node one way parts links and saves little, so it isn't
 #: made; after so many such directions in a row the node is a leaf.
-REACH, WIDEST, NARROW = 0.75, 0.75, 3
+REACH, WIDEST, NARROW = 0.34, 0.61, 3
 #: A leaf that no cut makes smaller is compared in blocks of so many.
 BLOCK = 1500
 #: Cuts along a path at most; each halves a node, or a bit less.
@@ -52,6 +52,19 @@ def _projected(level: int):
     return run
 
 
+def _earlier(leaves: pa.ListArray, mine: int) -> np.ndarray:
+    """A row's leaves that come before this one, as a matrix; what fills it up differs from row to row."""
+    sizes = leaves.value_lengths().to_numpy(zero_copy_only=False)
+    row, leaf = np.repeat(np.arange(len(leaves)), sizes), leaves.flatten().to_numpy(zero_copy_only=False)
+    row, leaf = row[leaf < mine], leaf[leaf < mine]
+    counts = np.bincount(row, minlength=len(leaves))
+    width = int(counts.max(initial=0))
+    # no leaf before this one is `mine` or more, so those numbers are free
+    out = mine + np.tile(np.arange(len(leaves))[:, None], (1, width))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = leaf
+    return out
+
+
 def _linked(level: float):
     def run(table: pa.Table) -> pa.Table:
         """Links inside one leaf, or inside and between two blocks of one."""
@@ -62,20 +75,19 @@ def _linked(level: float):
         nodes = table.column("node").to_pylist()
         block = table.column("block").to_numpy()
         both = block.min() != block.max()
-        # leaves that come before this one, as one column each; pairs in one of them were counted there
-        mine = (table.column("tree")[0].as_py(), table.column("path")[0].as_py())
-        seen = [[tuple(x.values()) for x in leaves if tuple(x.values()) < mine] for leaves in table.column("leaves").to_pylist()]
-        names = {x: i for i, x in enumerate(sorted({x for leaves in seen for x in leaves}))}
-        earlier = np.zeros((n, max(len(names), 1)), np.float32)
-        for i, leaves in enumerate(seen):
-            earlier[i, [names[x] for x in leaves]] = 1
+        earlier = _earlier(table.column("leaves").chunk(0), table.column("leaf")[0].as_py())
         counts, links = np.zeros(n), []
         for lo in range(0, n, 512):
             near = rows[lo : lo + 512] @ rows.T >= level
-            near &= earlier[lo : lo + 512] @ earlier.T == 0
             if both:
                 near &= block[lo : lo + 512, None] != block[None, :]
             near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
+            if earlier.shape[1]:
+                ones, others = np.nonzero(near)
+                for at in range(0, len(ones), 65536):  # a pair counts in the first leaf it shares
+                    i, j = ones[at : at + 65536], others[at : at + 65536]
+                    told = (earlier[lo + i][:, :, None] == earlier[j][:, None, :]).any(axis=(1, 2))
+                    near[i[told], j[told]] = False
             counts[lo : lo + 512] = near @ weight
             links.append(near)
         near = np.concatenate(links)
@@ -99,7 +111,7 @@ def _linked(level: float):
 
 
 def _leaves(made: DataFrame, trees: int, leaf: int, level: float) -> DataFrame:
-    """(node, tree, width, kind, path): the leaves of all trees that each vector falls into.
+    """(node, tree, width, kind, path, leaf): the leaves of all trees that each vector falls into.
 
     Level by level, nodes with more than `leaf` vectors are cut at the median of the vectors'
     projections on a random direction; those near the median go both ways. On such a direction the
@@ -114,21 +126,21 @@ def _leaves(made: DataFrame, trees: int, leaf: int, level: float) -> DataFrame:
     columns = ["node", *key, "vector"]
     several = made.groupBy("width", "kind").count().filter(F.col("count") > leaf)
     first = made.select("node", F.lit(0).alias("tree"), "width", "kind", F.lit("").alias("path"), "vector")
-    done = stored(first.join(several, ["width", "kind"], "left_anti").select("node", *key))
-    rooted = first.join(several, ["width", "kind"], "left_semi")
-    nodes = stored(rooted.withColumn("tree", tree).select(*columns))
+    done = [stored(first.join(several, ["width", "kind"], "left_anti").select("node", *key))]
+    nodes = first.join(several, ["width", "kind"], "left_semi").withColumn("tree", tree).select(*columns)
     reach = REACH * (2 - 2 * min(level, 1.0)) ** 0.5
+    vector = made.schema["vector"].dataType.simpleString()
+    shape = f"node string, tree int, width int, kind string, path string, vector {vector}, p double"
+    above = []
     for depth in range(DEPTH):
         sizes = stored(nodes.groupBy(*key).count())
         final = (F.col("count") <= leaf) | F.col("path").endswith("-" * NARROW)
         large = sizes.filter(~final)
-        settled = nodes.join(sizes.filter(final), key, "left_semi").select("node", *key)
-        done = stored(done.unionByName(settled))
+        done.append(stored(nodes.join(sizes.filter(final), key, "left_semi").select("node", *key)))
         if large.isEmpty():
+            dropped(*above, sizes)
             break
-        open_ = nodes.join(large, key, "left_semi")
-        shape = "node string, tree int, width int, kind string, path string, vector array<double>, p double"
-        seen = stored(open_.select(*columns).mapInArrow(_projected(depth), shape))
+        seen = stored(nodes.join(large, key, "left_semi").select(*columns).mapInArrow(_projected(depth), shape))
         ends = F.percentile_approx("p", [1 - WIDEST, 0.5 - SPILL, 0.5, 0.5 + SPILL, WIDEST], 2000)
         cuts = seen.groupBy(*key).agg(ends.alias("at"))
         at = F.col("at")
@@ -137,15 +149,21 @@ def _leaves(made: DataFrame, trees: int, leaf: int, level: float) -> DataFrame:
         left = F.when(F.col("p") <= F.col("high"), F.concat("path", F.lit("0")))
         right = F.when(F.col("p") > F.col("low"), F.concat("path", F.lit("1")))
         ways = F.when(F.col("narrow"), F.array(F.concat("path", F.lit("-")))).otherwise(F.array_compact(F.array(left, right)))
-        split = seen.join(cuts, key).select("node", "tree", "width", "kind", F.explode(ways).alias("path"), "vector")
-        last, nodes = nodes, stored(split)
-        dropped(last, sizes, seen, cuts)
+        nodes = seen.join(cuts, key).select("node", "tree", "width", "kind", F.explode(ways).alias("path"), "vector")
+        dropped(*above, sizes)
+        above = [seen, cuts]
     else:
-        done = stored(done.unionByName(nodes.drop("vector")))
-    whole = done.filter(F.col("path").isin("", "-" * NARROW))
+        done.append(stored(nodes.drop("vector")))
+        dropped(*above)
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    whole = every.filter(F.col("path").isin("", "-" * NARROW))
     whole = stored(whole.groupBy("width", "kind").agg(F.min("tree").alias("only")))
-    kept = done.join(whole, ["width", "kind"], "left").filter("only is null or tree = only")
-    return stored(kept.select("node", *key))
+    kept = every.join(whole, ["width", "kind"], "left").filter("only is null or tree = only")
+    kept = stored(kept.select("node", *key, F.xxhash64(*key).alias("leaf")))
+    dropped(*done, whole)
+    return kept
 
 
 def near_vectors(
@@ -181,20 +199,21 @@ def near_vectors(
     text = F.concat_ws(",", "kind", F.lit(":"), F.transform("vector", lambda x: x.cast("string")))
     rows = stored(rows.withColumn("node", F.when(usable, F.md5(text))))
     grouped = rows.filter("node is not null").groupBy("node")
+    given = "array<float>" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     made = stored(
         grouped.agg(
-            F.first("kind").alias("kind"), F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("id").alias("first")
+            F.first("kind").alias("kind"), F.first("vector").cast(given).alias("vector"), F.count("*").alias("weight"), F.min("id").alias("first")
         ).withColumn("width", F.size("vector"))
     )
     leaves = _leaves(made, trees, leaf, level)
-    by_node = leaves.groupBy("node").agg(F.collect_list(F.struct("tree", "path")).alias("leaves"))
+    by_node = leaves.groupBy("node").agg(F.collect_list("leaf").alias("leaves"))
     told = stored(made.join(by_node, "node").select("node", "vector", "weight", "leaves"))
     key = ["tree", "width", "kind", "path"]
     blocks = stored(leaves.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = leaves.join(blocks, key).select("node", *key, "blocks", block.alias("block")).select("*", other.alias("other"))
-    pairs = placed.select("node", *key, "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    placed = leaves.join(blocks, key).select("node", *key, "leaf", "blocks", block.alias("block")).select("*", other.alias("other"))
+    pairs = placed.select("node", *key, "leaf", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     compared = pairs.join(told, "node").groupBy(*key, "one", "two").applyInArrow(_linked(level), "node string, links bigint, least string")
     found = stored(compared)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
