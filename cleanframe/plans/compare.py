@@ -260,7 +260,7 @@ def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=(), group
         near = near + missing.join(blocks, "block", "left_semi").agg(_total(F.col("e") * len(fixed)).alias("s")).scalar()
     if free:
         best = nearest(missing, offered, len(free), light, group_rows=group_rows)
-        near = near + best.join(missing, ["block", "cells"]).agg(_total(F.col("e") * F.col("agree")).alias("s")).scalar()
+        near = near + best.join(missing.hint("merge"), ["block", "cells"]).agg(_total(F.col("e") * F.col("agree")).alias("s")).scalar()
     rows = F.greatest(F.col("expected_rows"), F.lit(1))
     exact = F.col("equal_rows") / rows
     partial = (F.col("found_rows") + near / width) / rows

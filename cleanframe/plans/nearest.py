@@ -11,6 +11,9 @@ that many rows have (heavy values). For those rows
    patterns, and compared with the patterns that share enough of these cells, block by block: one
    joined row compares a pattern with a whole block.
 
+Tables are joined by sorting throughout. Stored cells unpack to many times the size of their files, and a
+row per cell repeats them: by the sizes Spark expects it would send such tables through the driver.
+
 All steps are exact. The last one grows with (patterns of open rows) x (other patterns) / BLOCK, so it
 is the one to look at for tables that hold nothing but heavy values in independent columns.
 """
@@ -37,6 +40,11 @@ def _shared(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
+def _sorted(table: DataFrame) -> DataFrame:
+    """The table, to be joined by sorting and not by way of the driver."""
+    return table.hint("merge")
+
+
 def _parts(columns: list[int], size: int) -> list[list[int]]:
     """The columns in runs of `size`."""
     return [columns[i : i + size] for i in range(0, len(columns), size)]
@@ -55,9 +63,9 @@ def _looked_up(wanted: DataFrame, offered: DataFrame, parts, light: int, group_r
     sizes = listed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     rows = asked.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"))
     # a value that many rows share must not be one task's work
-    asked = materialize(attach(asked, rows.join(sizes, KEY, "left"), KEY, "rows", group_rows))
+    asked = materialize(attach(asked, rows.join(_sorted(sizes), KEY, "left"), KEY, "rows", group_rows, large=True))
     short = listed.withColumnRenamed("cells", "other")
-    pairs = asked.filter(F.col("n") <= light).join(short, KEY)
+    pairs = asked.filter(F.col("n") <= light).join(_sorted(short), KEY)
     return asked, pairs.groupBy(*ROW).agg(F.max(_shared(F.col("cells"), F.col("other"))).alias("found"))
 
 
@@ -78,7 +86,7 @@ def nearest(wanted: DataFrame, offered: DataFrame, width: int, light: int = LIGH
     heavy = F.transform("counts", lambda n: n > light)
     most = F.size(F.filter(heavy, lambda h: h))
     at_least = (most > 0).cast("int")  # rows with a heavy value share it with some row
-    state = cells.join(found, ROW, "left").select(
+    state = cells.join(_sorted(found), ROW, "left").select(
         *ROW, "counts", heavy.alias("heavy"), F.greatest(F.coalesce("found", F.lit(0)), at_least).alias("best"), most.alias("bound")
     )
     done, open_ = [], materialize(state)
@@ -101,7 +109,7 @@ def nearest(wanted: DataFrame, offered: DataFrame, width: int, light: int = LIGH
             # an unmet row differs somewhere in each of these
             F.count_if(F.col("whole") & (met <= light)).alias("missed"),
         )
-        state = open_.join(told, ROW, "left").join(found, ROW, "left").select(
+        state = open_.join(_sorted(told), ROW, "left").join(_sorted(found), ROW, "left").select(
             *ROW,
             "counts",
             "heavy",
@@ -140,18 +148,19 @@ def _by_pattern(open_: DataFrame, offered: DataFrame, width: int, light: int, bl
     heavy = open_.select("block", F.posexplode("pattern").alias("part", "value")).filter("value is not null").distinct()
     listed = offered.select(*ROW, F.posexplode("cells").alias("part", "value"))
     rows = listed.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"))
-    marked = attach(listed, rows.join(heavy.withColumn("heavy", F.lit(True)), cell, "left"), cell, "rows", group_rows).filter("heavy")
+    known_heavy = rows.join(_sorted(heavy.withColumn("heavy", F.lit(True))), cell, "left")
+    marked = attach(listed, known_heavy, cell, "rows", group_rows, large=True).filter("heavy")
     values = marked.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("part", "value"))).alias("values"))
     places = F.sequence(F.lit(0), F.lit(width - 1))
     others = materialize(values.select("block", F.transform(places, lambda i: F.try_element_at("values", i)).alias("other")).distinct())
-    each = others.select("block", "other", F.posexplode("other").alias("part", "value")).join(known, cell, "left_semi")
+    each = others.select("block", "other", F.posexplode("other").alias("part", "value")).join(_sorted(known), cell, "left_semi")
     blocks = each.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     number = F.pmod(F.xxhash64("other"), F.col("blocks")).alias("number")
-    filled = each.join(blocks, cell).select("*", number)
+    filled = each.join(_sorted(blocks), cell).select("*", number)
     filled = filled.groupBy(*cell, "number").agg(F.collect_list("other").alias("others"))
-    sent = asked.join(blocks, cell).select(
+    sent = asked.join(_sorted(blocks), cell).select(
         "block", "pattern", "part", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("number")
     )
     most = F.array_max(F.transform("others", lambda o: _shared(F.col("pattern"), o)))
-    best = sent.join(filled, [*cell, "number"]).groupBy("block", "pattern").agg(F.max(most).alias("best"))
-    return open_.select(*ROW, "pattern").join(best, ["block", "pattern"]).select(*ROW, "best")
+    best = sent.join(_sorted(filled), [*cell, "number"]).groupBy("block", "pattern").agg(F.max(most).alias("best"))
+    return open_.select(*ROW, "pattern").join(_sorted(best), ["block", "pattern"]).select(*ROW, "best")

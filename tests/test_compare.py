@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanframe.errors import SpecError
-from cleanframe.plans import compare as C
+from cleanframe.plans import compare as C, nearest
 
 SCHEMA = "k string, a string, n bigint"
 
@@ -94,6 +94,26 @@ def test_row_similarity_over_many_columns(spark):
     assert C.row_similarity(wide, wide, block_by=[f"c{i:02}" for i in range(12)]).first().score == 1.0
 
 
+def test_row_similarity_sends_no_table_through_the_driver(spark, monkeypatch):
+    """Spark expects stored cells to be as small as their files, and would broadcast them."""
+    plans, store = [], nearest.materialize
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(nearest, "materialize", lambda df: store(planned(df)))
+    monkeypatch.setattr(F, "broadcast", lambda df: df.hint("merge"))  # the list of hot keys may be
+    some = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(3)).alias(f"c{i}") for i in range(8)]
+    e, c = spark.range(120).select(*some), spark.range(1000, 1120).select(*some)
+    got = planned(C.row_similarity(c, e, light=2)).first()
+    made, wanted = [tuple(r) for r in c.collect()], [tuple(r) for r in e.collect()]
+    best = sum(max(agree(r, s) for s in made) / 8 for r in wanted) / len(wanted)
+    assert got.partial_ratio == pytest.approx(best)
+    assert "collect_list(other" in plans[-1]  # patterns were compared
+    assert [p for p in plans if "BroadcastExchange" in p] == []
+
+
 @pytest.mark.parametrize("seed,n,m", SIZES)
 def test_multiset_overlap_and_equality(spark, seed, n, m):
     (c, e), made, wanted = pair(spark, seed, n, m)
