@@ -276,7 +276,7 @@ def found_in(spaces: list[Space], idf: np.ndarray, texts: pa.Array) -> dict:
 def _pairs(rows: list, idf: np.ndarray, kinds: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = [_opened(r) for r in rows]
-        for batch in small_batches(batches, "__text", 1 << 23):
+        for batch in small_batches(batches, "__text"):
             found = found_in(opened, idf, batch.column(1))
             keys, values = list(found), list(found.values())
             yield pa.RecordBatch.from_arrays(
@@ -291,16 +291,13 @@ def _pairs(rows: list, idf: np.ndarray, kinds: pa.Schema):
     return run
 
 
-def _unspoiled(rows: list, idf: np.ndarray):
+def _unspoiled(rows: list, idf: np.ndarray, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = [_opened(r) for r in rows]
-        for batch in small_batches(batches, "__text", 1 << 23):
-            at = batch.schema.get_field_index("__text")
+        for batch in small_batches(batches, text_col):
             keep = np.ones(batch.num_rows, bool)
-            keep[[k[0] for k in found_in(opened, idf, batch.column(at))]] = False
-            rest = [i for i in range(batch.num_columns) if i != at]
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([kept.column(i) for i in rest], [kept.schema.field(i).name for i in rest])
+            keep[[k[0] for k in found_in(opened, idf, batch.column(batch.schema.get_field_index(text_col)))]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -347,5 +344,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     idf, made = spaces(docs, benchmark, text_col=text_col, **how)
     kept = docs
     for lot in _passes(made):
-        kept = kept.withColumn("__text", F.col(text_col)).mapInArrow(_unspoiled(lot, idf), docs.schema)
+        kept = kept.mapInArrow(_unspoiled(lot, idf, text_col), docs.schema)
     return kept

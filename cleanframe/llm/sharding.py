@@ -65,8 +65,9 @@ def splitters(keyed: DataFrame, ranges: int, samples: int = SAMPLES, seed: str =
     cuts = stored(every(_picked(keyed, F.lit(samples / aim), seed), samples, W.orderBy("__key")))
     for turn in range(1, rounds + 1):
         in_range = _ranged(keyed, cuts)
-        measured = in_range.groupBy(F.col("__range").alias("__full")).agg(
-            F.sum("__size").alias("bytes"), F.min("__key").alias("lowest"), F.max("__key").alias("highest")
+        # whether a range has several keys is told by their hashes, which are summed up without sorting all rows
+        measured = in_range.select("__range", "__size", F.xxhash64("__key").alias("hash")).groupBy(F.col("__range").alias("__full")).agg(
+            F.sum("__size").alias("bytes"), F.min("hash").alias("lowest"), F.max("hash").alias("highest")
         )
         full = stored(measured.filter((F.col("bytes") > OVERFULL * aim) & (F.col("lowest") < F.col("highest"))).select("__full"))
         if full.isEmpty():

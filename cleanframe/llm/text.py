@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer single word is hashed alone.
 PIECE = 1 << 18
+#: Bytes of text that an operator takes at a time. It makes arrays of some ten times that, and a Python
+#: worker keeps what it once took while later stages run beside it.
+BATCH = 1 << 21
 
 _BYTES = np.arange(256)
 #: `[^\x20\x09-\x0D]`; these bytes never occur inside a longer UTF-8 character.
@@ -100,7 +103,7 @@ def bounds(rows: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(n + 1))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about `limit` bytes of text at most (or one row)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)

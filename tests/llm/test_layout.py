@@ -157,3 +157,30 @@ def test_the_pipeline_stage_by_stage(spark):
     whole = corpus_pipeline.run(spark, FOLDER)
     assert whole.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m")).filter("n != m + 1").count() == 0
     assert 0 < whole.count()
+
+
+def test_operators_take_little_memory_beside_an_executor(spark, monkeypatch):
+    """Small batches in Python, each text sent once, and no sort of all rows to measure the ranges."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from cleanframe.llm import decontaminate, minhash
+
+    texts = pa.array([" ".join(f"w{(i * 31 + j * j) % 4999}" for j in range(4000)) for i in range(800)])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    for operator in (minhash._sets, decontaminate._frequencies):
+        tracemalloc.start()
+        for _ in operator(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 3 * batch.nbytes
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('some text of ', id) AS text")
+    items = spark.createDataFrame([(1, "one two three four five")], "item_id int, text string")
+    plan = decontaminate.decontaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "__text" not in plan
+    plans, store = [], sharding.stored
+    monkeypatch.setattr(sharding, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    sharding.shard(docs, 3)
+    assert [p for p in plans if "SortAggregate" in p] == []
