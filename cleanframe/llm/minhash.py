@@ -16,7 +16,7 @@ from .text import NOT_SPACE, bounds, bytes_of, mix, salts, small_batches, words
 WIDTH = 5
 #: Bands and coordinates in each. A pair at similarity 0.85 shares no band with a chance of 2.6e-7.
 BANDS, ROWS = 32, 6
-#: Bands of the first round, pivots of a bucket in it and in the third, and so many times more in each later one.
+#: Bands of the first round, pivots of a bucket in it, and so many times more in the third and each later one.
 FIRST, PIVOTS, MORE = 4, 4, 16
 #: Words of 64 bits in which the shingles outside a pivot are marked.
 WORDS = 4
@@ -126,8 +126,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with `shared` shingles, the sets' sizes `na` and `nb`, whether they are `linked`,
-    and `outside`: for each shingle of b that a lacks one of 64 * WORDS bits, by its hash."""
+    """The pairs (a, b), all columns, with `shared` shingles, the sets' sizes `na` and `nb`, whether they are
+    `linked`, and `outside`: for each shingle of b that a lacks one of 64 * WORDS bits, by its hash."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     one = F.lit(1).cast("bigint")
@@ -139,9 +139,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         )
 
     both = pairs.join(b, "b").join(a, "a")
-    lacking = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("lacking"))
+    lacking = both.select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("lacking"))
     shared = F.col("nb") - F.size("lacking")
-    met = lacking.select("a", "b", "na", "nb", shared.alias("shared"), F.array(*[word(i) for i in range(WORDS)]).alias("outside"))
+    met = lacking.select(*pairs.columns, "na", "nb", shared.alias("shared"), F.array(*[word(i) for i in range(WORDS)]).alias("outside"))
     linked = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
     return met.withColumn("linked", linked)
 
@@ -159,75 +159,78 @@ def _possible(percent: int) -> Column:
     return most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Labels (node, label) of the components that all similar pairs within a bucket make.
+def _moved(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with each `label` that is a node of `labels` replaced by that node's label."""
+    known = labels.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    return rows.join(known, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
 
-    In a round, each bucket compares some pivots with its members. Links join components, and a bucket whose
-    members are one component is done. The first round looks at FIRST bands only, where most of a
-    large group of copies becomes one component at the cost of a few comparisons per member. The second
-    compares one pivot, out of the bucket's largest component, with all members of every bucket left,
-    and keeps what each shares with it. Later rounds take ever more pivots, out of the smallest
-    components, and compare those pairs of different components that can still be similar by that
-    (see `_possible`). So each pair in a bucket is compared, known to be connected, or proven to be
-    too far apart.
+
+def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """The components that all similar pairs within a bucket make, as one table (node, label) per round.
+
+    The first says what nodes are labelled, each later one which labels become others (see `_moved`).
+    In a round, each bucket compares some pivots with its members. Links join components, and a bucket
+    whose members are one component is done. The first round looks at FIRST bands only, where most of a
+    large group of copies becomes one component at the cost of a few comparisons per member; after it
+    only links between components are joined. The second compares one pivot, out of the bucket's largest
+    component, with all members of every bucket left, and keeps what each shares with it. Later
+    rounds take ever more pivots, out of the smallest components, and compare those pairs of
+    different components that can still be similar by that (see `_possible`). So each pair in a bucket
+    is compared, known to be connected, or proven to be too far apart.
     """
-    labels, scratch = None, []
+    scratch, moves = [], []
 
     def kept(df: DataFrame) -> DataFrame:
         scratch.append(stored(df))
         return scratch[-1]
 
-    def joined(links: DataFrame) -> DataFrame:
-        if labels is not None:
-            scratch.append(labels)
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        return components(kept(links))
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """The rows of buckets that hold several components, with `label`."""
-        known = labels.select("node", F.col("label").alias("l"))
-        told = rows.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l")
-        mixed = told.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        return kept(told.join(kept(mixed.filter("least != most").select("bucket")), "bucket", "left_semi"))
+    def unsettled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, once links (a, b) have joined labels; `size`:
+        the rows of the label in the bucket."""
+        moves.append(components(links))
+        told = kept(_moved(rows.drop("size"), moves[-1]))
+        sizes = kept(told.groupBy("bucket", "label").agg(F.count("*").alias("size")))
+        mixed = sizes.groupBy("bucket").count().filter("count > 1").select("bucket")
+        return kept(told.join(kept(sizes.join(mixed, "bucket", "left_semi")), ["bucket", "label"]))
 
-    def sized(rows: DataFrame) -> DataFrame:
-        sizes = kept(rows.groupBy("bucket", "label").agg(F.count("*").alias("size")))
-        return rows.join(sizes, ["bucket", "label"])
+    def between(met: DataFrame) -> DataFrame:
+        """Links between labels by the linked pairs; few, since most pairs are of one component by then."""
+        return met.filter("linked and la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
 
     # first round
     few = kept(buckets.filter(F.col("band") < FIRST).select("bucket", "node"))
     ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")))
     pivots = kept(ranked.filter(f"rank <= {PIVOTS}").select("bucket", F.col("node").alias("p")))
     pairs = few.join(pivots, "bucket").filter("node != p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-    labels = joined(_compared(kept(pairs.distinct()), sets, percent).filter("linked").select("a", "b"))
-    left = unsettled(buckets.select("bucket", "node"))
+    links = _compared(kept(pairs.distinct()), sets, percent).filter("linked").select("a", "b")
+    left = unsettled(buckets.select("bucket", "node", F.col("node").alias("label")), links)
 
     # second round
     order = W.partitionBy("bucket").orderBy(F.col("size").desc(), F.xxhash64("node"), "node")
-    first = sized(left).withColumn("rank", F.row_number().over(order)).filter("rank = 1")
-    first = kept(first.select("bucket", F.col("node").alias("a")))
-    beside = left.join(first, "bucket").filter("node != a").select("bucket", "a", F.col("node").alias("b"))
-    beside = kept(beside)
-    met = kept(_compared(kept(beside.select("a", "b").distinct()), sets, percent))
-    labels = joined(met.filter("linked").select("a", "b"))
-    known = beside.join(met, ["a", "b"]).select("bucket", F.col("b").alias("node"), F.col("nb").alias("n"), F.col("shared").alias("o"), F.col("outside").alias("w"))
-    left = unsettled(known)
-
-    number = PIVOTS
+    first = left.withColumn("rank", F.row_number().over(order)).filter("rank = 1")
+    first = kept(first.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")))
+    beside = kept(left.join(first, "bucket").filter("node != a").select("bucket", "a", "la", F.col("node").alias("b"), F.col("label").alias("lb")))
+    met = kept(_compared(kept(beside.drop("bucket").distinct()), sets, percent))
+    known = beside.select("bucket", "a", "b").join(met, ["a", "b"])
+    known = known.select("bucket", F.col("b").alias("node"), F.col("lb").alias("label"), F.col("nb").alias("n"), F.col("shared").alias("o"), F.col("outside").alias("w"))
+    left = unsettled(known, between(met))
+
+    number = PIVOTS * MORE
     while not left.isEmpty():
         order = W.partitionBy("bucket").orderBy("size", F.xxhash64("node"), "node")
-        ranked = sized(left).withColumn("rank", F.row_number().over(order)).filter(f"rank <= {number}")
+        ranked = left.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {number}")
         pivots = kept(ranked.select("bucket", *[F.col(c).alias(f"{x}x") for c, x in (("node", "p"), ("label", "l"), ("n", "n"), ("o", "o"), ("w", "w"))]))
         others = left.select("bucket", "node", F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("o").alias("oy"), F.col("w").alias("wy"))
         near = others.join(pivots, "bucket").filter((F.col("ly") != F.col("lx")) & _possible(percent))
-        pairs = kept(near.select(F.least("node", "px").alias("a"), F.greatest("node", "px").alias("b")).distinct())
-        labels = joined(_compared(pairs, sets, percent).filter("linked").select("a", "b"))
+        x, y = F.struct(F.col("px").alias("p"), F.col("lx").alias("l")), F.struct(F.col("node").alias("p"), F.col("ly").alias("l"))
+        near = near.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+        pairs = kept(near.select(F.col("x.p").alias("a"), F.col("y.p").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct())
         # the pivots of the round have met all others
         rest = left.join(pivots.select("bucket", F.col("px").alias("node")), ["bucket", "node"], "left_anti")
-        left = unsettled(rest)
+        left = unsettled(rest, between(_compared(pairs, sets, percent)))
         number *= MORE
     dropped(*scratch)
-    return labels
+    return moves
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -258,12 +261,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     texts = slim.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     made = texts.mapInArrow(_sets, "node binary, shingles array<bigint>")
     sets = stored(made.join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    labels = _links(buckets, sets, percent)
-    grouped = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("group"))
-    grouped = stored(grouped)
+    labelled, moves = nodes.select("node", "least", F.col("node").alias("label")), _links(buckets, sets, percent)
+    for labels in moves:
+        labelled = _moved(labelled, labels)
+    grouped = stored(labelled.withColumnRenamed("label", "group"))
     first = stored(grouped.groupBy("group").agg(F.min("least").alias("component_id")))
     found = stored(grouped.join(first, "group").select("node", "group", "component_id"))
-    dropped(buckets, active, sets, nodes, grouped, first)
+    dropped(buckets, active, sets, nodes, grouped, first, *moves)
     return sketched.select("id", "n", "node"), found
 
 

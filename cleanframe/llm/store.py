@@ -35,29 +35,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al., 2014): each round attaches the neighbours
     of a node to the smallest node among them, so that every component ends as a star around its
-    smallest node after about log(n) rounds. A round aggregates with partial sums and joins one
-    row per node back to the links, a join whose large keys Spark can split. Links may repeat,
-    point at themselves or hold nulls; those say nothing.
+    smallest node after about log(n) rounds; links that are stars already take none. A round
+    aggregates with partial sums and joins one row per node back to the links, a join whose large
+    keys Spark can split. Links may repeat, point at themselves or hold nulls; those say nothing.
     """
     star = stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     )
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        seen = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("tips"), F.max("v").alias("most"))
+        least = stored(seen.select("u", F.least("u", "m").alias("m"), F.expr("tips > 1 or tips > 0 and most > u").alias("open")))
+        if least.filter("open").isEmpty():  # all stars
+            break
         large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         after = stored(large.join(lowest, "u").select(F.inline(ends)).filter("u != v").distinct())
         dropped(star, least, large, lowest)
         star = after
-        ends = star.select(F.col("u").alias("n"), F.lit(1).alias("tip"), F.lit(0).alias("root")).unionByName(
-            star.select(F.col("v").alias("n"), F.lit(0).alias("tip"), F.lit(1).alias("root"))
-        )
-        seen = ends.groupBy("n").agg(F.sum("tip").alias("tip"), F.max("root").alias("root"))
-        if seen.filter("tip > 1 or tip > 0 and root > 0").isEmpty():  # all stars
-            break
-    nodes = star.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    labels = stored(nodes.unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
     dropped(star)
+    labels = least.select(F.col("u").alias("node"), F.col("m").alias("label"))
+    labels.stored_at = least.stored_at
     return labels

@@ -148,3 +148,27 @@ def test_awkward_vectors(spark):
     alone = [(str(i), 0, str(i), True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12)]
     assert got == sorted([*group, *alone, ("13", 1, "13", True), ("14", 1, "13", False), ("15", 1, "15", True), ("16", 1, "15", False)])
     assert vectors.near_vectors(table.limit(0)).count() == 0
+
+
+def test_star_links_take_no_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(store, "stored", lambda df, real=store.stored: made.append(real(df)) or made[-1])
+    links = spark.createDataFrame([(f"{i % 3:03}", f"{i:03}") for i in range(3, 90)], "a string, b string")
+    assert store.components(links).count() == 90
+    assert len(made) == 2
+
+
+def test_later_rounds_join_links_between_components_only(spark, monkeypatch):
+    joined = []
+
+    def counted(links, real=minhash.components):
+        links = links.cache()
+        joined.append(links.count())
+        return real(links)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    texts = corpus()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute.near_duplicates(list(enumerate(texts)))
+    assert len(joined) >= 2 and joined[0] > 150
+    assert sum(joined[1:]) < joined[0] / 2
