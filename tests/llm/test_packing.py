@@ -40,6 +40,27 @@ def test_segments_give_the_ids_of_whole_texts(texts):
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_segments_are_encoded_many_at_a_time():
+    made, seen = tokenizer(packing.VOCABULARY), []
+
+    class Counted:
+        encode = made.encode
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return made.encode_batch_fast(texts, **options)
+
+    texts = [f"w{i}, Ǆ{i} \u0301x{i}  <|endoftext|>{i}<|startof {i}.\u3000{i}" for i in range(3000)]
+    want = [made.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, sizes = packing.SegmentIds(Counted()).encode(pa.array(texts))
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert 0 < len(seen) < 100
+    odd = ["\0", "a\0b \0 c", *texts[:900], "x\0"]
+    want = [made.encode(t, add_special_tokens=False).ids for t in odd]
+    ids, sizes = packing.SegmentIds(Counted()).encode(pa.array(odd))
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("file_bytes, block", [(1 << 26, 1 << 16), (4000, 16)])
 def test_files_give_back_all_ids(spark, tmp_path, file_bytes, block):
     chance = random.Random(block)
