@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .store import components, dropped, stored
 from .text import NOT_SPACE, bounds, bytes_of, mix, salts, small_batches, words
@@ -16,10 +16,10 @@ from .text import NOT_SPACE, bounds, bytes_of, mix, salts, small_batches, words
 WIDTH = 5
 #: Bands and coordinates in each. A pair at similarity 0.85 shares no band with a chance of 2.6e-7.
 BANDS, ROWS = 32, 6
-#: Bands of the first round, pivots of a bucket in it, and so many times more in the third and each later one.
-FIRST, PIVOTS, MORE = 4, 4, 16
-#: Words of 64 bits in which the shingles outside a pivot are marked.
-WORDS = 4
+#: Bands of the first round, and pivots of a bucket in it.
+FIRST, PIVOTS = 4, 4
+#: Members that a bucket's reference is taken from.
+VOTERS = 15
 SEED = 6
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -126,37 +126,77 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b), all columns, with `shared` shingles, the sets' sizes `na` and `nb`, whether they are
-    `linked`, and `outside`: for each shingle of b that a lacks one of 64 * WORDS bits, by its hash."""
+    """The pairs (a, b), all columns, and whether they are `linked`, by their full sets."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    one = F.lit(1).cast("bigint")
-
-    def word(i: int) -> Column:
-        mine = F.filter("lacking", lambda h: F.pmod(F.shiftright(h, 6), F.lit(WORDS)) == i)
-        return F.aggregate(
-            mine, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", one, F.pmod(h, F.lit(64)).cast("int")))
-        )
-
     both = pairs.join(b, "b").join(a, "a")
-    lacking = both.select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("lacking"))
-    shared = F.col("nb") - F.size("lacking")
-    met = lacking.select(*pairs.columns, "na", "nb", shared.alias("shared"), F.array(*[word(i) for i in range(WORDS)]).alias("outside"))
-    linked = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
-    return met.withColumn("linked", linked)
+    met = both.select(*pairs.columns, (F.size("sa") + F.size("sb")).alias("sizes"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return met.select(*pairs.columns, (F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent).alias("linked"))
 
 
-def _possible(percent: int) -> Column:
-    """Whether x and y can be similar enough, by what is known of both beside their bucket's first pivot.
+def _differing(left: DataFrame, sets: DataFrame, percent: int, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`left` (bucket, node, label) with `lacks` and `extra`, what tells a node's set from its bucket's reference, and its `cost`.
 
-    They share at most what both share with it, and of the rest no shingle whose bit the other lacks.
+    The reference is what most of a few members hold; any set would do, but copies differ little from this one.
+    Two sets differ in what either has in `lacks` and `extra` that the other hasn't, so they are linked exactly
+    where their costs add up to 2 * (100 + percent) for each shingle that both lack or both have extra, or less.
     """
-    lone = lambda i, j: sum(
-        (F.bit_count(F.get(f"w{i}", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"w{j}", F.lit(k))))) for k in range(WORDS)), F.lit(0)
+    order = W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+    some = kept(left.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {VOTERS}").select("bucket", "node"))
+    some = some.join(some.groupBy("bucket").agg(F.count("*").alias("voters")), "bucket").join(sets, "node")
+    votes = some.select("bucket", "voters", F.explode("shingles").alias("h")).groupBy("bucket", "voters", "h").agg(F.count("*").alias("votes"))
+    reference = kept(votes.filter("2 * votes > voters").groupBy("bucket").agg(F.collect_list("h").alias("reference")))
+    sides = left.join(reference, "bucket", "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<bigint>"))).join(sets, "node")
+    told = sides.select(
+        "bucket", "node", "label", F.size("shingles").alias("n"),
+        F.array_except("reference", "shingles").alias("lacks"), F.array_except("shingles", "reference").alias("extra"),
+    )
+    cost = (F.size("lacks") + F.size("extra")).cast("long") * (100 + percent) - F.col("n") * (100 - percent)
+    return told.withColumn("cost", cost).drop("n")
+
+
+def _near(left: DataFrame, sets: DataFrame, percent: int, kept: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) of rows (bucket, node, label): labels `a` and `b` that are linked for sure, and pairs of nodes
+    `a` and `b` with their labels `la` and `lb` to be compared. No other nodes of a bucket link its labels.
+
+    A bucket's node of least cost is linked with all nodes whose costs and its own add up to 0 or less; these
+    become one label. Every other link of two labels needs shingles that both nodes lack or both have extra
+    (see `_differing`), the more the dearer they are: two nodes meet at such a shingle only where each has enough of them
+    from there on, in one order for the bucket, and nodes that are too dear for all others meet none.
+    """
+    each = 2 * (100 + percent)
+    told = kept(_differing(left, sets, percent, kept))
+    cheapest = kept(told.groupBy("bucket").agg(F.min(F.struct("cost", "node", "label")).alias("least")))
+    told = told.join(cheapest, "bucket")
+    links = told.filter("cost + least.cost <= 0 and label != least.label").select(F.col("label").alias("a"), F.col("least.label").alias("b"))
+    central = (F.col("cost") + F.col("least.cost") <= 0) | (F.col("label") == F.col("least.label"))
+    told = told.select("bucket", "node", "label", "cost", "lacks", "extra", central.alias("central"), F.when(central, F.col("least.label")).otherwise(F.col("label")).alias("now"))
+
+    # of what nodes have extra, only what several labels have can be shared
+    extra = told.select("bucket", "node", "now", F.explode("extra").alias("h"))
+    several = extra.groupBy("bucket", "h").agg(F.min("now").alias("low"), F.max("now").alias("high")).filter("low != high").select("bucket", "h")
+    common = kept(extra.join(several, ["bucket", "h"], "left_semi").groupBy("bucket", "node").agg(F.sort_array(F.collect_list("h")).alias("common")))
+    marks = F.concat(F.sort_array("lacks"), F.coalesce("common", F.array().cast("array<bigint>")))
+    marked = kept(told.join(common, ["bucket", "node"], "left").select("bucket", "node", "label", "cost", "central", "now", marks.alias("marks")))
+
+    # what the cheapest others cost, and what the others can afford a partner to cost
+    spare = F.size("marks").cast("long") * each - F.col("cost")
+    inner, outer = F.col("central"), ~F.col("central")
+    bounds = kept(
+        marked.groupBy("bucket").agg(
+            *[F.min(F.when(c, F.col("cost"))).alias(f"{name}_cost") for name, c in (("in", inner), ("out", outer))],
+            *[F.max(F.when(c, spare)).alias(f"{name}_spare") for name, c in (("in", inner), ("out", outer))],
+        )
     )
-    rest = lambda i, j: F.col(f"n{i}") - F.col(f"o{i}") - lone(i, j)
-    most = F.least("ox", "oy") + F.least(rest("x", "y"), rest("y", "x"))
-    return most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    beside = F.when(inner, F.col("out_cost")).otherwise(F.least("in_cost", "out_cost"))
+    allowed = F.when(inner, F.col("out_spare")).otherwise(F.greatest("in_spare", "out_spare"))
+    open_ = marked.join(bounds, "bucket").withColumn("beside", beside).filter((F.col("cost") <= allowed) & (F.col("beside") <= spare))
+    met = open_.select("bucket", "node", "label", "now", "cost", "beside", F.posexplode("marks").alias("place", "h"))
+    met = met.withColumn("rest", (F.col("place").cast("long") + 1) * each).filter("rest >= cost + beside")
+    met = kept(met.select("bucket", "h", "node", "label", "now", "cost", "rest"))
+    x, y = (met.select("bucket", "h", *[F.col(c).alias(c + i) for c in ("node", "label", "now", "cost", "rest")]) for i in "xy")
+    near = x.join(y, ["bucket", "h"]).filter("nodex < nodey and nowx != nowy and least(restx, resty) >= costx + costy")
+    return links, near.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("labelx").alias("la"), F.col("labely").alias("lb")).distinct()
 
 
 def _moved(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,14 +209,13 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]
     """The components that all similar pairs within a bucket make, as one table (node, label) per round.
 
     The first says what nodes are labelled, each later one which labels become others (see `_moved`).
-    In a round, each bucket compares some pivots with its members. Links join components, and a bucket
-    whose members are one component is done. The first round looks at FIRST bands only, where most of a
-    large group of copies becomes one component at the cost of a few comparisons per member; after it
-    only links between components are joined. The second compares one pivot, out of the bucket's largest
-    component, with all members of every bucket left, and keeps what each shares with it. Later
-    rounds take ever more pivots, out of the smallest components, and compare those pairs of
-    different components that can still be similar by that (see `_possible`). So each pair in a bucket
-    is compared, known to be connected, or proven to be too far apart.
+    Links join components, and a bucket whose members are one component is done. The first round compares
+    some pivots with all members, in FIRST bands only, where most of a large group of copies becomes one
+    component at the cost of a few comparisons per member; after it only links between components are
+    joined. The second compares one pivot, out of the bucket's largest component, with all members of
+    every bucket left. The third compares those pairs of different components that `_near` doesn't
+    prove to be too far apart. So each pair in a bucket is compared, known to be connected, or proven
+    to be too far apart.
     """
     scratch, moves = [], []
 
@@ -188,7 +227,7 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]
         """The rows of buckets that hold several components, once links (a, b) have joined labels; `size`:
         the rows of the label in the bucket."""
         moves.append(components(links))
-        told = kept(_moved(rows.drop("size"), moves[-1]))
+        told = kept(_moved(rows, moves[-1]))
         sizes = kept(told.groupBy("bucket", "label").agg(F.count("*").alias("size")))
         mixed = sizes.groupBy("bucket").count().filter("count > 1").select("bucket")
         return kept(told.join(kept(sizes.join(mixed, "bucket", "left_semi")), ["bucket", "label"]))
@@ -211,24 +250,12 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]
     first = kept(first.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")))
     beside = kept(left.join(first, "bucket").filter("node != a").select("bucket", "a", "la", F.col("node").alias("b"), F.col("label").alias("lb")))
     met = kept(_compared(kept(beside.drop("bucket").distinct()), sets, percent))
-    known = beside.select("bucket", "a", "b").join(met, ["a", "b"])
-    known = known.select("bucket", F.col("b").alias("node"), F.col("lb").alias("label"), F.col("nb").alias("n"), F.col("shared").alias("o"), F.col("outside").alias("w"))
-    left = unsettled(known, between(met))
-
-    number = PIVOTS * MORE
-    while not left.isEmpty():
-        order = W.partitionBy("bucket").orderBy("size", F.xxhash64("node"), "node")
-        ranked = left.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {number}")
-        pivots = kept(ranked.select("bucket", *[F.col(c).alias(f"{x}x") for c, x in (("node", "p"), ("label", "l"), ("n", "n"), ("o", "o"), ("w", "w"))]))
-        others = left.select("bucket", "node", F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("o").alias("oy"), F.col("w").alias("wy"))
-        near = others.join(pivots, "bucket").filter((F.col("ly") != F.col("lx")) & _possible(percent))
-        x, y = F.struct(F.col("px").alias("p"), F.col("lx").alias("l")), F.struct(F.col("node").alias("p"), F.col("ly").alias("l"))
-        near = near.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-        pairs = kept(near.select(F.col("x.p").alias("a"), F.col("y.p").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct())
-        # the pivots of the round have met all others
-        rest = left.join(pivots.select("bucket", F.col("px").alias("node")), ["bucket", "node"], "left_anti")
-        left = unsettled(rest, between(_compared(pairs, sets, percent)))
-        number *= MORE
+    left = unsettled(beside.select("bucket", F.col("b").alias("node"), F.col("lb").alias("label")), between(met))
+
+    # third round
+    if not left.isEmpty():
+        links, pairs = _near(left.select("bucket", "node", "label"), sets, percent, kept)
+        moves.append(components(links.unionByName(between(_compared(kept(pairs), sets, percent)))))
     dropped(*scratch)
     return moves
 

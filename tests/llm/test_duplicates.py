@@ -172,3 +172,58 @@ def test_later_rounds_join_links_between_components_only(spark, monkeypatch):
     assert got == brute.near_duplicates(list(enumerate(texts)))
     assert len(joined) >= 2 and joined[0] > 150
     assert sum(joined[1:]) < joined[0] / 2
+
+
+def test_members_of_a_large_group_are_not_paired(spark, monkeypatch):
+    """Copies just below the threshold in one large group: few of their pairs are looked at after the second round."""
+    looked = []
+
+    def counted(pairs, *more, real=minhash._compared):
+        pairs = pairs.cache()
+        looked.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(minhash, "_compared", counted)
+    chance = random.Random(8)
+    base = [f"v{i}" for i in range(150)]
+    texts = [" ".join(edited(chance, base, chance.choice((1, 2, 2, 3, 3, 4)))) for _ in range(500)]
+    # pairs that are linked with each other and not with the rest
+    for _ in range(20):
+        far = edited(chance, base, 6)
+        texts += [" ".join(far), " ".join(edited(chance, far, 1))]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_duplicates(rows)
+    assert sum(looked[2:]) < 2 * len(texts)
+
+
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_labels_of_a_bucket_are_joined_as_by_all_pairs(spark, percent):
+    chance = random.Random(percent)
+    buckets = []
+    for size in (2, 3, 8, 40, 40):
+        base = chance.sample(range(1000), chance.choice((1, 5, 30)))
+        members = {frozenset(base)}
+        while len(members) < size:
+            old = set(chance.choice([base, *members]))
+            old -= set(chance.sample(sorted(old), chance.randint(0, len(old) // 4)))
+            members.add(frozenset(old | set(chance.sample(range(1000, 1030), chance.randint(not old, 3)))))
+        buckets.append(sorted(members, key=sorted))
+    buckets.append([frozenset(range(10 * i, 10 * i + 5)) for i in range(6)])  # no shingle that most have
+    nodes = [(f"{k:02}-{i:02}", k, s) for k, members in enumerate(buckets) for i, s in enumerate(members)]
+    sets = spark.createDataFrame([(name.encode(), sorted(s)) for name, _, s in nodes], "node binary, shingles array<bigint>")
+    label = {name: name if chance.random() < 0.8 else f"{k:02}-00" for name, k, _ in nodes}
+    left = spark.createDataFrame([(k, name.encode(), label[name].encode()) for name, k, _ in nodes], "bucket long, node binary, label binary")
+    sure, pairs = minhash._near(left, sets, percent, minhash.stored)
+    shingles = {name: s for name, _, s in nodes}
+    linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    made = [(bytes(a).decode(), bytes(b).decode()) for a, b in sure.collect()]
+    for a, b, la, lb in ([bytes(x).decode() for x in r] for r in pairs.collect()):
+        assert (la, lb) == (label[a], label[b])
+        if linked(shingles[a], shingles[b]):
+            made.append((la, lb))
+    wanted = [(label[a], label[b]) for a, k, s in nodes for b, q, r in nodes if k == q and a < b and linked(s, r)]
+    place = {name: i for i, (name, *_) in enumerate(nodes)}
+    joined = lambda links: brute.components(len(nodes), [(place[a], place[b]) for a, b in links])
+    assert joined(made) == joined(wanted)
+    assert wanted or percent == 100
