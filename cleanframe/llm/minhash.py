@@ -336,10 +336,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     told = stored(_with_components(*classes(docs, id_col, text_col, percent)))
     per_id = told.groupBy("id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
-    per_id = stored(per_id.withColumn("once", F.col("id").isNotNull() & (F.col("rows") == 1)))
+    per_id = per_id.withColumn("once", F.col("id").isNotNull() & (F.col("rows") == 1))
+    # ids whose rows don't just stay: far fewer than those that do, so that the texts are seldom dealt out for them
+    open_ = stored(per_id.filter("not (once and kept)").select(F.col("id").alias("__id"), "once"))
     same = F.col(id_col).eqNullSafe(F.col("__id"))
-    once = docs.join(per_id.filter("once and kept").select(F.col("id").alias("__id")), same, "left_semi")
-    repeated = per_id.filter("not once").select(F.col("id").alias("__id"))
+    once = docs.join(open_.select("__id"), same, "left_anti")
+    repeated = open_.filter("not once").select("__id")
     if repeated.isEmpty():
         return once
     schema = T.StructType([*docs.schema, T.StructField("__node", T.BinaryType())])

@@ -44,7 +44,9 @@ def _picked(keyed: DataFrame, rate: Column, seed: str) -> DataFrame:
 def _ranged(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds `__range`, the number of cuts up to the key. All cuts travel as one value to each task."""
     cuts = cuts.agg(F.array_sort(F.collect_list("__key")).alias("cuts")).scalar()
-    return keyed.withColumn("__cuts", cuts).withColumn("__range", _search(F.col("__key"), F.col("__cuts"))).drop("__cuts")
+    # bound once: the plan, which the driver keeps several times, would repeat the subquery at every use
+    bound = F.transform(F.array(F.col("__cuts")), lambda found: _search(F.col("__key"), found))[0]
+    return keyed.withColumn("__cuts", cuts).withColumn("__range", bound).drop("__cuts")
 
 
 def splitters(keyed: DataFrame, ranges: int, samples: int = SAMPLES, seed: str = SEED, rounds: int = 3) -> DataFrame:

@@ -227,3 +227,18 @@ def test_labels_of_a_bucket_are_joined_as_by_all_pairs(spark, percent):
     joined = lambda links: brute.components(len(nodes), [(place[a], place[b]) for a, b in links])
     assert joined(made) == joined(wanted)
     assert wanted or percent == 100
+
+
+def test_texts_are_not_dealt_out_for_a_few_copies(spark):
+    """Ids that stay are many and those that go are few: the few are sent to the texts."""
+    texts = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(3000)]
+    rows = list(enumerate(texts + texts[:20]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        kept = minhash.deduplicated(docs)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(3000))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -184,3 +184,11 @@ def test_operators_take_little_memory_beside_an_executor(spark, monkeypatch):
     monkeypatch.setattr(sharding, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
     sharding.shard(docs, 3)
     assert [p for p in plans if "SortAggregate" in p] == []
+
+
+def test_a_plan_holds_the_cuts_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(300)], "doc_id long, text string")
+    out = sharding.shard(docs, 5)
+    assert out.count() == 300
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("collect_list(") <= 2
