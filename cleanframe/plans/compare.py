@@ -243,7 +243,10 @@ def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=(), group
     texts = [F.coalesce(F.concat(F.lit("="), F.col(f"c{i}")), F.lit("")) for i in range(width)]
     counts = materialize(
         _row_counts(candidate, expected, columns).select(
-            *[F.array(*[texts[i] for i in some]).cast("array<string>").alias(n) for n, some in (("block", fixed), ("cells", free))], "c", "e"
+            F.monotonically_increasing_id().alias("id"),
+            *[F.array(*[texts[i] for i in some]).cast("array<string>").alias(n) for n, some in (("block", fixed), ("cells", free))],
+            "c",
+            "e",
         )
     )
     same_columns = set(candidate.columns) == set(expected.columns)
@@ -259,8 +262,8 @@ def row_similarity(candidate: DataFrame, expected: DataFrame, block_by=(), group
         blocks = offered.select("block").distinct()
         near = near + missing.join(blocks, "block", "left_semi").agg(_total(F.col("e") * len(fixed)).alias("s")).scalar()
     if free:
-        best = nearest(missing, offered, len(free), light, group_rows=group_rows)
-        near = near + best.join(missing.hint("merge"), ["block", "cells"]).agg(_total(F.col("e") * F.col("agree")).alias("s")).scalar()
+        best = nearest(missing.drop("c"), offered, len(free), light, group_rows=group_rows)
+        near = near + best.agg(_total(F.col("e") * F.col("agree")).alias("s")).scalar()
     rows = F.greatest(F.col("expected_rows"), F.lit(1))
     exact = F.col("equal_rows") / rows
     partial = (F.col("found_rows") + near / width) / rows

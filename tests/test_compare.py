@@ -114,6 +114,60 @@ def test_row_similarity_sends_no_table_through_the_driver(spark, monkeypatch):
     assert [p for p in plans if "BroadcastExchange" in p] == []
 
 
+def wide_rows(seed, n):
+    """Rows of columns that hang together, of others, of one that is often the same and of names, with a worse copy."""
+    pick = random.Random(seed)
+    good = []
+    for i in range(n):
+        nr = pick.randrange(4 * n)
+        dealt = [nr % m for m in range(2, 10)] + [pick.choice("xyz"), "same" if i % 2 else f"n{i}", None if nr % 5 else "z"]
+        good.append([str(v) if v is not None else v for v in dealt] + [f"n{i % (n // 2)}", f"b{nr % 3}"])
+    worse = [[None if pick.randrange(5) == 0 else v for v in row] for row in good[n // 5 :]]
+    names = [f"c{i:02}" for i in range(len(good[0]))]
+    return names, [tuple(r) for r in good], [tuple(r) for r in worse]
+
+
+@pytest.mark.parametrize(
+    "seed,light,group_rows,few,block_by",
+    [(1, 3, 10**6, 10**6, []), (2, 3, 2, 0, ["c12"]), (3, 0, 10**6, 10**6, []), (4, 40, 10**6, 0, []), (5, 2, 10**6, 10**6, ["c12"]), (6, 10**6, 10**6, 10**6, [])],
+)
+def test_row_similarity_of_wide_rows_tries_all_pairs(spark, monkeypatch, seed, light, group_rows, few, block_by):
+    monkeypatch.setattr(nearest, "FEW", few)
+    monkeypatch.setattr(nearest, "FEW_BYTES", few)
+    monkeypatch.setattr(nearest, "BITS", 20)  # cells in several words
+    names, wanted, made = wide_rows(seed, 120)
+    schema = ", ".join(f"{c} string" for c in names)
+    got = C.row_similarity(spark.createDataFrame(made, schema), spark.createDataFrame(wanted, schema), block_by, group_rows, light).first()
+    at = [names.index(b) for b in block_by]
+    best = sum(max([agree(r, s) for s in made if all(r[i] == s[i] for i in at)], default=0) / len(names) for r in wanted) / len(wanted)
+    assert got.partial_ratio == pytest.approx(best)
+
+
+def test_row_similarity_stores_no_row_per_cell(spark, monkeypatch):
+    """Of rows that have a near copy little is stored, however wide they are."""
+    sizes, store = [], nearest.materialize
+
+    def counted(df):
+        sizes.append((out := store(df)).count())
+        return out
+
+    monkeypatch.setattr(nearest, "materialize", counted)
+    e = spark.range(400).select(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(7)).alias(f"c{i:02}") for i in range(24)])
+    c = e.withColumns({"c05": F.lit(-1), "c17": F.lit(-1)})
+    assert C.row_similarity(c, e, light=8).first().partial_ratio == pytest.approx(22 / 24)
+    assert max(sizes) <= 4 * 400
+
+
+def test_cuts_part_columns_that_hang_together():
+    """Each part of four columns, two of which repeat the others, tells as much as two columns."""
+    lanes = nearest._lanes({i: 10 for i in range(4)})
+    rows = []
+    for a, b in itertools.product(range(1, 11), repeat=2):
+        word = sum(v << lane.at for v, lane in zip((a, a, b, b), lanes))
+        rows.append([word])
+    assert sorted(sorted(x.part // 2 for x in part) for part in nearest._cut(rows, lanes, 2)) == [[0, 1], [0, 1]]
+
+
 @pytest.mark.parametrize("seed,n,m", SIZES)
 def test_multiset_overlap_and_equality(spark, seed, n, m):
     (c, e), made, wanted = pair(spark, seed, n, m)
